@@ -202,7 +202,7 @@ def price_text(amount: Column, style: Column) -> Column:
         .when(style == 1, F.concat(F.lit("€ "), swapped))
         .when(
             style == 2,
-            F.concat(F.lit("₡ "), F.translate(F.format_number(F.floor(amount), 0), ",", "."), F.lit(" I.V.I")),
+            F.concat(F.lit("₡ "), F.translate(F.format_number(F.floor(amount), 0), ",", "."), F.lit(" colones")),
         )
         .otherwise(F.translate(us, ",", ""))
     )

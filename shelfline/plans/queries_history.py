@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,18 +38,24 @@ from shelfline.sources.shards import read_shards
 from shelfline.sources.tables import read_snapshot, write_snapshot
 from shelfline.streaming import ingest
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+def query_table() -> tuple[dict, dict, Callable]:
+    """Empty tables of queries and oracles, and the decorator that fills them."""
+    queries: dict[str, Callable] = {}
+    oracles: dict[str, str] = {}
+
+    def query(name: str, sql: str | None = None) -> Callable:
+        def keep(fn: Callable) -> Callable:
+            queries[name] = fn
+            if sql is not None:
+                oracles[name] = sql
+            return fn
+
+        return keep
 
+    return queries, oracles, query
 
-def query(name: str, sql: str | None = None):
-    def keep(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
 
-    return keep
+QUERIES, ORACLES, query = query_table()
 
 
 @query(
@@ -86,12 +94,15 @@ def coalesced_price_history(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "sliced_price_history",
-    f"WITH {HISTORY} SELECT product_id, price, original_price, start_ts, end_ts FROM hist",
+    "sliced_intervals",
+    f"""WITH {ACTIVITY}, {strict('activity', 'price', 'h')}
+    SELECT product_id, price, start_ts, end_ts FROM h""",
 )
-def sliced_price_history(spark: SparkSession, d: str) -> DataFrame:
-    """The same history with the cutting of frequent products provoked by a low threshold."""
-    return strict_intervals(a.offers(spark, d), hot_rows=20, max_slices=256).select(*OFFER_COLUMNS)
+def sliced_on_activity(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals with the cutting of frequent products provoked by a low threshold."""
+    return strict_intervals(
+        a.activity(spark, d), value_cols=("price",), hot_rows=20, max_slices=512
+    )
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "shelfline", master: str | None = None, **conf: str) -> SparkSession:
@@ -43,6 +43,12 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("spark.checkpoint.dir is not set and this is not a local session")
 
 
+def pinned(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, for results that are used several times."""
+    use_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for tables a job writes on its way, below the shared checkpoint folder."""
     use_checkpoint_dir(spark)
