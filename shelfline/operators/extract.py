@@ -19,21 +19,12 @@ from shelfline.operators.page_elements import (
     MARKUP_WIDTH,
     first,
     flatten_pages,
+    having,
     inside,
-    matching,
 )
 from shelfline.schemas import OBSERVATIONS, align_schema
 
 # Where the fields of a product page are found.
-NAME = "h1.product_title, h1.entry-title"
-SKU = ".summary .sku, .entry-summary .sku, .sku"
-CATEGORY = (
-    ".summary .posted_in a, .entry-summary .posted_in a, .summary .product_meta .posted_in a, "
-    ".posted_in a, .product_meta .posted_in a"
-)
-IMAGE = ".woocommerce-product-gallery__image img"
-DESCRIPTION = ".woocommerce-product-details__short-description, .product-short-description"
-DISCOUNT_BADGE = ".onsale, .woocommerce-badge--onsale, span.onsale"
 PRICE_BOXES = [".summary .price", ".entry-summary .price", ".wd-single-price .price"]
 AMOUNTS = [".woocommerce-Price-amount", ".amount"]
 STOCK_ROWS = [
@@ -46,80 +37,102 @@ STOCK_ROWS = [
 ]
 
 
-def amounts(inner: str = "") -> str:
+def _amounts(inner: str = "") -> str:
     """Selector list of the price amounts, optionally inside ``ins`` or ``del``."""
     return ", ".join(f"{box} {inner} {amount}" for box in PRICE_BOXES for amount in AMOUNTS)
 
 
-def _text(elements: Column, selector: str) -> Column:
-    return trim_or_null(first(matching(elements, selector))["text"])
-
-
-def _attribute(elements: Column, name: str) -> Column:
+ROLES = {
+    "product_page": (
+        "body.single-product, body.woocommerce-page, .product, "
+        "[itemtype=http://schema.org/Product], [itemtype=https://schema.org/Product]"
+    ),
+    "title": "title",
+    "body": "body",
+    "name": "h1.product_title, h1.entry-title",
+    "sku": ".summary .sku, .entry-summary .sku, .sku",
+    "category": (
+        ".summary .posted_in a, .entry-summary .posted_in a, .summary .product_meta .posted_in a, "
+        ".posted_in a, .product_meta .posted_in a"
+    ),
+    "image": ".woocommerce-product-gallery__image img",
+    "description": ".woocommerce-product-details__short-description, .product-short-description",
+    "badge": ".onsale, .woocommerce-badge--onsale, span.onsale",
+    "summary": ".summary, .entry-summary",
+    "price_box": ", ".join(PRICE_BOXES),
+    "sale_amount": _amounts("ins"),
+    "original_amount": _amounts("del"),
+    "amount": _amounts(),
+    "store": ".store-item",
+    "store_name": ".store-item .store-name",
+    "store_status": ".store-item .status",
+    "store_text": ".store-item .status-text",
+    **{f"stock_row_{n}": f"{box} {row}" for n, (box, row) in enumerate(STOCK_ROWS)},
+    "cell": ", ".join(f"{box} td" for box, _ in STOCK_ROWS),
+    "out_of_stock": ".stock.out-of-stock, .out-of-stock",
+    "in_stock": ".stock.in-stock, .in-stock",
+    "add_to_cart": "button.single_add_to_cart_button",
+    "article_date": "meta[property=article:published_time]",
+    "json_ld": "script[type=application/ld+json]",
+    "micro_date": "[itemprop=datePublished]",
+    "time": "time.published, time.entry-date",
+}
+
+
+def _text(elements: Column, role: str) -> Column:
+    return trim_or_null(first(having(elements, role))["text"])
+
+
+def _attribute(elements: Column, role: str, name: str) -> Column:
     """An attribute of the first element, an empty one counting as missing."""
-    return F.nullif(F.try_element_at(first(elements)["attrs"], F.lit(name)), F.lit(""))
-
+    return F.nullif(F.try_element_at(first(having(elements, role))["attrs"], F.lit(name)), F.lit(""))
 
-def _has(elements: Column, selector: str) -> Column:
-    return F.size(matching(elements, selector)) > 0
 
+def _has(elements: Column, role: str) -> Column:
+    return F.exists(elements, lambda e: F.array_contains(e["roles"], role))
 
-def _with_attribute(elements: Column, name: str, values: list[str]) -> Column:
-    return F.filter(
-        elements,
-        lambda e: F.coalesce(F.try_element_at(e["attrs"], F.lit(name)).isin(*values), F.lit(False)),
-    )
 
+def _all_text(elements: Column) -> Column:
+    return F.concat_ws("", F.transform(elements, lambda e: e["text"]))
 
-def is_product_page(elements: Column) -> Column:
-    """A body or product class, or a schema.org product type."""
-    schema_org = ["http://schema.org/Product", "https://schema.org/Product"]
-    return (
-        _has(elements, "body.single-product, body.woocommerce-page, .product")
-        | (F.size(_with_attribute(elements, "itemtype", schema_org)) > 0)
-    )
 
+def _store_boxes(elements: Column) -> Column:
+    """Stock by status box: (location, quantity), NULLs where a box does not tell."""
 
-def stock_locations(elements: Column) -> Column:
-    """Stock per store: status boxes first, else the first container that yields rows."""
-    boxes = F.transform(
-        matching(elements, ".store-item"),
-        lambda box: F.struct(
-            strip(_all_text(inside(matching(elements, ".store-name"), box))).alias("location"),
+    def read(box: Column) -> Column:
+        parts = inside(elements, box)
+        css = F.try_element_at(first(having(parts, "store_status"))["attrs"], F.lit("class"))
+        return F.struct(
+            strip(_all_text(having(parts, "store_name"))).alias("location"),
             store_status_quantity(
-                F.coalesce(
-                    F.try_element_at(
-                        first(inside(matching(elements, ".status"), box))["attrs"], F.lit("class")
-                    ),
-                    F.lit(""),
-                ),
-                strip(_all_text(inside(matching(elements, ".status-text"), box))),
+                F.coalesce(css, F.lit("")), strip(_all_text(having(parts, "store_text")))
             ).alias("quantity"),
-        ),
-    )
-    found = [_complete(boxes)]
-    for container, row in STOCK_ROWS:
-        rows = F.transform(
-            matching(elements, f"{container} {row}"),
-            lambda r: _row_stock(inside(matching(elements, "td"), r), r),
         )
-        found.append(_complete(rows))
-    chosen = F.when(F.size(found[0]) > 0, found[0])
-    for candidate in found[1:]:
-        chosen = chosen.when(F.size(candidate) > 0, candidate)
-    return chosen.otherwise(F.array().cast("array<struct<location:string,quantity:int>>"))
 
+    return F.transform(having(elements, "store"), read)
 
-def _all_text(elements: Column) -> Column:
-    return F.concat_ws("", F.transform(elements, lambda e: e["text"]))
 
+def _stock_rows(elements: Column) -> Column:
+    """Stock by table row or list item: (container, location, quantity)."""
+    rows = F.filter(elements, lambda e: F.exists(e["roles"], lambda r: r.startswith("stock_row")))
 
-def _row_stock(cells: Column, row: Column) -> Column:
-    pair = F.struct(
-        strip(F.get(cells, F.lit(0))["text"]).alias("location"),
-        first_integer(F.get(cells, F.lit(1))["text"]).alias("quantity"),
-    )
-    return F.when(F.size(cells) >= 2, pair).otherwise(location_and_quantity(strip(row["text"])))
+    def read(row: Column) -> Column:
+        cells = having(inside(elements, row), "cell")
+        pair = F.struct(
+            strip(F.get(cells, F.lit(0))["text"]).alias("location"),
+            first_integer(F.get(cells, F.lit(1))["text"]).alias("quantity"),
+        )
+        stock = F.when(F.size(cells) >= 2, pair).otherwise(location_and_quantity(strip(row["text"])))
+        return F.transform(
+            F.filter(row["roles"], lambda r: r.startswith("stock_row")),
+            lambda r: F.struct(
+                r.alias("container"),
+                stock["location"].alias("location"),
+                stock["quantity"].alias("quantity"),
+            ),
+        )
+
+    return F.flatten(F.transform(rows, read))
 
 
 def _complete(rows: Column) -> Column:
@@ -128,47 +141,49 @@ def _complete(rows: Column) -> Column:
     )
 
 
+def _choose_stock(boxes: Column, rows: Column) -> Column:
+    """The status boxes if any was readable, else the rows of the first container that has some."""
+    container = F.array_min(F.transform(rows, lambda r: r["container"]))
+    from_rows = F.transform(
+        F.filter(rows, lambda r: r["container"] == container),
+        lambda r: F.struct(r["location"].alias("location"), r["quantity"].alias("quantity")),
+    )
+    return F.when(F.size(boxes) > 0, boxes).otherwise(from_rows)
+
+
 def published_date(elements: Column) -> Column:
     """Article meta tag, JSON-LD, microdata, then a time element; the first source present decides.
 
     A meta tag or microdata value that is no date ends the search, unlike a JSON-LD block.
     """
-    article = _attribute(_with_attribute(elements, "property", ["article:published_time"]), "content")
-    blocks = F.transform(
-        _with_attribute(elements, "type", ["application/ld+json"]), lambda e: e["text"]
+    article = _attribute(elements, "article_date", "content")
+    blocks = F.transform(having(elements, "json_ld"), lambda e: e["text"])
+    micro = F.coalesce(
+        _attribute(elements, "micro_date", "content"), _attribute(elements, "micro_date", "datetime")
     )
-    micro = _with_attribute(elements, "itemprop", ["datePublished"])
-    micro_date = F.coalesce(_attribute(micro, "content"), _attribute(micro, "datetime"))
-    stamp = _attribute(matching(elements, "time.published, time.entry-date"), "datetime")
-    linked = json_ld_date(blocks)
-    return (
-        F.when(article.isNotNull(), normalise_date(article))
-        .when(linked.isNotNull(), linked)
-        .when(micro_date.isNotNull(), normalise_date(micro_date))
-        .otherwise(normalise_date(stamp))
+    stamp = _attribute(elements, "time", "datetime")
+    after_blocks = F.when(micro.isNotNull(), normalise_date(micro)).otherwise(normalise_date(stamp))
+    return F.when(article.isNotNull(), normalise_date(article)).otherwise(
+        F.coalesce(json_ld_date(blocks), after_blocks)
     )
 
 
 def page_diagnosis(elements: Column) -> Column:
     """Title, price markup and text excerpt of a page, for products without a price."""
-    boxes = matching(elements, ", ".join(PRICE_BOXES))
-    title = F.coalesce(trim_or_null(_all_text(matching(elements, "title"))), F.lit("(no title)"))
-    markup = F.nullif(first(boxes)["markup"], F.lit(""))
+    title = F.coalesce(trim_or_null(_all_text(having(elements, "title"))), F.lit("(no title)"))
+    markup = F.nullif(first(having(elements, "price_box"))["markup"], F.lit(""))
+    body = squash(first(having(elements, "body"))["text"], BODY_WIDTH)
     return F.concat_ws(
         "\n    ",
         F.concat(F.lit('Page title: "'), title, F.lit('"')),
         F.concat(
-            F.lit("Has .summary/.entry-summary: "),
-            _has(elements, ".summary, .entry-summary").cast("string"),
+            F.lit("Has .summary/.entry-summary: "), _has(elements, "summary").cast("string")
         ),
         F.concat(
             F.lit("Price container HTML: "),
             F.coalesce(squash(markup, MARKUP_WIDTH), F.lit("(not found)")),
         ),
-        F.concat(
-            F.lit("Body text snippet: "),
-            F.coalesce(squash(first(matching(elements, "body"))["text"], BODY_WIDTH), F.lit("")),
-        ),
+        F.concat(F.lit("Body text snippet: "), F.coalesce(body, F.lit(""))),
     )
 
 
@@ -194,59 +209,56 @@ def extract_products(pages: DataFrame) -> DataFrame:
         F.when(fetched & ~challenge & plausible, F.col("html")).alias("html"),
     )
     e = F.col("elements")
-    read = flatten_pages(gated).withColumns(
-        {
-            "is_product": F.coalesce(is_product_page(e), F.lit(False)),
-            "_sale": first(matching(e, amounts("ins"))),
-            "_regular": first(matching(e, amounts())),
-            "_original": first(matching(e, amounts("del"))),
-        }
+    # Each step materialises what the next one uses more than once.
+    read = flatten_pages(gated, ROLES, ("price_box",)).select(
+        "*",
+        _has(e, "product_page").alias("is_product"),
+        first(having(e, "sale_amount"))["text"].alias("_sale"),
+        first(having(e, "amount"))["text"].alias("_regular"),
+        _complete(_store_boxes(e)).alias("_boxes"),
+        _complete(_stock_rows(e)).alias("_rows"),
     )
     on_sale = F.col("_sale").isNotNull()
-    raw = F.when(on_sale, strip(F.col("_sale.text"))).otherwise(strip(F.col("_regular.text")))
-    image = matching(e, IMAGE)
-    observed = (
-        read.withColumn("_raw", raw)
-        .withColumns(
-            {
-                "price": parse_price(F.col("_raw")),
-                "_stock": stock_locations(e),
-            }
-        )
-        .withColumns(
-            {
-                "original_price": F.when(
-                    on_sale & F.col("price").isNotNull(), parse_price(F.col("_original.text"))
-                ),
-                "currency": parse_currency(F.col("_raw")),
-                "price_debug": F.when(
-                    F.col("price").isNull(),
-                    F.when(F.col("_raw").isNull(), "no price element on the page").otherwise(
-                        F.concat(
-                            F.when(on_sale, "sale").otherwise("regular"),
-                            F.lit(' price element without a number: "'),
-                            F.col("_raw"),
-                            F.lit('"'),
-                        )
-                    ),
-                ),
-                "html_debug": F.when(F.col("price").isNull(), page_diagnosis(e)),
-                "name": _text(e, NAME),
-                "sku": _text(e, SKU),
-                "category": _text(e, CATEGORY),
-                "description": _text(e, DESCRIPTION),
-                "image_url": F.coalesce(_attribute(image, "src"), _attribute(image, "data-src")),
-                "discount_percentage": parse_percent(first(matching(e, DISCOUNT_BADGE))["text"]),
-                "stock_locations": F.col("_stock"),
-                "is_available": availability(
-                    F.col("_stock"),
-                    _has(e, ".stock.out-of-stock, .out-of-stock"),
-                    _has(e, ".stock.in-stock, .in-stock"),
-                    _has(e, "button.single_add_to_cart_button"),
+    priced = read.select(
+        "*",
+        strip(F.coalesce("_sale", "_regular")).alias("_raw"),
+        _choose_stock(F.col("_boxes"), F.col("_rows")).alias("stock_locations"),
+    ).withColumn("price", parse_price(F.col("_raw")))
+    no_price = F.col("price").isNull()
+    observed = priced.withColumns(
+        {
+            "original_price": F.when(
+                on_sale & ~no_price, parse_price(first(having(e, "original_amount"))["text"])
+            ),
+            "currency": parse_currency(F.col("_raw")),
+            "price_debug": F.when(
+                no_price,
+                F.when(F.col("_raw").isNull(), "no price element on the page").otherwise(
+                    F.concat(
+                        F.when(on_sale, "sale").otherwise("regular"),
+                        F.lit(' price element without a number: "'),
+                        F.col("_raw"),
+                        F.lit('"'),
+                    )
                 ),
-                "published_date": published_date(e),
-            }
-        )
+            ),
+            "html_debug": F.when(no_price, page_diagnosis(e)),
+            "name": _text(e, "name"),
+            "sku": _text(e, "sku"),
+            "category": _text(e, "category"),
+            "description": _text(e, "description"),
+            "image_url": F.coalesce(
+                _attribute(e, "image", "src"), _attribute(e, "image", "data-src")
+            ),
+            "discount_percentage": parse_percent(first(having(e, "badge"))["text"]),
+            "is_available": availability(
+                F.col("stock_locations"),
+                _has(e, "out_of_stock"),
+                _has(e, "in_stock"),
+                _has(e, "add_to_cart"),
+            ),
+            "published_date": published_date(e),
+        }
     )
     found = {
         f.name
@@ -270,6 +282,6 @@ def extract_products(pages: DataFrame) -> DataFrame:
 def page_text(pages: DataFrame, selectors: dict[str, str]) -> DataFrame:
     """Trimmed text of the first element per selector, for any stored page."""
     kept = [c for c in pages.columns if c != "html"]
-    return flatten_pages(pages).select(
-        *kept, *[_text(F.col("elements"), s).alias(name) for name, s in selectors.items()]
+    return flatten_pages(pages, selectors).select(
+        *kept, *[_text(F.col("elements"), name).alias(name) for name in selectors]
     )

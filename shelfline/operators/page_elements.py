@@ -1,9 +1,8 @@
-"""Flattening stored HTML into the few elements a product page is read from.
+"""Flattening stored HTML into the few elements a page is read from.
 
-Python only turns markup into a short list of elements per page: where each one starts and ends in
-document order, its ancestors as a path such as ``html/body.single-product/div.summary/p.price``,
-some attributes and its text. Choosing, parsing and validating happens on that list with Spark
-column expressions (``operators.extract``).
+Python only turns markup into a short list of elements per page: those that match a named selector,
+with their extent in document order, some attributes and their text. Choosing among them, parsing
+and validating happens on that list with Spark column expressions (``operators.extract``).
 """
 
 from __future__ import annotations
@@ -11,9 +10,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.functions.text import WHITESPACE
@@ -40,24 +40,8 @@ ENDS_PARAGRAPH = {
     "pre", "section", "table", "ul",
 }
 
-KEPT_ATTRIBUTES = ("class", "content", "datetime", "src", "data-src", "itemprop", "itemtype", "property", "type")
-KEPT_TAGS = {"title", "body", "h1", "button", "time"}
-KEPT_CLASSES = {
-    "product", "summary", "entry-summary", "price", "amount", "woocommerce-Price-amount", "sku",
-    "onsale", "woocommerce-badge--onsale", "woocommerce-product-details__short-description",
-    "product-short-description", "store-item", "store-name", "status", "status-text", "out-of-stock",
-    "in-stock", "wc-stock-locations", "stock-locations", "atum-stock-details", "woosq-table",
-    "store-locator-table", "shop_table",
-}
-# Elements of these tags matter only below an ancestor of one of these classes.
-KEPT_BELOW = {
-    "a": {"posted_in"},
-    "img": {"woocommerce-product-gallery__image"},
-    "tr": KEPT_CLASSES,
-    "td": KEPT_CLASSES,
-    "li": KEPT_CLASSES,
-}
-PRICE_BOX_CLASSES = {"summary", "entry-summary", "wd-single-price"}
+KEPT_ATTRIBUTES = ("class", "content", "datetime", "src", "data-src")
+# Characters kept of an element's markup and of the text of the whole body.
 MARKUP_WIDTH = 300
 BODY_WIDTH = 500
 
@@ -65,56 +49,91 @@ ELEMENT = pa.struct(
     [
         ("seq", pa.int32()),
         ("last", pa.int32()),
-        ("path", pa.string()),
+        ("roles", pa.list_(pa.string())),
         ("attrs", pa.map_(pa.string(), pa.string())),
         ("text", pa.string()),
         ("markup", pa.string()),
     ]
 )
 ELEMENT_DDL = (
-    "array<struct<seq:int,last:int,path:string,attrs:map<string,string>,text:string,markup:string>>"
+    "array<struct<seq:int,last:int,roles:array<string>,attrs:map<string,string>,text:string,markup:string>>"
 )
 
 _SPACE_RUN = re.compile(f"[{WHITESPACE}]+")
 
 
+_STEP = re.compile(r"^([a-z0-9]*)((?:\.[\w-]+)*)(?:\[([\w-]+)=([^\]]+)\])?$", re.IGNORECASE)
+
+
+class Step(NamedTuple):
+    """One part of a selector: tag, classes and an attribute value, each optional."""
+
+    tag: str
+    classes: frozenset
+    attribute: str
+    value: str
+
+    def fits(self, tag: str, classes: frozenset) -> bool:
+        return (not self.tag or self.tag == tag) and self.classes <= classes
+
+
+def compile_roles(roles: dict[str, str]) -> dict[str, list[tuple[str, list[Step]]]]:
+    """Selectors by the tag or class their last step asks for: {key: [(role, steps)]}."""
+    by_key: dict[str, list[tuple[str, list[Step]]]] = {}
+    for role, selectors in roles.items():
+        for selector in selectors.split(","):
+            steps = []
+            for text in selector.split():
+                tag, classes, attribute, value = _STEP.match(text).groups()
+                wanted = frozenset(c for c in classes.split(".") if c)
+                steps.append(Step(tag, wanted, attribute or "", value or ""))
+            last = steps[-1]
+            key = "." + min(last.classes) if last.classes else last.tag or "*"
+            by_key.setdefault(key, []).append((role, steps))
+    return by_key
+
+
 class _Open:
     """An element whose end has not been seen yet."""
 
-    __slots__ = ("tag", "path", "above", "row", "text_from", "markup_from")
+    __slots__ = ("tag", "classes", "row", "text_from", "markup_from")
 
-    def __init__(self, tag, path, above, row, text_from, markup_from):
-        self.tag, self.path, self.above, self.row = tag, path, above, row
+    def __init__(self, tag, classes, row, text_from, markup_from):
+        self.tag, self.classes, self.row = tag, classes, row
         self.text_from, self.markup_from = text_from, markup_from
 
 
+_NO_CLASSES: frozenset = frozenset()
+
+
 class _Flattener(HTMLParser):
-    def __init__(self) -> None:
+    def __init__(self, by_key: dict, markup_roles: frozenset) -> None:
         super().__init__(convert_charrefs=True)
+        self.by_key, self.markup_roles = by_key, markup_roles
         self.rows: list[dict] = []
         self.stack: list[_Open] = []
         self.text: list[str] = []
         self.length = 0
         self.count = 0
-        self.lines = [0]
 
     def flatten(self, html: str) -> list[dict]:
-        for match in re.finditer("\n", html):
-            self.lines.append(match.end())
         self.source = html
+        self.lines = [0, *(m.end() for m in re.finditer("\n", html))] if self.markup_roles else []
         self.feed(html)
         self.close()
         self._close_down_to(0, len(html))
-        self.whole = "".join(self.text)
+        whole = "".join(self.text)
         for row in self.rows:
             start, end = row.pop("span")
-            text = self.whole[start:end]
-            if row["path"].rpartition("/")[2].partition(".")[0] == "body":
+            text = whole[start:end]
+            if "body" in row["roles"]:
                 text = _SPACE_RUN.sub(" ", text).strip(" ")[:BODY_WIDTH]
             row["text"] = text
         return self.rows
 
     def _at(self) -> int:
+        if not self.lines:
+            return 0
         line, column = self.getpos()
         return self.lines[line - 1] + column
 
@@ -142,23 +161,20 @@ class _Flattener(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         at = self._at()
-        self._end_implied(tag, at)
+        if tag in IMPLIED_END or tag in ENDS_PARAGRAPH:
+            self._end_implied(tag, at)
         values: dict[str, str] = {}
         for name, value in attrs:
             values.setdefault(name, value or "")
-        classes = _SPACE_RUN.sub(" ", values.get("class", "")).split(" ")
-        classes = [c for c in classes if c]
-        parent = self.stack[-1] if self.stack else None
-        # "/" and "." separate the parts of a path, so they are replaced inside class names
-        step = ".".join([tag, *(re.sub("[/.]", "\x01", c) for c in classes)])
-        path = f"{parent.path}/{step}" if parent else step
-        above = parent.above if parent else frozenset()
+        listed = values.get("class")
+        classes = frozenset(_SPACE_RUN.sub(" ", listed).split(" ")) - {""} if listed else _NO_CLASSES
+        roles = self._roles(tag, classes, values)
         row = None
-        if self._kept(tag, classes, above, values):
+        if roles:
             row = {
                 "seq": self.count,
                 "last": self.count,
-                "path": path,
+                "roles": roles,
                 "attrs": [(k, values[k]) for k in KEPT_ATTRIBUTES if k in values],
                 "markup": None,
                 "span": (self.length, self.length),
@@ -167,23 +183,34 @@ class _Flattener(HTMLParser):
         self.count += 1
         if tag in VOID_TAGS:
             return
-        boxed = "price" in classes and above & PRICE_BOX_CLASSES
-        markup_from = at + len(self.get_starttag_text()) if boxed else None
-        inner = above | frozenset(classes) if classes else above
-        self.stack.append(_Open(tag, path, inner, row, self.length, markup_from))
-
-    def _kept(self, tag: str, classes: list[str], above: frozenset, attrs: dict[str, str]) -> bool:
-        if tag in KEPT_TAGS or not KEPT_CLASSES.isdisjoint(classes):
-            return True
-        if tag in KEPT_BELOW and above & KEPT_BELOW[tag]:
-            return True
-        if tag == "script":
-            return attrs.get("type") == "application/ld+json"
-        return (
-            attrs.get("property") == "article:published_time"
-            or attrs.get("itemprop") == "datePublished"
-            or attrs.get("itemtype", "").endswith("://schema.org/Product")
-        )
+        shown = roles and not self.markup_roles.isdisjoint(roles)
+        markup_from = at + len(self.get_starttag_text()) if shown else None
+        self.stack.append(_Open(tag, classes, row, self.length, markup_from))
+
+    def _roles(self, tag: str, classes: frozenset, attrs: dict[str, str]) -> list[str]:
+        roles: list[str] = []
+        for key in (tag, "*", *("." + c for c in classes)):
+            for role, steps in self.by_key.get(key, ()):
+                leaf = steps[-1]
+                if (
+                    role not in roles
+                    and leaf.fits(tag, classes)
+                    and (not leaf.attribute or attrs.get(leaf.attribute) == leaf.value)
+                    and self._below(steps)
+                ):
+                    roles.append(role)
+        return roles
+
+    def _below(self, steps: list[Step]) -> bool:
+        """The open elements contain the leading steps in order; the nearest match is enough."""
+        at = len(self.stack)
+        for step in reversed(steps[:-1]):
+            at -= 1
+            while at >= 0 and not step.fits(self.stack[at].tag, self.stack[at].classes):
+                at -= 1
+            if at < 0:
+                return False
+        return True
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         # the closing slash has no meaning on elements that can have content
@@ -200,66 +227,55 @@ class _Flattener(HTMLParser):
         self.length += len(data)
 
 
-def page_elements(html: str | None) -> list[dict]:
-    """The kept elements of one page in document order."""
-    return _Flattener().flatten(html) if html else []
+def page_elements(
+    html: str | None, by_key: dict, markup_roles: frozenset = frozenset()
+) -> list[dict]:
+    """The elements of one page that have a role, in document order."""
+    return _Flattener(by_key, markup_roles).flatten(html) if html else []
+
 
+# Pages per Arrow batch: at the 2 GB limit of one text vector this leaves 4 MB per page.
+PAGES_PER_BATCH = 500
 
-def flatten_pages(pages: DataFrame, html: str = "html") -> DataFrame:
+
+def flatten_pages(
+    pages: DataFrame, roles: dict[str, str], markup_roles: tuple[str, ...] = (), html: str = "html"
+) -> DataFrame:
     """Replaces the ``html`` column by ``elements``; every other column passes through.
 
-    A narrow Arrow pass: pages stay in their partitions. Batches are kept small because one page
-    may be megabytes long.
+    ``roles`` names selectors of tags, classes and descendants; ``markup_roles`` those whose inner
+    markup is kept too. A narrow Arrow pass: pages stay in their partitions. Batches are kept small
+    because one page may be megabytes long.
     """
-    _limit_arrow_batches(pages)
+    conf = pages.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > PAGES_PER_BATCH:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PAGES_PER_BATCH))
     passed = [c for c in pages.columns if c != html]
+    shown = frozenset(markup_roles)
 
     def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_key = compile_roles(roles)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(html))
-            elements = pa.array(
-                [page_elements(t.as_py()) for t in texts], type=pa.list_(ELEMENT)
-            )
+            found = [page_elements(t.as_py(), by_key, shown) for t in texts]
             columns = [batch.column(batch.schema.get_field_index(c)) for c in passed]
-            yield pa.RecordBatch.from_arrays([*columns, elements], [*passed, "elements"])
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(found, type=pa.list_(ELEMENT))], [*passed, "elements"]
+            )
 
     fields = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in passed)
     return pages.select(*passed, html).mapInArrow(flatten, f"{fields}, elements {ELEMENT_DDL}")
 
 
-# Pages per Arrow batch: at the 2 GB limit of one text vector this leaves 4 MB per page.
-PAGES_PER_BATCH = 500
-
-
-def _limit_arrow_batches(pages: DataFrame) -> None:
-    conf = pages.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > PAGES_PER_BATCH:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PAGES_PER_BATCH))
-
-
-def matching(elements: F.Column, selector: str) -> F.Column:
-    """Elements that match a selector list of tags, classes and descendants, in document order.
-
-    ``".summary .price ins .amount, .amount"`` becomes one test on the path of each element.
-    """
-    pattern = "|".join(_path_pattern(s.split()) for s in selector.split(","))
-    return F.filter(elements, lambda e: e["path"].rlike(pattern))
-
-
-def _path_pattern(steps: list[str]) -> str:
-    parts = []
-    for step in steps:
-        tag, *classes = step.split(".")
-        tests = f"{tag}(?=[./]|$)" if tag else ""
-        wanted = "".join(f"(?=[^/]*\\.{re.escape(c)}(?:[./]|$))" for c in classes)
-        parts.append(f"{wanted}{tests}[^/]*")
-    return "(?:^(?:.*/)?" + "/(?:.*/)?".join(parts) + "$)"
+def having(elements: Column, role: str) -> Column:
+    """Elements with a role, in document order."""
+    return F.filter(elements, lambda e: F.array_contains(e["roles"], role))
 
 
-def inside(elements: F.Column, outer: F.Column) -> F.Column:
+def inside(elements: Column, outer: Column) -> Column:
     """Elements that lie below ``outer``."""
     return F.filter(elements, lambda e: (e["seq"] > outer["seq"]) & (e["seq"] <= outer["last"]))
 
 
-def first(elements: F.Column) -> F.Column:
+def first(elements: Column) -> Column:
     return F.get(elements, F.lit(0))

@@ -54,8 +54,8 @@ def compare(spark, con, name, fn, sql, sf_dir) -> tuple[bool, str]:
     if sorted(columns) != sorted(df.columns):
         return False, f"{name}: columns {sorted(df.columns)} against {sorted(columns)}"
     if got != want:
-        only_got = [r for r in got if r not in set(want)][:3]
-        only_want = [r for r in want if r not in set(got)][:3]
+        only_got = list(set(got) - set(want))[:3]
+        only_want = list(set(want) - set(got))[:3]
         return False, (
             f"{name}: {len(got)} rows against {len(want)}; columns {sorted(columns)}\n"
             f"   only ours:   {only_got}\n   only oracle: {only_want}"
