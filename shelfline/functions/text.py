@@ -92,9 +92,10 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{WHITESPACE}]+|[{WHITESPACE}]+$", "")
 
 
-def squash(text: Column, width: int) -> Column:
-    """White-space runs become one blank, then the text is stripped and cut to ``width``."""
-    return F.left(strip(F.regexp_replace(text, f"[{WHITESPACE}]+", " ")), F.lit(width))
+def squash(text: Column, width: int | None = None) -> Column:
+    """White-space runs become one blank, the ends are stripped; optionally cut to ``width``."""
+    squashed = strip(F.regexp_replace(text, f"[{WHITESPACE}]+", " "))
+    return squashed if width is None else F.left(squashed, F.lit(width))
 
 
 def valid_email(text: Column) -> Column:

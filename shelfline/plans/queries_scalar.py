@@ -276,14 +276,18 @@ def field_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "trimmed_texts",
-    r"""SELECT doc_id, left(trim(regexp_replace(text, '\s+', ' ', 'g')), 300) AS excerpt, CASE WHEN lang = 'en' THEN NULL ELSE lang END AS lang
+    r"""SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS squashed,
+    left(trim(regexp_replace(text, '\s+', ' ', 'g')), 300) AS excerpt, CASE WHEN lang = 'en' THEN NULL ELSE lang END AS lang
     FROM documents""",
 )
 def trimmed_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Squashed excerpts as kept in page diagnoses, and blank texts turned into NULL."""
+    """Whole squashed texts, excerpts as kept in page diagnoses, and blank texts turned into NULL."""
     padded = F.when(F.col("lang") == "en", F.lit("  \n")).otherwise(F.concat(F.lit("  "), "lang", F.lit("\t")))
     return a.table(spark, d, "documents").select(
-        "doc_id", squash(F.col("text"), 300).alias("excerpt"), trim_or_null(padded).alias("lang")
+        "doc_id",
+        squash(F.col("text")).alias("squashed"),
+        squash(F.col("text"), 300).alias("excerpt"),
+        trim_or_null(padded).alias("lang"),
     )
 
 
