@@ -40,19 +40,20 @@ def _accent_table() -> tuple[str, str]:
 
 
 ACCENTED, PLAIN = _accent_table()
+_MARKS = "".join(map(chr, range(ord(COMBINING_MARKS[0]), ord(COMBINING_MARKS[1]) + 1)))
 
 
 def normalize_text(text: Column) -> Column:
     """Lower case without accents; NULL becomes the empty string."""
     lowered = F.lower(F.coalesce(text, F.lit("")))
-    return F.regexp_replace(
-        F.translate(lowered, ACCENTED, PLAIN), f"[{COMBINING_MARKS[0]}-{COMBINING_MARKS[1]}]", ""
-    )
+    # characters without a counterpart are deleted, so one pass both maps letters and drops marks
+    folded = F.translate(lowered, ACCENTED + _MARKS, PLAIN)
+    return F.when(lowered.rlike("[^\\x00-\\x7F]"), folded).otherwise(lowered)
 
 
 def split_tokens(normalized: Column) -> Column:
     """Tokens of already normalised text, cut at white space, hyphens, slashes and dots."""
-    return F.filter(F.split(normalized, _SEPARATORS), lambda t: t != "")
+    return F.array_remove(F.split(normalized, _SEPARATORS), "")
 
 
 def tokenize(text: Column) -> Column:

@@ -63,13 +63,21 @@ def hot_cuts(
 
 
 def slice_hot_keys(
-    df: DataFrame, key: str, ts: str, hot_rows: int = HOT_ROWS, max_slices: int = MAX_SLICES
+    df: DataFrame,
+    key: str,
+    ts: str,
+    hot_rows: int = HOT_ROWS,
+    max_slices: int = MAX_SLICES,
+    sizing: DataFrame | None = None,
 ) -> tuple[DataFrame, bool]:
     """``df`` with ``_slice`` and ``_hot`` columns, and whether any key was cut at all.
 
     The slice number never decreases along ``ts`` within a key, and rows of equal time share one.
+    ``sizing`` may give a cheaper table with the same key and time columns, such as the raw rows
+    ``df`` was derived from; where the cuts lie affects only the balance of the slices.
     """
-    bounds = hot_cuts(df, key, ts, hot_rows, max_slices)
+    measured = df if sizing is None else sizing
+    bounds = hot_cuts(measured.select(key, ts), key, ts, hot_rows, max_slices)
     if not bounds:
         return df.withColumns({SLICE: F.lit(0), HOT: F.lit(False)}), False
     schema = T.StructType(

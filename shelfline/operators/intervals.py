@@ -105,13 +105,14 @@ def _intervals(
     carried: str | None,
     hot_rows: int,
     max_slices: int,
+    sizing: DataFrame | None,
 ) -> DataFrame:
     value = F.struct(*value_cols)
     order = [F.col(ts), *[F.col(c) for c in tie_cols]]
     flagged = observations.withColumn(
         "_carried", F.coalesce(F.col(carried), F.lit(False)) if carried else F.lit(False)
     )
-    sliced, any_hot = slice_hot_keys(flagged, key, ts, hot_rows, max_slices)
+    sliced, any_hot = slice_hot_keys(flagged, key, ts, hot_rows, max_slices, sizing)
     rows = _run_columns(sliced, key, ts, value, order)
     if any_hot:
         rows = rows.join(F.broadcast(_carry(rows, key, ts)), [key, SLICE], "left")
@@ -151,6 +152,7 @@ def strict_intervals(
     carried: str | None = None,
     hot_rows: int = HOT_ROWS,
     max_slices: int = MAX_SLICES,
+    sizing: DataFrame | None = None,
 ) -> DataFrame:
     """Validity intervals as they are recorded observation by observation.
 
@@ -159,10 +161,11 @@ def strict_intervals(
     run of equal values the odd observations open and every following observation closes.
 
     ``carried`` names a boolean column that marks rows which are stored open intervals rather
-    than observations; they keep their start and simply come first.
+    than observations; they keep their start and simply come first. ``sizing`` is a cheaper table
+    to look for very frequent products in (see ``hotkeys``).
     """
     return _intervals(
-        observations, "strict", key, ts, value_cols, tie_cols, carried, hot_rows, max_slices
+        observations, "strict", key, ts, value_cols, tie_cols, carried, hot_rows, max_slices, sizing
     )
 
 
@@ -175,10 +178,11 @@ def coalesced_intervals(
     carried: str | None = None,
     hot_rows: int = HOT_ROWS,
     max_slices: int = MAX_SLICES,
+    sizing: DataFrame | None = None,
 ) -> DataFrame:
     """One interval per run of equal values; the last one stays open."""
     return _intervals(
-        observations, "coalesced", key, ts, value_cols, tie_cols, carried, hot_rows, max_slices
+        observations, "coalesced", key, ts, value_cols, tie_cols, carried, hot_rows, max_slices, sizing
     )
 
 
@@ -190,12 +194,13 @@ def mark_changes(
     tie_cols: tuple[str, ...] = (),
     hot_rows: int = HOT_ROWS,
     max_slices: int = MAX_SLICES,
+    sizing: DataFrame | None = None,
 ) -> DataFrame:
     """Observations with ``changed``: the value differs from the one before (NULLs are equal)."""
     value = F.struct(*value_cols)
     order = [F.col(ts), *[F.col(c) for c in tie_cols]]
     flagged = observations.withColumn("_carried", F.lit(False))
-    sliced, any_hot = slice_hot_keys(flagged, key, ts, hot_rows, max_slices)
+    sliced, any_hot = slice_hot_keys(flagged, key, ts, hot_rows, max_slices, sizing)
     rows = _run_columns(sliced, key, ts, value, order)
     changed = F.col("_changed")
     if any_hot:

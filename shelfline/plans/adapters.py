@@ -67,12 +67,20 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def offer_sizing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product and day of every line item: what offers are reduced from."""
+    return table(spark, sf_dir, "lineitem").select(
+        (F.col("l_partkey") + 1).alias("product_id"), F.col("l_shipdate").alias("observed_at")
+    )
+
+
 def history(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataFrame:
     """Price history of the parts, optionally of the observations before an instant."""
     seen = offers(spark, sf_dir)
     if before is not None:
         seen = seen.filter(F.col("observed_at") < instant(before))
-    rows = strict_intervals(seen).withColumn("id", history_id(F.col("product_id"), F.col("start_ts")))
+    rows = strict_intervals(seen, sizing=offer_sizing(spark, sf_dir))
+    rows = rows.withColumn("id", history_id(F.col("product_id"), F.col("start_ts")))
     return align_schema(rows, HISTORY)
 
 
@@ -147,7 +155,8 @@ def shards(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         (F.col("observed_at") < instant(MERGE_POINT))
         | ((F.col("product_id") % 3 == 0) & (F.col("product_id") % 5 != 0))
     )
-    rows = strict_intervals(seen).withColumn("id", history_id(F.col("product_id"), F.col("start_ts")))
+    rows = strict_intervals(seen, sizing=offer_sizing(spark, sf_dir))
+    rows = rows.withColumn("id", history_id(F.col("product_id"), F.col("start_ts")))
     delta_history = align_schema(rows, HISTORY).withColumn(
         "shard", F.concat(F.lit("worker-"), F.col("product_id") % WORKERS)
     )
@@ -293,7 +302,9 @@ def rendered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     plain = F.concat(F.lit("<html><body><h1>"), F.col("p_name"), F.lit("</h1></body></html>"))
     kind = key % 20
-    return table(spark, sf_dir, "part").select(
+    # narrow rows are spread before the expensive steps that follow; pages at rest have many splits
+    spread = table(spark, sf_dir, "part").repartition(spark.sparkContext.defaultParallelism)
+    return spread.select(
         product_url().alias("url"),
         F.when(kind == 17, challenge).when(kind == 18, plain).otherwise(page).alias("html"),
         F.when(kind == 19, 404).otherwise(200).alias("status_code"),

@@ -71,12 +71,16 @@ def plan_crawl(
 
 
 def update_history(
-    history: DataFrame, observations: DataFrame, mode: str = "strict", **hot: int
+    history: DataFrame,
+    observations: DataFrame,
+    mode: str = "strict",
+    sizing: DataFrame | None = None,
+    **hot: int,
 ) -> DataFrame:
     """Stored history continued with newer observations (product_id, observed_at, price, ...).
 
     Closed intervals are never read by a shuffle: only the open interval of each product takes
-    part, as the first observation of the batch.
+    part, as the first observation of the batch. ``sizing`` as for ``strict_intervals``.
     """
     build = strict_intervals if mode == "strict" else coalesced_intervals
     columns = ["product_id", "price", "currency", "original_price"]
@@ -84,7 +88,7 @@ def update_history(
         *columns, F.col("start_ts").alias("observed_at"), F.lit(True).alias("_stored")
     )
     fresh = observations.select(*columns, "observed_at", F.lit(False).alias("_stored"))
-    intervals = build(carried.unionByName(fresh), carried="_stored", **hot)
+    intervals = build(carried.unionByName(fresh), carried="_stored", sizing=sizing, **hot)
     continued = intervals.withColumn("id", history_id(F.col("product_id"), F.col("start_ts")))
     return align_schema(closed_rows(history), HISTORY).unionByName(align_schema(continued, HISTORY))
 
@@ -111,9 +115,11 @@ def apply_observations(
     priced = events.filter(F.col("kind") == state.UPSERT).withColumn(
         "product_id", product_id(F.col("url"))
     )
+    # very frequent products show in the raw batch already, before anything is settled
+    sizing = observations.select(product_id(F.col("url")).alias("product_id"), "observed_at")
     return Update(
         state.fold_into(products, events),
-        update_history(history, priced, mode),
+        update_history(history, priced, mode, sizing),
         quality.run_counters(settled),
     )
 

@@ -81,7 +81,9 @@ OFFER_COLUMNS = ["product_id", "price", "original_price", "start_ts", "end_ts"]
 
 @query("price_history", f"WITH {HISTORY} SELECT product_id, price, original_price, start_ts, end_ts FROM hist")
 def price_history(spark: SparkSession, d: str) -> DataFrame:
-    return strict_intervals(a.offers(spark, d)).select(*OFFER_COLUMNS)
+    return strict_intervals(a.offers(spark, d), sizing=a.offer_sizing(spark, d)).select(
+        *OFFER_COLUMNS
+    )
 
 
 @query(
@@ -90,7 +92,9 @@ def price_history(spark: SparkSession, d: str) -> DataFrame:
     SELECT product_id, price, original_price, start_ts, end_ts FROM h""",
 )
 def coalesced_price_history(spark: SparkSession, d: str) -> DataFrame:
-    return coalesced_intervals(a.offers(spark, d)).select(*OFFER_COLUMNS)
+    return coalesced_intervals(a.offers(spark, d), sizing=a.offer_sizing(spark, d)).select(
+        *OFFER_COLUMNS
+    )
 
 
 @query(
@@ -111,7 +115,7 @@ def sliced_on_activity(spark: SparkSession, d: str) -> DataFrame:
     SELECT product_id, observed_at, price, original_price, chg = 1 AS changed FROM h_c""",
 )
 def price_changes(spark: SparkSession, d: str) -> DataFrame:
-    return mark_changes(a.offers(spark, d)).drop("currency")
+    return mark_changes(a.offers(spark, d), sizing=a.offer_sizing(spark, d)).drop("currency")
 
 
 @query(

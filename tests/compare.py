@@ -72,7 +72,7 @@ if __name__ == "__main__":
     sf = sys.argv[1]
     wanted = sys.argv[2:]
     session = build_session(
-        "compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g"}
+        "compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g"}
     )
     session.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
