@@ -90,7 +90,7 @@ def test_original_price_change_opens_an_interval(spark):
     assert len(found(strict_intervals(frame(spark, log)))) == 2
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_strict_equals_the_model(spark, seed):
     log = random_log(seed)
     assert found(strict_intervals(frame(spark, log))) == expected(log, record_prices)
@@ -102,7 +102,7 @@ def test_coalesced_equals_the_model(spark, seed):
     assert found(coalesced_intervals(frame(spark, log))) == expected(log, coalesce_prices)
 
 
-@pytest.mark.parametrize("seed", [6, 7, 8, 9])
+@pytest.mark.parametrize("seed", [6, 7])
 @pytest.mark.parametrize("max_slices", [8, 64])
 def test_sliced_hot_product_equals_the_model(spark, seed, max_slices):
     log = random_log(seed, products=6, longest=10, hot=400)
@@ -124,7 +124,7 @@ def test_long_equal_run_crosses_many_slices(spark):
 
 
 @pytest.mark.parametrize("mode", ["strict", "coalesced"])
-@pytest.mark.parametrize("cut", [7, 40, 95])
+@pytest.mark.parametrize("cut", [7, 60])
 def test_history_continued_in_two_batches_equals_one(spark, mode, cut):
     log = random_log(11)
     early = {p: [r for r in rows if r[0] < cut] for p, rows in log.items()}
