@@ -67,13 +67,15 @@ def numbered(df: DataFrame, order: list) -> DataFrame:
     )
 
 
-def balanced_chunks(df: DataFrame, order: list, chunks: int = WORKERS) -> DataFrame:
-    """Adds ``chunk`` (from 0) to a table of any size."""
-    return (
-        numbered(df, order)
-        .withColumn("chunk", chunk_of("position", "total", chunks))
-        .drop("position", "total")
-    )
+def balanced_chunks(
+    df: DataFrame, order: list, chunks: int = WORKERS, limit: int | None = None
+) -> DataFrame:
+    """Adds ``chunk`` (from 0) to a table of any size, or to its first ``limit`` rows."""
+    rows = numbered(df, order)
+    if limit is not None:
+        rows = rows.filter(F.col("position") < limit)
+        rows = rows.withColumn("total", F.least("total", F.lit(limit)))
+    return rows.withColumn("chunk", chunk_of("position", "total", chunks)).drop("position", "total")
 
 
 def chunk_manifest(planned: DataFrame, chunks: int = WORKERS) -> DataFrame:

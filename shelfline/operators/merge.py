@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.operators.intervals import latest_open, latest_record
 from shelfline.schemas import METADATA, history_id
 
 # The product columns a merge copies. Publication dates are not among them.
@@ -70,7 +69,9 @@ def history_actions(
     the shard's newest starts and add that one. ``none``: nothing to do.
     """
     interval = F.struct("id", "start_ts")
-    main = history.groupBy("product_id").agg(
+    # a merge touches few products, so their history is picked out before anything is grouped
+    concerned = history.join(touched.select("product_id"), "product_id", "left_semi")
+    main = concerned.groupBy("product_id").agg(
         F.max_by(interval, F.struct("start_ts", "id")).alias("latest"),
         F.max_by(
             interval, F.when(F.col("end_ts").isNull(), F.struct("start_ts", "id"))
@@ -143,14 +144,3 @@ def merge_counts(touched: DataFrame) -> DataFrame:
     """Merged products per shard, and over all shards in the row with a NULL shard."""
     return touched.rollup("shard").agg(F.count("*").alias("merged"))
 
-
-__all__ = [
-    "MERGED_COLUMNS",
-    "history_actions",
-    "latest_open",
-    "latest_record",
-    "merge_counts",
-    "merged_history",
-    "merged_products",
-    "touched_products",
-]

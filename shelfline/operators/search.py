@@ -126,18 +126,15 @@ def relevance_order() -> list[Column]:
 
 
 def _postings(products: DataFrame, key: str, fields: dict[str, str], weights: dict[str, int]) -> DataFrame:
-    """(key, token, weight) with the best weight of each token of a product."""
+    """(key, token, weight) for every token of every field; a narrow pass."""
     per_field = F.array(
         *[
             F.struct(tokenize(F.col(c)).alias("tokens"), F.lit(weights[f]).alias("weight"))
             for f, c in fields.items()
         ]
     )
-    return (
-        products.select(key, F.inline(per_field))
-        .select(key, F.explode("tokens").alias("token"), "weight")
-        .groupBy(key, "token")
-        .agg(F.max("weight").alias("weight"))
+    return products.select(key, F.inline(per_field)).select(
+        key, F.explode("tokens").alias("token"), "weight"
     )
 
 
@@ -211,8 +208,9 @@ def search_many(
     """(query_id, key, score) of every product that matches every token of a query.
 
     ``queries`` has ``query_id`` and ``query``. Tokens of all products are reduced to a
-    vocabulary, the vocabulary is matched against the query tokens, and only matching postings
-    are scored.
+    vocabulary, the vocabulary is matched against the query tokens, and postings meet the matched
+    tokens before anything is grouped, so postings that match nothing are not shuffled as long as
+    the matched tokens fit a broadcast.
     """
     weights = FIELD_WEIGHTS if weights is None else weights
     fields = {f: f for f in FIELD_WEIGHTS if f in products.columns} if fields is None else fields

@@ -50,16 +50,14 @@ def price_series(history: DataFrame, days: int, now: Column) -> DataFrame:
 def sparklines(
     shown: DataFrame, history: DataFrame, now: Column, days: int = SPARKLINE_DAYS
 ) -> DataFrame:
-    """Points for the products of one page in a single join; the page is its small side.
+    """Points for the products of one page, in a single join instead of a query per product.
 
-    The page is a top-k result, so its size is fixed by the page size.
+    A page comes out of a limit, so the planner knows that it is small and broadcasts it; a larger
+    selection is joined by shuffling.
     """
     wanted = shown.select(F.col("id").alias("product_id"))
-    return chart_points(
-        overlapping(history, days, now).join(F.broadcast(wanted), "product_id", "left_semi"),
-        days,
-        now,
-    )
+    recent = overlapping(history, days, now)
+    return chart_points(recent.join(wanted, "product_id", "left_semi"), days, now)
 
 
 def packed_series(

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.schemas import METADATA, epoch, product_id
+from shelfline.schemas import METADATA, PRODUCTS, align_schema, epoch, product_id
 
 UPSERT = "upsert"
 GONE = "404"
@@ -44,10 +44,14 @@ def fold_state(
     NULL; the first publication date is kept for good, the latest follows the newest upsert.
     """
     metadata = METADATA if metadata is None else metadata
-    s = _event_summary(_with_date(events), key, ts, metadata).filter("upserts > 0")
+    return _new_rows(_event_summary(_with_date(events), key, ts, metadata), key, metadata)
+
+
+def _new_rows(summary: DataFrame, key: str, metadata: list[str]) -> DataFrame:
+    """Product rows of keys that were not known before."""
     checked_again = (F.col("upserts") > 1) | (F.col("last_gone") > F.col("first_upsert"))
     latest = F.col("newest.dated")
-    return s.select(
+    return summary.filter("upserts > 0").select(
         key,
         *[F.col(f"newest.{c}").alias(c) for c in metadata],
         F.col("first_upsert").alias("first_seen_at"),
@@ -79,35 +83,35 @@ def reject_stale(events: DataFrame, products: DataFrame, ts: str = "observed_at"
 def fold_into(products: DataFrame, events: DataFrame, ts: str = "observed_at") -> DataFrame:
     """Stored product rows brought up to date with a batch of newer events.
 
-    The batch is reduced to one row per URL first, so the outer join has unique keys on both sides.
+    The batch is reduced to one row per URL first. Stored rows take the reduced batch by a left
+    join, so a batch that is small enough is broadcast and the product table is not shuffled; only
+    the URLs are compared to find the new products.
     """
-    s = _event_summary(_with_date(events), "url", ts, METADATA)
-    both = products.alias("p").join(s.alias("s"), "url", "full_outer")
-    known = F.col("p.id").isNotNull()
-    touched = F.col("s.last_ts").isNotNull()
+    summary = _event_summary(_with_date(events), "url", ts, METADATA)
+    touched = F.col("last_ts").isNotNull()
     upserted = F.coalesce(F.col("upserts"), F.lit(0)) > 0
-    checked_again = known | (F.col("upserts") > 1) | (F.col("last_gone") > F.col("first_upsert"))
     latest = F.col("newest.dated")
     first_from_batch = F.col("published_first").isNull() & F.col("first_dated").isNotNull()
-    fresh_checked = F.when(checked_again, F.col("last_ts")).otherwise(epoch())
-    merged = both.filter(known | upserted).select(
-        F.coalesce("p.id", product_id(F.col("url"))).alias("id"),
+
+    def newer(name: str, value: Column, changed: Column) -> Column:
+        return F.when(changed, value).otherwise(F.col(name)).alias(name)
+
+    known = align_schema(products, PRODUCTS).join(summary, "url", "left").select(
+        "id",
         "url",
-        *[F.when(upserted, F.col(f"newest.{c}")).otherwise(F.col(f"p.{c}")).alias(c) for c in METADATA],
-        F.coalesce("first_seen_at", "first_upsert").alias("first_seen_at"),
-        F.when(touched, fresh_checked).otherwise(F.col("last_checked_at")).alias("last_checked_at"),
-        F.when(touched, F.col("ends_active")).otherwise(F.col("is_active")).alias("is_active"),
-        F.when(first_from_batch, F.col("first_dated.published_date"))
-        .otherwise(F.col("published_first"))
-        .alias("published_first"),
-        F.when(upserted, latest["published_date"])
-        .otherwise(F.col("published_latest"))
-        .alias("published_latest"),
-        F.when(first_from_batch, F.col("first_dated.at"))
-        .otherwise(F.col("published_first_scraped_at"))
-        .alias("published_first_scraped_at"),
-        F.when(upserted, F.when(latest["published_date"].isNotNull(), latest["at"]))
-        .otherwise(F.col("published_latest_scraped_at"))
-        .alias("published_latest_scraped_at"),
+        *[newer(c, F.col(f"newest.{c}"), upserted) for c in METADATA],
+        "first_seen_at",
+        newer("last_checked_at", F.col("last_ts"), touched),
+        newer("is_active", F.col("ends_active"), touched),
+        newer("published_first", F.col("first_dated.published_date"), first_from_batch),
+        newer("published_latest", latest["published_date"], upserted),
+        newer("published_first_scraped_at", F.col("first_dated.at"), first_from_batch),
+        newer(
+            "published_latest_scraped_at",
+            F.when(latest["published_date"].isNotNull(), latest["at"]),
+            upserted,
+        ),
     )
-    return merged
+    unknown = summary.join(products.select("url"), "url", "left_anti")
+    added = _new_rows(unknown, "url", METADATA).withColumn("id", product_id(F.col("url")))
+    return known.unionByName(align_schema(added, PRODUCTS))

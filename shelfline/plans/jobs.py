@@ -64,9 +64,12 @@ def plan_crawl(
         )
         return chunks.limited_chunks(listed, [F.col("_place")], workers).select("url", "chunk")
     order = [F.col("last_checked_at").asc(), F.col("url").asc()]
-    stale = catalog.stale_first(products, limit, include_inactive).select("url", "last_checked_at")
     if limit > chunks.WINDOW_ROWS:
-        return chunks.balanced_chunks(stale, order, workers).select("url", "chunk")
+        # too many rows for a top-k that ends in one task
+        pool = products if include_inactive else products.filter("is_active")
+        pool = pool.select("url", "last_checked_at")
+        return chunks.balanced_chunks(pool, order, workers, limit).select("url", "chunk")
+    stale = catalog.stale_first(products, limit, include_inactive).select("url", "last_checked_at")
     return chunks.limited_chunks(stale, order, workers).select("url", "chunk")
 
 

@@ -84,6 +84,9 @@ def test_chunks(spark, rows, sizes):
     order = [F.col("last_checked_at").asc(), F.col("url").asc()]
     large = chunks.balanced_chunks(products.select("url", "last_checked_at"), order)
     assert sorted(map(tuple, large.select("url", "chunk").collect())) == sorted(map(tuple, plan.collect()))
+    cut = chunks.balanced_chunks(products.select("url", "last_checked_at"), order, limit=5)
+    fewer = jobs.plan_crawl(products, limit=5)
+    assert sorted(map(tuple, cut.select("url", "chunk").collect())) == sorted(map(tuple, fewer.collect()))
     inside = [r["chunk"] for r in plan.orderBy("url").collect()]
     assert inside == sorted(inside)
 
