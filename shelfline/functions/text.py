@@ -20,7 +20,9 @@ FUZZY_MAX_DISTANCE = 1
 EXACT_SCORE = 2
 FUZZY_SCORE = 1
 
+# Separators of tokens: any white space, hyphens, slashes and dots.
 _SEPARATORS = f"[{WHITESPACE}\\-/.]+"
+_ASCII_SEPARATORS = "[\\t-\\r \\-/.]+"
 
 
 def _is_mark(char: str) -> bool:
@@ -41,30 +43,47 @@ def _accent_table() -> tuple[str, str]:
 
 ACCENTED, PLAIN = _accent_table()
 _MARKS = "".join(map(chr, range(ord(COMBINING_MARKS[0]), ord(COMBINING_MARKS[1]) + 1)))
+_FOLDING = str.maketrans(ACCENTED, PLAIN, _MARKS)
+_WIDE_SPACES = "".join(
+    c for c in map(chr, [*range(0xA0, 0x3001), 0xFEFF]) if re.match(f"[{WHITESPACE}]", c)
+)
+
+
+def _folded(text: Column, mapped: str, to: str) -> Column:
+    """Lower case, then one pass that maps characters and deletes those without a counterpart.
+
+    Plain ASCII has nothing to map and skips the pass.
+    """
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(lowered.rlike("[^\\x00-\\x7F]"), F.translate(lowered, mapped, to)).otherwise(lowered)
 
 
 def normalize_text(text: Column) -> Column:
     """Lower case without accents; NULL becomes the empty string."""
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    # characters without a counterpart are deleted, so one pass both maps letters and drops marks
-    folded = F.translate(lowered, ACCENTED + _MARKS, PLAIN)
-    return F.when(lowered.rlike("[^\\x00-\\x7F]"), folded).otherwise(lowered)
+    return _folded(text, ACCENTED + _MARKS, PLAIN)
+
+
+def token_text(text: Column) -> Column:
+    """Normalised text in which every wide white-space character is a blank.
+
+    Tokens can then be cut at a handful of ASCII characters, which is much cheaper to match.
+    """
+    return _folded(text, ACCENTED + _WIDE_SPACES + _MARKS, PLAIN + " " * len(_WIDE_SPACES))
 
 
-def split_tokens(normalized: Column) -> Column:
-    """Tokens of already normalised text, cut at white space, hyphens, slashes and dots."""
-    return F.array_remove(F.split(normalized, _SEPARATORS), "")
+def split_tokens(prepared: Column) -> Column:
+    """Tokens of a ``token_text``, cut at white space, hyphens, slashes and dots."""
+    return F.array_remove(F.split(prepared, _ASCII_SEPARATORS), "")
 
 
 def tokenize(text: Column) -> Column:
-    return split_tokens(normalize_text(text))
+    return split_tokens(token_text(text))
 
 
 def literal_tokens(text: str | None) -> list[str]:
     """The same tokens for one literal search phrase, so they fold into the plan as constants."""
-    lowered = unicodedata.normalize("NFD", (text or "").lower())
-    kept = "".join(c for c in lowered if not _is_mark(c))
-    return [t for t in re.split(_SEPARATORS, kept) if t]
+    folded = (text or "").lower().translate(_FOLDING)
+    return [t for t in re.split(_SEPARATORS, folded) if t]
 
 
 def token_score(query: Column, token: Column) -> Column:

@@ -11,8 +11,8 @@ from shelfline.functions.text import (
     FUZZY_MIN_LENGTH,
     FUZZY_SCORE,
     literal_tokens,
-    normalize_text,
     split_tokens,
+    token_text,
     tokenize,
 )
 
@@ -77,7 +77,7 @@ def relevance(
 ) -> Column:
     """Relevance for constant query tokens; 0 unless every token matches some field.
 
-    ``texts`` maps a weight name to the normalised text of that field.
+    ``texts`` maps a weight name to the ``token_text`` of that field.
     """
     weights = FIELD_WEIGHTS if weights is None else weights
     best = []
@@ -111,7 +111,7 @@ def search(
         return products.withColumn("score", F.lit(None).cast("int"))
     # The lambda variable holds the normalised texts, so they are computed once per row, and the
     # generator drops misses without the score being evaluated again in a pushed-down filter.
-    normalized = F.struct(*[normalize_text(F.col(c)).alias(f) for f, c in fields.items()])
+    normalized = F.struct(*[token_text(F.col(c)).alias(f) for f, c in fields.items()])
     scored = F.transform(
         F.array(normalized),
         lambda n: F.struct(

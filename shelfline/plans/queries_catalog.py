@@ -172,13 +172,13 @@ def catalog_total(spark: SparkSession, d: str) -> DataFrame:
             ("inactive+any", "true"),
             ("active+stock", SHOWN),
             ("active+any", "is_active"),
-            ("favorites", "is_active AND id % 10 = 0"),
+            ("favorites", "is_active AND id IN (SELECT l_partkey + 1 FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey = 7)"),
         ]
     ),
 )
 def catalog_filters(spark: SparkSession, d: str) -> DataFrame:
     rows = pinned(_catalog(spark, d).select("id", "is_active", "in_stock"))
-    favorites = a.parts(spark, d).filter("id % 10 = 0").select(F.col("id").alias("product_id"))
+    favorites = _watchlist(spark, d).filter("user_id = '7'")
     parts = [
         ("inactive+stock", catalog.filter_catalog(rows, include_inactive=True)),
         ("inactive+any", catalog.filter_catalog(rows, True, False)),

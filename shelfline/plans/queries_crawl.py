@@ -33,18 +33,18 @@ def product_url_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _web(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Listed pages (every fifth twice, every eleventh not), and the tracked half of all pages."""
+    """Listed pages (some hosts list theirs twice, .html pages not), and the tracked secure ones."""
     pages = a.table(spark, d, "pages")
-    copies = F.when(F.col("page_id") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    listed = pages.filter("page_id % 11 <> 0").select("url", F.explode(copies).alias("_copy")).drop("_copy")
+    copies = F.when(F.contains("url", F.lit(".org/")), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    listed = pages.filter(~F.col("url").endswith(".html")).select("url", F.explode(copies).alias("_copy")).drop("_copy")
     found = discover.product_urls_of(listed, ALLOW, DENY)
-    tracked = pages.filter((F.col("page_id") % 2 == 0) & is_product_url(F.col("url"), ALLOW, DENY))
+    tracked = pages.filter(F.col("url").startswith("https") & is_product_url(F.col("url"), ALLOW, DENY))
     return found, tracked.select("url")
 
 
-WEB_SQL = f"""listed AS (SELECT url, CASE WHEN page_id % 5 = 0 THEN 2 ELSE 1 END AS n FROM pages
-            WHERE page_id % 11 <> 0 AND {LISTED}),
-tracked AS (SELECT url FROM pages WHERE page_id % 2 = 0 AND {LISTED})"""
+WEB_SQL = f"""listed AS (SELECT url, CASE WHEN contains(url, '.org/') THEN 2 ELSE 1 END AS n FROM pages
+            WHERE NOT url LIKE '%.html' AND {LISTED}),
+tracked AS (SELECT url FROM pages WHERE url LIKE 'https%' AND {LISTED})"""
 
 
 @query(
@@ -79,14 +79,14 @@ def _shop_sitemaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query(
     "discover_urls",
-    f"""WITH {PARTS} SELECT url, CASE WHEN id % 4 = 0 THEN sku END AS sku,
-    CASE WHEN id % 4 = 0 THEN NULL ELSE {EPOCH} END AS last_checked_at,
-    CASE WHEN id % 4 = 0 THEN NULL ELSE {NOW_SQL} END AS first_seen_at FROM parts""",
+    f"""WITH {PARTS} SELECT url, CASE WHEN category = 'PROMO' THEN sku END AS sku,
+    CASE WHEN category = 'PROMO' THEN NULL ELSE {EPOCH} END AS last_checked_at,
+    CASE WHEN category = 'PROMO' THEN NULL ELSE {NOW_SQL} END AS first_seen_at FROM parts""",
 )
 def discover_urls(spark: SparkSession, d: str) -> DataFrame:
-    """The discovery job: a quarter of the parts is tracked, the sitemaps list all of them."""
+    """The discovery job: the PROMO parts are tracked, the sitemaps list all of them."""
     entry, stored = _shop_sitemaps(spark, d)
-    tracked = a.parts(spark, d).filter("id % 4 = 0")
+    tracked = a.parts(spark, d).filter("category = 'PROMO'")
     found = jobs.discover_urls(entry, stored, tracked, a.instant(a.NOW))
     return found.products.select("url", "sku", "last_checked_at", "first_seen_at")
 
