@@ -14,7 +14,8 @@ Where no boundary is shared, the document is tried again with an overlap four ti
 
 Other documents are encoded whole. As a single space between two visible characters always starts a pre-token,
 a text is a sequence of units that the library encodes independently; counts of units are remembered, at most
-``MEMO_UNITS`` per Python worker, and every unit is encoded by the library once.
+``MEMO_UNITS`` per Python worker, and every unit is encoded by the library once. A comma or full stop between a plain
+letter or digit and a space is always a pre-token of its own, so units are remembered without it.
 
 Defined results: a null text is empty and has no tokens. Rows that repeat an id give a row each. An empty table
 gives no rows.
@@ -25,6 +26,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,7 @@ MEMO_CHARS = 48
 ENCODE_UNITS = 50_000
 
 _UNIT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
+_STOP = re.compile(r"(?<=[A-Za-z0-9ß-öø-ÿ])[,.](?= [!-~\w])")
 _CHUNK = "doc long, row_key long, n_bytes long, chunk long, start long, text string, last boolean"
 _EDGES = "doc long, row_key long, n_bytes long, chunk long, tokens long, head binary, tail binary"
 _COUNT = "doc long, row_key long, n_bytes long, n_tokens long"
@@ -68,6 +71,8 @@ class UnitCounter:
 
     def __init__(self, path: str):
         self.encoder, self.memo = tokenizer(path), {}
+        if self._encode([",", "."]) != [1, 1]:
+            raise ValueError("the tokenizer has no token for a comma or a full stop")
 
     def _encode(self, units: list[str]) -> list[int]:
         out = []
@@ -76,12 +81,13 @@ class UnitCounter:
         return out
 
     def counts(self, texts: list[str]) -> list[int]:
-        parts = [_UNIT.split(t) for t in texts]
-        heads = self._encode([p[0] for p in parts])
-        units = set().union(*(p[1:] for p in parts))
-        missing = list(units - self.memo.keys())
+        plain = [_STOP.subn("", t) for t in texts]
+        parts = [_UNIT.split(t) for t, _ in plain]
+        heads = [n + stops for n, (_, stops) in zip(self._encode([p[0] for p in parts]), plain, strict=True)]
+        units = lambda: chain.from_iterable(p[1:] for p in parts)
+        missing = list(set(filterfalse(self.memo.__contains__, units())))
         if len(self.memo) + len(missing) > MEMO_UNITS:
-            self.memo = {u: n for u in units if (n := self.memo.get(u)) is not None}
+            self.memo = {u: self.memo[u] for u in set(units()) if u in self.memo}
         self.memo.update(zip(missing, self._encode([" " + u for u in missing]), strict=True))
         get = self.memo.__getitem__
         out = [head + sum(map(get, p[1:])) for head, p in zip(heads, parts, strict=True)]
