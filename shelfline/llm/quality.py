@@ -134,13 +134,13 @@ def statistics(text: Column, words: Column) -> dict[str, Column]:
     }
 
 
-def _with_words(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.struct("*").alias(ROW), F.col("doc_id"), whole_text().alias("text"))
-    return rows.withColumn("words", words_of(F.col("text")))
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.struct("*").alias(ROW), F.col("doc_id"), whole_text().alias("text"))
 
 
-def _lazy() -> dict[str, Column]:
-    return statistics(F.col("text"), F.col("words"))
+def _from_words(body: Callable[[dict[str, Column]], Column]) -> Column:
+    """``body`` of the statistics by name; words are split once per row, statistics are computed where they are used."""
+    return _let(words_of(F.col("text")), lambda words: body(statistics(F.col("text"), words)))
 
 
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
@@ -149,18 +149,17 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: i
     The sample is what Spark delivers first, so no scan of the table is needed; it decides about cost only.
     """
     sample = stored(docs.select("doc_id", "text").limit(sample_rows), "rule-sample")
-    rows, stats = _with_words(sample), _lazy()
+    rows = _texts(sample)
 
-    def run(condition: Column) -> tuple[float, float]:
+    def run(condition: Callable[[dict[str, Column]], Column]) -> tuple[float, float]:
         began = time.perf_counter()
-        rejected, n = rows.agg(F.count_if(condition), F.count("*")).first()
+        rejected, n = rows.agg(F.count_if(_from_words(condition)), F.count("*")).first()
         return time.perf_counter() - began, rejected / max(1, n)
 
-    run(F.size("words") < 0)
-    plain = min(run(F.size("words") < 0)[0] for _ in range(2))
+    plain = min(run(lambda s: s["n_words"] < 0)[0] for _ in range(3))
     gain = {}
     for rule in rules:
-        took, rejects = run(rule.rejects(stats))
+        took, rejects = run(rule.rejects)
         gain[rule.name] = rejects / max(took - plain, 0.001)
     return tuple(sorted(rules, key=lambda r: -gain[r.name]))
 
@@ -179,8 +178,8 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     The base rules come first, as their statistics are part of the result; the others follow in measured order.
     """
     names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-    lazy = _lazy()
-    counted = _with_words(docs).select("doc_id", *[lazy[n].alias(n) for n in names])
+    found = _from_words(lambda s: F.struct(*[s[n].alias(n) for n in names]))
+    counted = _texts(docs).select("doc_id", found.alias("found")).select("doc_id", "found.*")
     known = {n: F.col(n) for n in names}
     base_failed = F.lit(False)
     for rule in BASE_RULES:
@@ -201,4 +200,5 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def keep_clean(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that no rule rejects; the cascade computes statistics only as far as it gets."""
     ordered = order_rules(docs, rules)
-    return _with_words(docs).filter(cascade(ordered, _lazy()).isNull()).select(f"{ROW}.*")
+    rejected = _from_words(lambda s: cascade(ordered, s))
+    return _texts(docs).filter(rejected.isNull()).select(f"{ROW}.*")
