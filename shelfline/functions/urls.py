@@ -54,26 +54,25 @@ def comparable_url(url: Column) -> Column:
     return F.regexp_replace(F.lower(url), "/$", "")
 
 
+# Status codes with a meaning of their own, and texts that tell a kind of body.
+STATUS_OUTCOMES = {0: "no_response", 403: "forbidden", 429: "throttled", 503: "unavailable"}
+BODY_MARKERS = {
+    "challenge": ["Just a moment", "cf-browser-verification"],
+    "script_wall": ["Enable JavaScript", "enable javascript"],
+    "denied": ["Access denied", "access denied"],
+    "product": ["product_title", "woocommerce", "add to cart"],
+}
+
+
+def body_markers(body: Column) -> Column:
+    """Struct of booleans: which kinds of marker text a body holds."""
+    return F.struct(*[contains_any(body, texts).alias(kind) for kind, texts in BODY_MARKERS.items()])
+
+
 def fetch_outcome(status: Column, body: Column) -> Column:
-    """Label of a fetch attempt from its status code, then from texts in its body."""
-    return (
-        F.when(status == 0, "TIMEOUT or CONNECTION ERROR")
-        .when(status == 403, "BLOCKED (403 Forbidden)")
-        .when(status == 429, "RATE LIMITED (429)")
-        .when(status == 503, "SERVICE UNAVAILABLE / CF challenge (503)")
-        .when(contains_any(body, ["Just a moment", "cf-browser-verification"]), "CF JS CHALLENGE PAGE")
-        .when(
-            contains_any(body, ["Enable JavaScript", "enable javascript"]),
-            "CF JS CHALLENGE (no-script fallback)",
-        )
-        .when(contains_any(body, ["Access denied", "access denied"]), "ACCESS DENIED")
-        .when(
-            contains_any(body, ["product_title", "woocommerce", "add to cart"]),
-            "SUCCESS - real product page",
-        )
-        .when(
-            status == 200,
-            F.concat(F.lit("HTTP 200 but body unrecognized ("), F.length(body), F.lit(" bytes)")),
-        )
-        .otherwise(F.concat(F.lit("HTTP "), status))
-    )
+    """Outcome code of a fetch: the status where that says it, else the kind of body, else known or unknown status."""
+    by_status = F.create_map(*[F.lit(x) for pair in STATUS_OUTCOMES.items() for x in pair])
+    found = body_markers(body)
+    by_body = F.coalesce(*[F.when(found[kind], F.lit(kind)) for kind in BODY_MARKERS])
+    plain = F.when(status == 200, "unrecognized").otherwise(F.concat(F.lit("status_"), status))
+    return F.coalesce(F.try_element_at(by_status, status), by_body, plain)

@@ -169,21 +169,15 @@ def published_date(elements: Column) -> Column:
 
 
 def page_diagnosis(elements: Column) -> Column:
-    """Title, price markup and text excerpt of a page, for products without a price."""
-    title = F.coalesce(trim_or_null(_all_text(having(elements, "title"))), F.lit("(no title)"))
+    """What a page without a readable price shows, as JSON: title, has_summary, price_markup, body_excerpt."""
     markup = F.nullif(first(having(elements, "price_box"))["markup"], F.lit(""))
-    body = squash(first(having(elements, "body"))["text"], BODY_WIDTH)
-    return F.concat_ws(
-        "\n    ",
-        F.concat(F.lit('Page title: "'), title, F.lit('"')),
-        F.concat(
-            F.lit("Has .summary/.entry-summary: "), _has(elements, "summary").cast("string")
-        ),
-        F.concat(
-            F.lit("Price container HTML: "),
-            F.coalesce(squash(markup, MARKUP_WIDTH), F.lit("(not found)")),
-        ),
-        F.concat(F.lit("Body text snippet: "), F.coalesce(body, F.lit(""))),
+    return F.to_json(
+        F.struct(
+            trim_or_null(_all_text(having(elements, "title"))).alias("title"),
+            _has(elements, "summary").alias("has_summary"),
+            squash(markup, MARKUP_WIDTH).alias("price_markup"),
+            squash(first(having(elements, "body"))["text"], BODY_WIDTH).alias("body_excerpt"),
+        )
     )
 
 

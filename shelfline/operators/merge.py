@@ -115,13 +115,13 @@ def history_actions(
 def merged_history(history: DataFrame, actions: DataFrame) -> DataFrame:
     """Stored history with the actions applied.
 
-    Joined on the interval's own id, which is unique, so a product with very many intervals does
-    not gather in one task.
+    Joined on product and interval id: the hash of an interval alone may meet that of another product's,
+    and with it a product with very many intervals does not gather in one task.
     """
     changes = actions.filter(F.col("target_id").isNotNull()).select(
-        F.col("target_id").alias("id"), F.col("new_end"), F.lit(True).alias("_hit")
+        "product_id", F.col("target_id").alias("id"), F.col("new_end"), F.lit(True).alias("_hit")
     )
-    rewritten = history.join(changes, "id", "left").select(
+    rewritten = history.join(changes, ["product_id", "id"], "left").select(
         *[
             F.when(F.col("_hit"), F.col("new_end")).otherwise(F.col("end_ts")).alias("end_ts")
             if c == "end_ts"

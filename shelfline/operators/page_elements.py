@@ -125,10 +125,7 @@ class _Flattener(HTMLParser):
         whole = "".join(self.text)
         for row in self.rows:
             start, end = row.pop("span")
-            text = whole[start:end]
-            if "body" in row["roles"]:
-                text = _SPACE_RUN.sub(" ", text).strip(" ")[:BODY_WIDTH]
-            row["text"] = text
+            row["text"] = whole[start:end]
         return self.rows
 
     def _at(self) -> int:
@@ -234,22 +231,15 @@ def page_elements(
     return _Flattener(by_key, markup_roles).flatten(html) if html else []
 
 
-# Pages per Arrow batch: at the 2 GB limit of one text vector this leaves 4 MB per page.
-PAGES_PER_BATCH = 500
-
-
 def flatten_pages(
     pages: DataFrame, roles: dict[str, str], markup_roles: tuple[str, ...] = (), html: str = "html"
 ) -> DataFrame:
     """Replaces the ``html`` column by ``elements``; every other column passes through.
 
     ``roles`` names selectors of tags, classes and descendants; ``markup_roles`` those whose inner
-    markup is kept too. A narrow Arrow pass: pages stay in their partitions. Batches are kept small
-    because one page may be megabytes long.
+    markup is kept too. A narrow Arrow pass: pages stay in their partitions, and Spark bounds the bytes
+    of a batch (``spark.sql.execution.arrow.maxBytesPerBatch``).
     """
-    conf = pages.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > PAGES_PER_BATCH:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PAGES_PER_BATCH))
     passed = [c for c in pages.columns if c != html]
     shown = frozenset(markup_roles)
 

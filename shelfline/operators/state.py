@@ -71,8 +71,13 @@ def _with_date(events: DataFrame) -> DataFrame:
 
 
 def reject_stale(events: DataFrame, products: DataFrame, ts: str = "observed_at") -> DataFrame:
-    """Drop events that are not newer than the stored check time of their product."""
-    known = products.select("url", F.col("last_checked_at").alias("_checked"))
+    """Drop events that are not newer than the newest stored observation of their product.
+
+    That is its check time, or its first sight where it was observed once. Products are reduced to the
+    URLs of the batch first, so a small batch doesn't shuffle the stored table.
+    """
+    touched = products.join(events.select("url").distinct(), "url", "left_semi")
+    known = touched.select("url", F.greatest("last_checked_at", "first_seen_at").alias("_checked"))
     return (
         events.join(known, "url", "left")
         .filter(F.col("_checked").isNull() | (F.col(ts) > F.col("_checked")))
@@ -112,6 +117,7 @@ def fold_into(products: DataFrame, events: DataFrame, ts: str = "observed_at") -
             upserted,
         ),
     )
-    unknown = summary.join(products.select("url"), "url", "left_anti")
+    stored = products.select("url").join(summary.select("url"), "url", "left_semi")
+    unknown = summary.join(stored, "url", "left_anti")
     added = _new_rows(unknown, "url", METADATA).withColumn("id", product_id(F.col("url")))
     return known.unionByName(align_schema(added, PRODUCTS))

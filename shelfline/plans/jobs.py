@@ -105,9 +105,12 @@ def apply_observations(
 ) -> Update:
     """Fold a batch of page observations into product state and price history.
 
-    Attempts are settled first, rows that are not newer than the stored check are dropped, a 404
+    Attempts are settled first, within a crawl: by URL and ``run_id`` where the batch has that column, else
+    by URL and time, so no crawl of a batch is lost. Rows that are not newer than the stored check are dropped, a 404
     makes a known product inactive, challenge pages and other pages change nothing.
     """
+    if attempt_keys is None:
+        attempt_keys = ["url", "run_id" if "run_id" in observations.columns else "observed_at"]
     settled = attempts.classify(attempts.resolve_attempts(observations, attempt_keys))
     fresh = state.reject_stale(settled, products)
     kind = (

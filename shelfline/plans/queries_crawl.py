@@ -241,15 +241,13 @@ def tracked_overrides(spark: SparkSession, d: str) -> DataFrame:
 
 # Pages
 
-OUTCOME_SQL = """SELECT page_id, status, CASE
-  WHEN status = 0 THEN 'TIMEOUT or CONNECTION ERROR' WHEN status = 403 THEN 'BLOCKED (403 Forbidden)'
-  WHEN status = 429 THEN 'RATE LIMITED (429)' WHEN status = 503 THEN 'SERVICE UNAVAILABLE / CF challenge (503)'
-  WHEN contains(body, 'Just a moment') OR contains(body, 'cf-browser-verification') THEN 'CF JS CHALLENGE PAGE'
-  WHEN contains(body, 'Enable JavaScript') OR contains(body, 'enable javascript') THEN 'CF JS CHALLENGE (no-script fallback)'
-  WHEN contains(body, 'Access denied') OR contains(body, 'access denied') THEN 'ACCESS DENIED'
-  WHEN contains(body, 'product_title') OR contains(body, 'woocommerce') OR contains(body, 'add to cart') THEN 'SUCCESS - real product page'
-  WHEN status = 200 THEN 'HTTP 200 but body unrecognized (' || length(body) || ' bytes)'
-  ELSE 'HTTP ' || status END AS outcome, contains(body, 'jschl-answer') OR contains(body, 'cf-browser-verification') AS challenge
+OUTCOME_SQL = """SELECT page_id, status, coalesce(
+  map {0: 'no_response', 403: 'forbidden', 429: 'throttled', 503: 'unavailable'}[status],
+  CASE WHEN regexp_matches(body, 'Just a moment|cf-browser-verification') THEN 'challenge'
+       WHEN regexp_matches(body, 'Enable JavaScript|enable javascript') THEN 'script_wall'
+       WHEN regexp_matches(body, 'Access denied|access denied') THEN 'denied'
+       WHEN regexp_matches(body, 'product_title|woocommerce|add to cart') THEN 'product' END,
+  CASE WHEN status = 200 THEN 'unrecognized' ELSE 'status_' || status END) AS outcome, contains(body, 'jschl-answer') OR contains(body, 'cf-browser-verification') AS challenge
   FROM (SELECT page_id, [200, 0, 403, 429, 503, 200, 200, 200, 500, 200][page_id % 10 + 1] AS status,
     html || ['', '', '', '', '', 'Just a moment', 'enable javascript', 'Access denied', 'jschl-answer', 'add to cart'][page_id % 10 + 1] AS body FROM pages)"""
 
@@ -322,5 +320,9 @@ def extract_observations(spark: SparkSession, d: str) -> DataFrame:
         store["location"].alias("location"),
         store["quantity"].alias("quantity"),
         *["is_available", "published_date", "price_debug"],
-        F.contains("html_debug", F.concat(F.lit('Page title: "'), "name", F.lit('"\n    Has .summary/.entry-summary: true\n    Price container HTML: Consultar\n    Body text snippet: Inicio'))).alias("diagnosed"),
+        (
+            (F.get_json_object("html_debug", "$.title") == F.col("name"))
+            & (F.get_json_object("html_debug", "$.price_markup") == "Consultar")
+            & F.get_json_object("html_debug", "$.body_excerpt").startswith("Inicio")
+        ).alias("diagnosed"),
     )

@@ -136,3 +136,25 @@ def test_job_folds_state_and_history(spark):
     assert sorted(map(str, again.history.collect())) == sorted(map(str, two.history.collect()))
     assert sorted(map(str, again.products.collect())) == sorted(map(str, two.products.collect()))
     assert METADATA[0] == "name"
+
+
+def test_late_and_repeated_observations_open_no_second_interval(spark):
+    """A first observation sent again, and an older one, change nothing; two crawls of one batch are both kept."""
+    from datetime import datetime
+
+    from shelfline import schemas
+    from shelfline.plans import jobs
+
+    def batch(*rows):
+        fields = "url string, observed_at timestamp, attempt int, status_code int, name string, price double, currency string, " \
+                 "original_price double, is_product boolean, is_challenge boolean, published_date date"
+        rows = spark.createDataFrame([(u, datetime(2024, 1, d), 0, 200, "n", p, "EUR", None, True, False, None) for u, d, p in rows], fields)
+        return schemas.align_schema(rows, schemas.OBSERVATIONS)
+
+    products, history = spark.createDataFrame([], schemas.PRODUCTS), spark.createDataFrame([], schemas.HISTORY)
+    first = jobs.apply_observations(products, history, batch(("u", 10, 5.0), ("v", 1, 5.0), ("v", 2, 7.0)))
+    assert sorted(r.price for r in first[1].collect()) == [5.0, 5.0, 7.0]
+    again = jobs.apply_observations(first[0], first[1], batch(("u", 10, 5.0), ("u", 5, 9.0)))
+    opened = again[1].filter("end_ts IS NULL").groupBy("product_id").count().collect()
+    assert [r["count"] for r in opened] == [1, 1]
+    assert again[1].count() == 3
