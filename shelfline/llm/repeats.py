@@ -157,7 +157,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     base, width, key = int(text.max()) + 2, 1, text + 1
     while base ** (width + 1) < 1 << 62:
         following = np.zeros(n, np.int64)
-        following[: n - width] = text[width:] + 1
+        following[: max(0, n - width)] = text[width:] + 1
         key, width = key * base + following, width + 1
     while True:
         order = np.argsort(key)
@@ -167,7 +167,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         if rank[order[-1]] == n - 1:
             return order
         key = rank * (n + 1)
-        key[: n - width] += rank[width:] + 1
+        key[: max(0, n - width)] += rank[width:] + 1
         width *= 2
 
 
