@@ -131,7 +131,7 @@ def _settled(events: DataFrame, min_docs: int) -> DataFrame:
         .filter(F.col("total") >= min_docs)
         .select("hash", "largest")
     )
-    opened = events.filter("kind = 'open'").join(sums, "hash").filter("doc < largest")
+    opened = events.filter("kind = 'open'").join(F.broadcast(sums), "hash").filter("doc < largest")
     return events.filter("kind = 'drop'").select("doc", "row_key", "lines").unionByName(opened.select("doc", "row_key", "lines"))
 
 
