@@ -21,8 +21,10 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,7 @@ MEMO_UNITS = 600_000
 MEMO_CHARS = 48
 ENCODE_UNITS = 50_000
 
+_STOP = re.compile(r"(?<=[A-Za-z0-9ß-öø-ÿ])([,.])(?=[ \n])")
 _ENCODED = "doc_id long, lexical long, n_ids long, ids binary"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _LOADED: dict[str, UnitEncoder] = {}
@@ -52,7 +55,8 @@ class UnitEncoder:
     """Ids of texts through remembered ids of their units.
 
     The tokenizer drops white space and never looks across it, so the parts between blanks and line feeds are
-    encoded independently, each by the library once while it is remembered.
+    encoded independently, each by the library once while it is remembered. A comma or full stop between a plain letter
+    or digit and white space is always a part of its own, so words are remembered without it.
     """
 
     def __init__(self, path: str):
@@ -74,11 +78,10 @@ class UnitEncoder:
                 yield np.array(e.ids, self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        units = set().union(*parts)
-        missing = list(units - self.memo.keys())
+        parts = [_STOP.sub(r" \1", t).replace("\n", " ").split(" ") for t in texts]
+        missing = list(set(filterfalse(self.memo.__contains__, chain.from_iterable(parts))))
         if len(self.memo) + len(missing) > MEMO_UNITS:
-            self.memo = {u: self.memo[u] for u in units if u in self.memo}
+            self.memo = {u: self.memo[u] for u in set(chain.from_iterable(parts)) if u in self.memo}
         self.memo.update(zip(missing, self._fresh(missing), strict=True))
         get, end = self.memo.__getitem__, np.array([END_ID], self.kind).tobytes()
         out = [b"".join(map(get, p)) + end for p in parts]
