@@ -21,13 +21,13 @@ from __future__ import annotations
 
 import math
 import os
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, filterfalse
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +44,9 @@ K1, B = 1.2, 0.75
 MEMO_UNITS = 600_000
 MEMO_CHARS = 48
 ENCODE_UNITS = 50_000
+ENCODE_ROWS = 1_000
 
-_STOP = re.compile(r"(?<=[A-Za-z0-9ß-öø-ÿ])([,.])(?=[ \n])")
+_STOP = r"([A-Za-z0-9ß-öø-ÿ])([,.])([ \n])"
 _ENCODED = "doc_id long, lexical long, n_ids long, ids binary"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _LOADED: dict[str, UnitEncoder] = {}
@@ -54,9 +55,10 @@ _LOADED: dict[str, UnitEncoder] = {}
 class UnitEncoder:
     """Ids of texts through remembered ids of their units.
 
-    The tokenizer drops white space and never looks across it, so the parts between blanks and line feeds are
+    The tokenizer drops white space and never looks across it, so the parts between ASCII white space are
     encoded independently, each by the library once while it is remembered. A comma or full stop between a plain letter
-    or digit and white space is always a part of its own, so words are remembered without it.
+    or digit and a blank or line feed is always a part of its own, so words are remembered without it. Arrow splits the
+    texts and numbers the different parts of a batch, so Python looks each of them up once and not once per word.
     """
 
     def __init__(self, path: str):
@@ -77,22 +79,33 @@ class UnitEncoder:
             for e in self.encoder.encode_batch_fast(units[at : at + ENCODE_UNITS], add_special_tokens=False):
                 yield np.array(e.ids, self.kind).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [_STOP.sub(r" \1", t).replace("\n", " ").split(" ") for t in texts]
-        missing = list(set(filterfalse(self.memo.__contains__, chain.from_iterable(parts))))
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, ``END_ID`` after each, and the place where each text begins."""
+        words = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, _STOP, r"\1 \2\3"))
+        numbered = words.flatten().dictionary_encode()
+        units = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        missing = list(filterfalse(self.memo.__contains__, units))
         if len(self.memo) + len(missing) > MEMO_UNITS:
-            self.memo = {u: self.memo[u] for u in set(chain.from_iterable(parts)) if u in self.memo}
+            self.memo = {u: self.memo[u] for u in units if u in self.memo}
         self.memo.update(zip(missing, self._fresh(missing), strict=True))
-        get, end = self.memo.__getitem__, np.array([END_ID], self.kind).tobytes()
-        out = [b"".join(map(get, p)) + end for p in parts]
+        known = list(map(self.memo.__getitem__, units))
         for u in missing:
             if len(u) > MEMO_CHARS:
                 del self.memo[u]
-        return out
-
-    def lexical(self, ids: np.ndarray) -> int:
-        """Least hashes of the ids under two fixed permutations."""
-        return int(self.spread[0][ids].min()) << 32 | int(self.spread[1][ids].min())
+        flat = np.frombuffer(b"".join(known), self.kind)
+        size = np.fromiter(map(len, known), np.int64, len(known)) // self.kind.itemsize
+        word = numbered.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(size[word])])
+        shift = (np.cumsum(size) - size)[word] - ends[:-1]
+        ids = flat[np.repeat(shift, size[word]) + np.arange(ends[-1])]
+        stops = ends[np.cumsum(pc.list_value_length(words).to_numpy())]
+        begins = np.concatenate([[0], stops[:-1]]) + np.arange(len(stops))
+        return np.insert(ids, stops, END_ID), begins
+
+    def lexical(self, ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Least hashes of each text's ids under two fixed permutations."""
+        first, second = (np.minimum.reduceat(s[ids], begins).astype(np.int64) for s in self.spread)
+        return first << 32 | second
 
 
 def unit_encoder(path: str) -> UnitEncoder:
@@ -106,16 +119,17 @@ def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = unit_encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found = encoder.encode(part.column(1).to_pylist())
-                arrays = [np.frombuffer(x, encoder.kind) for x in found]
+            for at in range(0, batch.num_rows, ENCODE_ROWS):
+                part = batch.slice(at, ENCODE_ROWS)
+                ids, begins = encoder.encode(part.column(1))
+                cuts = np.append(begins, len(ids))
+                places = pa.py_buffer((cuts * ids.itemsize).astype(np.int32))
                 yield pa.record_batch(
                     [
                         part.column(0),
-                        pa.array([encoder.lexical(x) for x in arrays], pa.int64()),
-                        pa.array([len(x) for x in arrays], pa.int64()),
-                        pa.array(found, pa.binary()),
+                        pa.array(encoder.lexical(ids, begins)),
+                        pa.array(np.diff(cuts)),
+                        pa.Array.from_buffers(pa.binary(), len(begins), [None, places, pa.py_buffer(ids)]),
                     ],
                     names=["doc_id", "lexical", "n_ids", "ids"],
                 )
