@@ -15,7 +15,7 @@ _CLOCK = (
 def normalise_date(raw: Column) -> Column:
     """Leading ``YYYY-MM-DD`` of a date or timestamp text, NULL unless the whole text is a date."""
     day = F.regexp_extract(raw, "^([0-9]{4}-[0-9]{2}-[0-9]{2})", 1)
-    return F.when(F.substring(raw, 11, 1 << 20).rlike(_CLOCK), F.try_to_date(day, "yyyy-MM-dd"))
+    return F.when(F.substr(raw, F.lit(11)).rlike(_CLOCK), F.try_to_date(day, "yyyy-MM-dd"))
 
 
 def json_ld_date(blocks: Column) -> Column:

@@ -77,7 +77,10 @@ def history_actions(
             interval, F.when(F.col("end_ts").isNull(), F.struct("start_ts", "id"))
         ).alias("open"),
     )
-    theirs = delta_history.groupBy("shard", F.col("product_id").alias("shard_product_id")).agg(
+    # every shard holds a full copy of the history, of which only touched products matter
+    wanted = touched.select("shard", F.col("shard_product_id").alias("product_id"))
+    delta_concerned = delta_history.join(wanted, ["shard", "product_id"], "left_semi")
+    theirs = delta_concerned.groupBy("shard", F.col("product_id").alias("shard_product_id")).agg(
         F.max_by(
             F.struct("price", "original_price", "currency", "start_ts", "end_ts"),
             F.struct("start_ts", F.col("id")),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfline.schemas import HISTORY, OBSERVATIONS, PAGES, PRODUCTS, align_schema
 
@@ -29,7 +30,8 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
 def write_snapshot(products: DataFrame, history: DataFrame, base: str, run_id: str) -> None:
     """Write both tables under a folder of their own, then point readers to it.
 
-    A reader sees the old snapshot until the pointer is replaced. Products are laid out by their
+    Pointers are appended, one file per run, and the newest counts: a reader sees the old snapshot
+    until the new pointer is committed, and never none. Products are laid out by their
     key, history by product and start so that row groups can be skipped by product or time.
     """
     home = f"{base}/runs/{run_id}"
@@ -42,11 +44,14 @@ def write_snapshot(products: DataFrame, history: DataFrame, base: str, run_id: s
         .parquet(f"{home}/price_history")
     )
     pointer = products.sparkSession.createDataFrame([(run_id,)], "run_id string")
-    pointer.coalesce(1).write.mode("overwrite").json(f"{base}/{POINTER}")
+    pointer = pointer.withColumn("written_at", F.current_timestamp())
+    pointer.coalesce(1).write.mode("append").json(f"{base}/{POINTER}")
 
 
 def latest_run(spark: SparkSession, base: str) -> str:
-    return spark.read.schema("run_id string").json(f"{base}/{POINTER}").first()["run_id"]
+    pointers = spark.read.schema("run_id string, written_at timestamp").json(f"{base}/{POINTER}")
+    newest = F.struct(F.coalesce("written_at", F.timestamp_seconds(F.lit(0))), "run_id")
+    return pointers.agg(F.max_by("run_id", newest).alias("run_id")).first()["run_id"]
 
 
 def read_snapshot(spark: SparkSession, base: str, run_id: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -140,6 +140,8 @@ def test_snapshots(spark, tmp_path):
     tables.write_snapshot(product_rows(spark, 2), history, base, "run-1")
     tables.write_snapshot(product_rows(spark, 3), history, base, "run-2")
     assert tables.read_snapshot(spark, base)[0].count() == 3
+    tables.write_snapshot(product_rows(spark, 1), history, base, "run-0")
+    assert tables.latest_run(spark, base) == "run-0"
     old, past = tables.read_snapshot(spark, base, "run-1")
     assert old.count() == 2 and past.first()["price"] == 5.0
 
