@@ -4,6 +4,7 @@ import zlib
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from test_dedup_operators import clashing, words
 from tokenizers import Tokenizer
@@ -169,6 +170,17 @@ def test_packing_round_trip(make, awkward, task_ids):
     assert short <= max(1, -(-sum(map(len, ids.values())) // task_ids))
 
 
+def test_remembered_units_encode_like_the_library():
+    encoder, rng = packing.UnitEncoder(WORD_BPE), random.Random(5)
+    signs = [*"ab ,. \n\t\r\x0b\x0c\x1c\u00a0\u2003ßÿΣAİ'sé\u0301", "<|endoftext|>", "'s", "Σ. ", "a, "]
+    texts = ["", " ", *("".join(rng.choices(signs, k=rng.randrange(60))) for _ in range(3000))]
+    for at in range(0, len(texts), 700):
+        part = texts[at : at + 700]
+        ids, begins = encoder.encode(pa.array(part))
+        expected = [e.ids + [packing.END_ID] for e in encoder.encoder.encode_batch(part, add_special_tokens=False)]
+        assert [x.tolist() for x in np.split(ids, begins[1:])] == expected
+
+
 def test_neighbours_fill_the_window():
     rng = np.random.default_rng(3)
     groups = [rng.integers(1000 * g, 1000 * g + 900, 300) for g in range(1, 5)]
