@@ -17,8 +17,9 @@ SLICE = "_slice"
 HOT = "_hot"
 
 # A key is cut when it has more rows than HOT_ROWS and more than 1/MAX_SLICES of the table. At
-# most MAX_SLICES keys can qualify, and together they get fewer than 2 * MAX_SLICES slices, so
-# the table of cuts is bounded whatever the size of the data.
+# most MAX_SLICES keys can qualify. Together they want fewer than 2 * MAX_SLICES slices, and rounding
+# the stride gives each at most twice what it wants, so fewer than 4 * MAX_SLICES cuts are kept
+# whatever the size of the data.
 HOT_ROWS = 1_000_000
 MAX_SLICES = 1024
 _ACCURACY = 10_000
