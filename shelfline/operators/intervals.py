@@ -47,7 +47,7 @@ def _run_columns(df: DataFrame, key: str, ts: str, value: Column, order: list) -
 def _carry(rows: DataFrame, key: str, ts: str) -> DataFrame:
     """What each slice of a frequent key inherits from its neighbours.
 
-    One row per (key, slice): at most 2 * MAX_SLICES rows in all (see ``hotkeys``).
+    One row per (key, slice): at most 4 * MAX_SLICES rows in all (see ``hotkeys``).
     """
     start = F.struct(F.col(ts).alias("ts"), F.col("_carried").alias("carried"))
     per_slice = (
