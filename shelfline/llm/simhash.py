@@ -3,9 +3,7 @@
 Fingerprints come from one pass over the texts; different fingerprints, not documents, are compared. Two
 fingerprints within ``radius`` bits agree on at least one of ``radius + 1`` disjoint blocks of bits (with 64 bits
 and a radius of 2: three blocks), so they meet in a group keyed by a block's value. A group above ``GROUP_ROWS``
-is keyed anew by the blocks of the remaining bits, again without losing a pair. Wide fingerprints with a large
-radius use ``bands`` random bit subsets as keys instead, which finds a pair with high probability (see
-``wide_band_recall``).
+is keyed anew by the blocks of the remaining bits, again without losing a pair.
 
 Inside a group an index is built: fingerprints sorted by Gray rank, so neighbours share bits; ``FANOUT``
 consecutive ones form a node that keeps the bits on which all its members agree (mask and pattern), and nodes form
@@ -14,6 +12,12 @@ accumulated so far and leaves a whole group of fingerprints as soon as that exce
 fingerprints are united inside the task and leave as a star, at most one edge per member, never as all pairs.
 Stars of all groups are joined to components by label propagation with pointer jumping over written tables.
 
+``drop_near_copies`` looks for a similarity of shingle sets. Wide fingerprints of the sets, within a large radius and
+keyed by random bit subsets, only propose pairs (see ``wide_band_recall``): a link is a pair whose sets have that Jaccard
+similarity exactly. A pair is proposed in the first band it shares. A group with over ``PAIRS_A_ROW`` pairs a member
+proposes neighbours in Gray order and the pairs of its most central member first; after those are compared, all its
+other pairs that aren't yet in one component.
+
 Fingerprint of a text: A-Z lower-cased, words between ASCII white space, shingles of ``words`` words joined by a
 space and counted as often as they occur (fewer words: the whole sequence), XXH64 with seed 42; a bit is 1 if it
 is set in over half of the hashes. Further 64-bit parts of wide fingerprints mix that hash.
@@ -27,6 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +48,10 @@ GROUP_ROWS = 20_000
 #: Groups up to this many rows are compared by shifts over a whole batch, without a tree.
 SMALL_GROUP = 24
 PAIRS_AT_ONCE = 2_000_000
+#: Groups with more pairs than that a member propose some of them first, the rest after those are compared.
+PAIRS_A_ROW = 8
+#: Neighbours in Gray order such a group proposes first.
+NEIGHBOURS = 4
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _COLUMN = (np.arange(8) * 256)[None, :]
@@ -75,7 +84,10 @@ def _mixed(h: np.ndarray, part: int) -> np.ndarray:
 
 def fingerprint(text: bytes, words: int = 3, bits: int = 64) -> bytes:
     """Big-endian fingerprint of ``bits`` bits."""
-    h = shingle_hashes(text, words)
+    return _print_of(shingle_hashes(text, words), bits)
+
+
+def _print_of(h: np.ndarray, bits: int) -> bytes:
     out = b""
     for part in range(bits // 64):
         if not len(h):
@@ -141,36 +153,41 @@ class GrayIndex:
             mask &= ~above
             pattern &= mask
 
-    def pairs(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (i, j), i < j, of members within the radius, in bounded batches."""
+    def pairs(self, radius: int, asked: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (i, j), i < j, of members within the radius, in bounded batches.
+
+        With ``asked``: pairs of an asked member i and any other member j.
+        """
         if not self.levels:
             return
         step = max(1, PAIRS_AT_ONCE // (8 * FANOUT * max(1, len(self.levels[-1][0]))))
-        for begin in range(0, len(self.rows), step):
-            queries = np.arange(begin, min(begin + step, len(self.rows)))
+        members, ordered = (np.arange(len(self.rows)), True) if asked is None else (asked, False)
+        for begin in range(0, len(members), step):
+            queries = members[begin : begin + step]
             nodes = np.arange(len(self.levels[-1][0]))
-            yield from self._descend(np.repeat(queries, len(nodes)), np.tile(nodes, len(queries)), len(self.levels) - 1, None, radius)
+            yield from self._descend(np.repeat(queries, len(nodes)), np.tile(nodes, len(queries)), len(self.levels) - 1, None, radius, ordered)
 
-    def _descend(self, q, node, level, spent, radius):
+    def _descend(self, q, node, level, spent, radius, ordered):
         if len(q) > PAIRS_AT_ONCE:
             half = len(q) // 2
             for part in (slice(None, half), slice(half, None)):
-                yield from self._descend(q[part], node[part], level, None if spent is None else spent[part], radius)
+                yield from self._descend(q[part], node[part], level, None if spent is None else spent[part], radius, ordered)
             return
         mask, pattern = self.levels[level]
         cost = np.bitwise_count((self.rows[q] & mask[node]) ^ pattern[node]).sum(axis=1, dtype=np.int64)
         spent = cost if spent is None else spent + cost
         near = spent <= radius
         # a node whose members all come before the query has had its turn
-        near &= (node + 1) * FANOUT ** (level + 1) > q
+        if ordered:
+            near &= (node + 1) * FANOUT ** (level + 1) > q
         q, node, spent = q[near], node[near], spent[near]
         child = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
         q, spent = np.repeat(q, FANOUT), np.repeat(spent, FANOUT)
         if level:
             there = child < len(self.levels[level - 1][0])
-            yield from self._descend(q[there], child[there], level - 1, spent[there], radius)
+            yield from self._descend(q[there], child[there], level - 1, spent[there], radius, ordered)
             return
-        there = (child < len(self.rows)) & (child > q)
+        there = (child < len(self.rows)) & ((child > q) if ordered else (child != q))
         q, child = q[there], child[there]
         near = _distance(self.rows[q], self.rows[child]) <= radius
         yield q[near], child[near]
@@ -274,14 +291,14 @@ def _mask(bits: tuple[int, ...], width: int) -> bytes:
 
 
 def _keys(masks: list[bytes]):
-    """A row per mask: key = number of the mask and the fingerprint's bits under it."""
-    words = _words_of(masks)
+    """A row per mask: key = number of the mask and the fingerprint's bits under it. What follows the bits is carried."""
+    words, size = _words_of(masks), len(masks[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 prints = batch.column(0).slice(at, 4096)
-                rows = _words_of(prints.to_pylist())
+                rows = _words_of([x[:size] for x in prints.to_pylist()])
                 keys = []
                 for m, mask in enumerate(words):
                     masked = (rows & mask).astype(">u8")
@@ -347,23 +364,216 @@ def radius_for(similarity: float, width: int) -> int:
     return round(width * p + 0.5 * math.sqrt(width * p * (1 - p)))
 
 
+def _first_met(rows: np.ndarray, i: np.ndarray, j: np.ndarray, band: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Whether pairs met in group of band ``band`` share no earlier band."""
+    apart = rows[i] ^ rows[j]
+    first = np.ones(len(i), bool)
+    for m in range(int(band.max(initial=0))):
+        first &= (band <= m) | (apart & masks[m]).any(axis=1)
+    return first
+
+
+def _bounded(rows: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbours in Gray order and pairs of the most central member, within the radius."""
+    n = len(rows)
+    i = [np.arange(n - shift) for shift in range(1, NEIGHBOURS + 1)]
+    j = [x + shift for shift, x in enumerate(i, 1)]
+    bits = np.unpackbits(rows.astype(">u8").view(np.uint8), axis=1)
+    most = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > n).view(">u8").astype(np.uint64)
+    centre = int(_distance(rows, most[None, :]).argmin())
+    others = np.delete(np.arange(n), centre)
+    i, j = np.concatenate([*i, np.full(n - 1, centre)]), np.concatenate([*j, others])
+    near = _distance(rows[i], rows[j]) <= radius
+    return i[near], j[near]
+
+
+def _proposed(groups: np.ndarray, rows: np.ndarray, radius: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Pairs within the radius by sorted group; True for a group that left some out."""
+    size = np.bincount(groups) if len(groups) else np.empty(0, int)
+    for shift in range(1, SMALL_GROUP):
+        if shift >= len(rows):
+            break
+        i = np.flatnonzero((groups[shift:] == groups[:-shift]) & (size[groups[shift:]] <= SMALL_GROUP))
+        if not len(i):
+            break
+        near = _distance(rows[i], rows[i + shift]) <= radius
+        yield i[near], i[near] + shift, False
+    first = np.concatenate([[0], np.cumsum(size)]).astype(int)
+    for g in np.flatnonzero(size > SMALL_GROUP):
+        a, b = first[g], first[g + 1]
+        found, count, part = [], 0, False
+        for i, j in GrayIndex(rows[a:b]).pairs(radius):
+            found.append((i, j))
+            count += len(i)
+            if part := count > most * size[g]:
+                found = [_bounded(rows[a:b], radius)]
+                break
+        for i, j in found:
+            yield i + a, j + a, part
+        if part:
+            yield np.arange(a, b), np.arange(a, b), part
+
+
+def _unsettled(groups: np.ndarray, rows: np.ndarray, labels: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Pairs within the radius of different labels by sorted group."""
+    size = np.bincount(groups) if len(groups) else np.empty(0, int)
+    first = np.concatenate([[0], np.cumsum(size)]).astype(int)
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        label = labels[a:b]
+        values, counts = np.unique(label, return_counts=True)
+        if len(values) < 2:
+            continue
+        few = label != values[counts.argmax()]
+        for i, j in GrayIndex(rows[a:b]).pairs(radius, np.flatnonzero(few)):
+            new = (label[i] != label[j]) & (~few[j] | (i < j))
+            yield i[new] + a, j[new] + a, False
+
+
+def _candidates(radius: int, masks: list[bytes], labelled: bool):
+    """Pairs (a, b) of a partition sorted by key, or (a, null, mask, key) for members of groups that left pairs out."""
+    words, most = _words_of(masks), PAIRS_A_ROW
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("mask", pa.int32()), ("key", pa.int64())])
+
+    def candidates(band, keys, nodes, labels):
+        if not nodes:
+            return
+        groups = _group_numbers(keys)
+        rows = _words_of([x[: len(masks[0])] for x in nodes])
+        order = np.lexsort((*gray_rank(rows).T[::-1], groups))
+        groups, rows, band, key = groups[order], rows[order], np.array(band, np.int32)[order], np.array(keys, np.int64)[order]
+        named = np.array(nodes, object)[order]
+        found = _unsettled(groups, rows, np.array(labels, np.int64)[order], radius) if labelled else _proposed(groups, rows, radius, most)
+        for i, j, _ in found:
+            left = i == j
+            at = i[left]
+            met = _first_met(rows, i, j, band[i], words) & ~left
+            i, j = i[met], j[met]
+            for begin in range(0, len(i), 50_000):
+                a, b = named[i[begin : begin + 50_000]], named[j[begin : begin + 50_000]]
+                none = pa.nulls(len(a))
+                a, b = np.minimum(a, b), np.maximum(a, b)
+                yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary()), none.cast(pa.int32()), none.cast(pa.int64())], schema=schema)
+            if len(at):
+                yield pa.record_batch([pa.array(named[at], pa.binary()), pa.nulls(len(at), pa.binary()), pa.array(band[at]), pa.array(key[at])], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[], [], [], []]
+        for batch in batches:
+            for k, column in enumerate(batch.columns):
+                held[k] += column.to_pylist()
+            keys = held[1]
+            cut = len(keys)
+            while cut and keys[cut - 1] == keys[-1]:
+                cut -= 1
+            if cut >= 20_000:
+                yield from candidates(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        yield from candidates(*held)
+
+    return run
+
+
+def _similar(similarity: float):
+    """Pairs whose sets have the similarity."""
+    least = Fraction(str(similarity))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                alike.append(common * least.denominator >= least.numerator * (len(x) + len(y) - common))
+            yield batch.select([0, 1]).filter(pa.array(alike, pa.bool_()))
+
+    return run
+
+
+def _shingle_sets(words: int):
+    """(node, set) of (node, text); a text with the row key of another is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sets = [], []
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = np.unique(shingle_hashes(text.as_py(), words)).tobytes()
+                if node.endswith(xxhash.xxh64_digest(h, SEED)):
+                    nodes.append(node)
+                    sets.append(h)
+            yield pa.record_batch([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    return run
+
+
+def _set_nodes(words: int, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = []
+            for text in batch.column(2):
+                h = np.unique(shingle_hashes(text.as_py(), words))
+                nodes.append(_print_of(h, bits) + xxhash.xxh64_digest(h.tobytes(), SEED))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(nodes, pa.binary())], names=["doc_id", "row_key", "node"])
+
+    return run
+
+
+def _keyed_rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("row_key"), whole_text().cast("binary").alias("text"))
+
+
+def similar_pairs(pairs: DataFrame, docs: DataFrame, rows: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have the similarity."""
+    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    held = rows.join(used, "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key"))
+    texts = _keyed_rows(docs).join(held, "row_key").select("node", "text")
+    sets = texts.mapInArrow(_shingle_sets(words), "node binary, shingles binary").groupBy("node").agg(F.min("shingles").alias("shingles"))
+    sets = stored(sets, "shingle-sets")
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
+    return both.mapInArrow(_similar(similarity), "a binary, b binary")
+
+
 def band_edges(nodes: DataFrame, radius: int, width: int, bands: int, band_bits: int, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Links of pairs within the radius that share a band. A group too large is compared in pairs of its blocks."""
+    """Candidates (a, b, mask, key) of nodes that share a band: pairs, and open members as in ``_candidates``.
+
+    A group too large is compared in pairs of its blocks.
+    """
     masks = [_mask(b, width) for b in wide_bands(width, bands, band_bits)]
-    keyed = stored(nodes.select("fp").mapInArrow(_keys(masks), "mask int, key long, fp binary"), "simhash-bands")
-    sizes = keyed.groupBy("key").count().filter("count > 1")
+    keyed = nodes.select("node").mapInArrow(_keys(masks), "mask int, key long, node binary")
+    large = keyed.groupBy("key").count().filter(F.col("count") > group_rows)
     parts = F.ceil(F.col("count") / group_rows).cast("int")
-    sized = keyed.join(sizes.select("key", parts.alias("parts")), "key").select("key", "fp", "parts")
-    whole = sized.filter("parts = 1").select("key", "fp")
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    split = (
-        sized.filter("parts > 1")
-        .withColumn("own", own)
-        .withColumn("other", other)
-        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
-    )
-    return _grouped_edges(whole.unionByName(split), radius)
+    sized = keyed.join(stored(large.select("key", parts.alias("parts")), "simhash-large"), "key", "left")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    other = F.when(F.col("parts").isNotNull(), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.lit(0)))
+    split = sized.withColumn("own", own).withColumn("other", F.explode(other))
+    block = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    rows = split.select("mask", F.when(F.col("parts").isNull(), F.col("key")).otherwise(block).alias("key"), "node")
+    return _grouped_candidates(rows, radius, masks)
+
+
+def _grouped_candidates(rows: DataFrame, radius: int, masks: list[bytes]) -> DataFrame:
+    """Candidates of groups (mask, key, node) or, once some pairs are compared, (mask, key, node, label)."""
+    held = rows.repartition("key").sortWithinPartitions("key")
+    return held.mapInArrow(_candidates(radius, masks, "label" in rows.columns), "a binary, b binary, mask int, key long")
+
+
+def similar_edges(
+    nodes: DataFrame, docs: DataFrame, rows: DataFrame, similarity: float, words: int, width: int, bands: int, band_bits: int
+) -> DataFrame:
+    """Edges (a, b) between nodes whose shingle sets have the similarity, enough of them to connect all that are proposed."""
+    radius = radius_for(similarity, width)
+    found = stored(band_edges(nodes, radius, width, bands, band_bits), "simhash-candidates")
+    pairs = found.filter("b IS NOT NULL").select("a", "b").distinct()
+    edges = stored(similar_pairs(pairs, docs, rows, similarity, words), "similar")
+    unsettled = found.filter("b IS NULL").select("mask", "key", F.col("a").alias("node"))
+    if unsettled.isEmpty():
+        return edges
+    labels = components(edges).select(F.col("fp").alias("node"), F.xxhash64("label").alias("label"))
+    labelled = unsettled.join(labels, "node", "left").select("mask", "key", "node", F.coalesce("label", F.xxhash64("node")).alias("label"))
+    masks = [_mask(b, width) for b in wide_bands(width, bands, band_bits)]
+    others = stored(_grouped_candidates(labelled, radius, masks), "simhash-others").select("a", "b").distinct()
+    return edges.unionByName(similar_pairs(others, docs, rows, similarity, words))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -380,29 +590,30 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_components(
-    docs: DataFrame, words: int = 3, bits: int = 64, radius: int = 2, bands: int | None = None, band_bits: int = 16, group_rows: int = GROUP_ROWS
-) -> DataFrame:
-    """(doc_id, row_key, fp, component_id) per row. Without ``bands`` every pair within the radius is linked."""
+def near_components(docs: DataFrame, words: int = 3, bits: int = 64, radius: int = 2, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(doc_id, row_key, fp, component_id) per row; every pair within the radius is linked."""
     rows = stored(fingerprints(docs, words, bits), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    if bands is None:
-        edges = block_edges(nodes, radius, bits, group_rows)
-    else:
-        edges = band_edges(nodes, radius, bits, bands, band_bits, group_rows)
-    labels = components(edges)
-    labelled = nodes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    return _numbered(rows, nodes, block_edges(nodes, radius, bits, group_rows), "fp")
+
+
+def _numbered(rows: DataFrame, nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+    """``rows`` with the least doc_id of their component; ``nodes`` are (node, least_id)."""
+    labels = components(edges).withColumnRenamed("fp", node)
+    labelled = nodes.join(labels, node, "left").withColumn("label", F.coalesce("label", node))
     roots = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    ids = labelled.join(roots, "label").select("fp", "component_id")
-    return rows.join(ids, "fp").select("doc_id", "row_key", "fp", "component_id")
+    ids = labelled.join(roots, "label").select(node, "component_id")
+    return rows.join(ids, node).select("doc_id", "row_key", node, "component_id")
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, bits: int = 256, bands: int = 32, band_bits: int = 16) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row with the smallest doc_id stays.
 
-    Links are pairs whose fingerprints are as close as texts of the given shingle similarity are.
+    Links are pairs whose sets of shingles have at least the Jaccard similarity; texts without a word have equal sets.
     """
-    found = near_components(docs, words, bits, radius_for(similarity, bits), bands, band_bits)
+    rows = stored(_keyed_rows(docs).mapInArrow(_set_nodes(words, bits), "doc_id long, row_key long, node binary"), "fingerprints")
+    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("least_id")), "simhash-nodes")
+    found = _numbered(rows, nodes, similar_edges(nodes, docs, rows, similarity, words, bits, bands, band_bits), "node")
     lost = found.filter("doc_id > component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select("doc_id", "row_key").distinct()
     keyed = docs.select(F.struct("*").alias("_row"), F.xxhash64(whole_text()).alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"))
     same = keyed["doc_id"].eqNullSafe(lost["doc_id"]) & (keyed["row_key"] == lost["row_key"])

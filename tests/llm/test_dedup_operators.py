@@ -245,6 +245,18 @@ def test_near_copies_of_similarity_08_go(make, monkeypatch, group_rows):
     assert sum(i not in kept for i in alike) >= 0.95 * len(alike)
 
 
+def lines_of(rng, n):
+    return "\n".join(" ".join(f"w{rng.randrange(100_000)}" for _ in range(10)) for _ in range(n))
+
+
+def test_a_repeated_line_makes_no_near_copies(make):
+    rng = random.Random(8)
+    hot = lines_of(rng, 1)
+    docs = [(k, lines_of(rng, 40) + f"\n{hot}" * 30) for k in range(40)]
+    kept = {r.doc_id for r in simhash.drop_near_copies(make(docs)).collect()}
+    assert kept == set(range(40))
+
+
 def test_near_edges(make, awkward):
     rows = simhash.near_components(clashing(make, awkward)).collect()
     assert len(rows) == len(awkward)
