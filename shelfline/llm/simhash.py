@@ -13,7 +13,7 @@ fingerprints are united inside the task and leave as a star, at most one edge pe
 Stars of all groups are joined to components by label propagation with pointer jumping over written tables.
 
 ``drop_near_copies`` looks for a similarity of shingle sets. Wide fingerprints of the sets, within a large radius and
-keyed by random bit subsets, only propose pairs (see ``wide_band_recall``): a link is a pair whose sets have that Jaccard
+keyed by random bit subsets, only propose pairs (with the chance ``wide_recall``): a link is a pair whose sets have that Jaccard
 similarity exactly. A pair is proposed in the first band it shares. A group with over ``PAIRS_A_ROW`` pairs a member
 proposes neighbours in Gray order and the pairs of its most central member first; after those are compared, all its
 other pairs that aren't yet in one component.
@@ -352,16 +352,23 @@ def wide_bands(width: int, bands: int, band_bits: int, seed: int = SEED) -> list
     return [tuple(sorted(rng.choice(width, band_bits, replace=False).tolist())) for _ in range(bands)]
 
 
-def wide_band_recall(similarity: float, bands: int, band_bits: int) -> float:
-    """Chance that texts of a shingle-set similarity (Jaccard) share a band: bits differ with angle / pi."""
-    cosine = 2 * similarity / (1 + similarity)
-    return 1 - (1 - (1 - math.acos(cosine) / math.pi) ** band_bits) ** bands
+def wide_recall(similarity: float, width: int, radius: int, bands: int, band_bits: int) -> float:
+    """Chance that texts of a shingle-set similarity (Jaccard) are within the radius and share a band.
+
+    Bits differ independently with angle / pi; places that differ leave a band alone if it has none of them.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+    def met(d: int) -> float:
+        return 1 - (1 - math.comb(width - d, band_bits) / math.comb(width, band_bits)) ** bands
+
+    return sum(math.comb(width, d) * p**d * (1 - p) ** (width - d) * met(d) for d in range(radius + 1))
 
 
 def radius_for(similarity: float, width: int) -> int:
-    """Differing bits expected at a shingle-set similarity, plus half a standard deviation."""
+    """Differing bits expected at a shingle-set similarity, plus three standard deviations."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(width * p + 0.5 * math.sqrt(width * p * (1 - p)))
+    return round(width * p + 3 * math.sqrt(width * p * (1 - p)))
 
 
 def _first_met(rows: np.ndarray, i: np.ndarray, j: np.ndarray, band: np.ndarray, masks: np.ndarray) -> np.ndarray:
@@ -606,7 +613,7 @@ def _numbered(rows: DataFrame, nodes: DataFrame, edges: DataFrame, node: str) ->
     return rows.join(ids, node).select("doc_id", "row_key", node, "component_id")
 
 
-def drop_near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, bits: int = 256, bands: int = 32, band_bits: int = 16) -> DataFrame:
+def drop_near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, bits: int = 256, bands: int = 72, band_bits: int = 14) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row with the smallest doc_id stays.
 
     Links are pairs whose sets of shingles have at least the Jaccard similarity; texts without a word have equal sets.

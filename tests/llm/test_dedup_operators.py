@@ -257,6 +257,65 @@ def test_a_repeated_line_makes_no_near_copies(make):
     assert kept == set(range(40))
 
 
+def test_pairs_just_above_the_similarity_go(make):
+    rng = random.Random(10)
+    docs, alike = [], []
+    for k in range(200):
+        w = words(rng, 400, 100_000).split()
+        v = list(w)
+        for at in rng.sample(range(5, 390, 8), 7) if k % 2 else range(at := rng.randrange(300), at + rng.randrange(32, 39)):
+            v[at] = f"new{k}-{at}"
+        a, b = shingles(" ".join(w)), shingles(" ".join(v))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.845:
+            alike.append(2 * k + 1)
+        docs += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    assert len(alike) > 150
+    kept = {r.doc_id for r in simhash.drop_near_copies(make(docs)).collect()}
+    assert {2 * k for k in range(200)} <= kept
+    assert sum(i not in kept for i in alike) >= 0.97 * len(alike)
+
+
+def test_recall_at_the_similarity():
+    assert simhash.wide_recall(0.8, 256, simhash.radius_for(0.8, 256), *simhash.drop_near_copies.__defaults__[-2:]) > 0.99
+
+
+def exact_near(docs, least=0.8):
+    """Ids left by brute force over all pairs."""
+    sets = {i: shingles(t) for i, t in docs}
+    label = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = {i: low if x == high else x for i, x in label.items()}
+    return {i for i, x in label.items() if i == x}
+
+
+def clusters(seed):
+    """Two texts at a similarity below 0.8, each with many copies, and a text with copies near the border."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    docs, n = [], 0
+    for start, copies, most in ((base, 60, 3), ([*base[:255], *(f"x{k}" for k in range(45))], 60, 3), ([f"y{k}" for k in range(300)], 40, 12)):
+        for c in range(copies):
+            w = list(start)
+            for _ in range(rng.randrange(most)):
+                w[rng.randrange(len(w))] = f"new{n}"
+            docs.append((n, " ".join(w)))
+            n += 1
+    return docs
+
+
+@pytest.mark.parametrize("pairs_a_row", [8, 0])
+def test_clusters_of_near_copies_against_brute_force(make, monkeypatch, pairs_a_row):
+    monkeypatch.setattr(simhash, "PAIRS_A_ROW", pairs_a_row)
+    docs = clusters(9)
+    expected = exact_near(docs)
+    assert len(expected) >= 2
+    kept = {r.doc_id for r in simhash.drop_near_copies(make(docs)).collect()}
+    assert kept == expected
+
+
 def test_near_edges(make, awkward):
     rows = simhash.near_components(clashing(make, awkward)).collect()
     assert len(rows) == len(awkward)
