@@ -116,6 +116,28 @@ def test_shard_files(spark, tmp_path):
         shards.read_shards(spark, str(tmp_path / "nowhere"))
 
 
+def test_shards_with_an_unreadable_file_are_left_out_whole(spark, tmp_path):
+    base = tmp_path / "shards"
+    price = spark.createDataFrame([(1, 1, 5.0, None, "CRC", NOW, None)], HISTORY)
+    for name in (f"worker-{k}" for k in range(6)):
+        product_rows(spark, 2).coalesce(1).write.parquet(str(base / "products" / name))
+        price.coalesce(1).write.parquet(str(base / "price_history" / name))
+    (base / "products" / "worker-1" / "part-9.parquet").write_bytes(b"not a parquet file")
+    (base / "price_history" / "worker-3" / "part-9.parquet").write_bytes(b"not a parquet file")
+    (base / "products" / "worker-4" / "part-9.parquet").write_bytes(b"")
+    cut = next((base / "products" / "worker-5").glob("part-*.parquet"))
+    whole = cut.read_bytes()
+    cut.write_bytes(b"PAR1" + b"\xff" * (len(whole) // 4) + whole[4 + len(whole) // 4 :])  # the footer is intact
+    for crc in (base / "products" / "worker-5").glob(".*.crc"):
+        crc.unlink()
+    out = shards.read_whole_shards(spark, str(base))
+    for rows in (out.products, out.history, *shards.read_shards(spark, str(base))):
+        assert {r["shard"] for r in rows.collect()} == {"worker-0", "worker-2"}
+    assert sorted((r["shard"], r["source"]) for r in out.left_out.collect()) == [
+        ("worker-1", "products"), ("worker-3", "price_history"), ("worker-4", "products"), ("worker-5", "products"),
+    ]
+
+
 def test_watch_list_documents(spark):
     entry = {"productId": 1, "url": "u", "name": "n", "addedAt": "2024-01-01T00:00:00.000Z", "priceAtAddition": 5}
     raws = [
