@@ -6,9 +6,10 @@ keys than its capacity is split by one more bit; if its slots don't tell the hal
 doubles first. The directory is grown from a histogram of distinct keys, so a text repeated by a third of all
 rows is one key. Beyond ``MAX_DEPTH`` bits a bucket is left overfull and its chains grow longer, nothing is lost.
 
-The buckets are files in the shared folder. Owner tasks hold the buckets of key ranges: they read the entries
-of a bucket in key order and compare bytes along the chain of each key. Copies are combined before they are
-sent to an owner (per task, then per text), so an owner gets each different text once, however many rows repeat it.
+The bucket is a label of the index rows in the shared folder: rows are dealt by bucket and key, so the keys of a bucket
+are spread over tasks and files. Spark's grouping by bucket, key and text decides which texts are equal, so a task gets
+each different text once, however many rows repeat it; along the chain of a key it then meets different texts only.
+Input rows find their entry by key and SHA-256, not through the directory.
 
 Defined results: a null text is the empty text. Of equal texts the row with the largest doc_id stays; a null
 doc_id is smaller than any other. Rows that repeat both id and text stay or go together. An empty table gives
