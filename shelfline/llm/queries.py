@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from shelfline.llm import exact_dedup, line_dedup, mixing, packing, quality, repeats, sharding, simhash, token_counts, warc
+from shelfline.llm import (
+    exact_dedup,
+    license_scan,
+    line_dedup,
+    mixing,
+    packing,
+    prefix_trie,
+    quality,
+    ranked_search,
+    repeats,
+    sharding,
+    simhash,
+    token_counts,
+    warc,
+)
 from shelfline.llm.common import documents
 
 SHARDS = 40
@@ -69,6 +83,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), every=5, heads=9)
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir)).drop("_row")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mix": op2_mix,
@@ -80,6 +106,9 @@ QUERIES = {
     "op8_repeats": op8_repeats,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_license_scan": op12_license_scan,
+    "op13_ranked_search": op13_ranked_search,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -190,10 +219,84 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM s
 """
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# CRC-32 of the decimal id, bit by bit.
+_CRC = """
+xor(list_reduce(range(0, 9 * length(c)), lambda crc, k: CASE WHEN k % 9 = 0
+      THEN xor(crc, ascii(substr(c, k // 9 + 1, 1))::BIGINT)
+      ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END, 4294967295::BIGINT), 4294967295)
+"""
+
+_OP11 = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, sha256(strlen(role) || ':' || role || ':' || text)) AS turns
+        FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, turns, ({_CRC}) % 9 AS h FROM (SELECT *, conv_id::VARCHAR AS c FROM own)),
+r AS (SELECT a.conv_id, coalesce(b.turns, [])[1:a.h] || a.turns[a.h + 1:] AS turns FROM h a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 5),
+p AS (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM r),
+n AS (SELECT depth, turns[1:depth] AS path, min(conv_id) AS conv_id, count(*) AS n_convs,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(turns) = depth), '')) AS ends_sha256
+      FROM p GROUP BY ALL),
+k AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * coalesce(strlen(path[depth].text), 0) AS saved FROM n LEFT JOIN k USING (path)),
+s AS (SELECT path[1:d] AS path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+      FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM v) GROUP BY ALL)
+SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves, s.saved_tokens, v.ends_sha256
+FROM v JOIN s USING (path) LEFT JOIN n u ON v.depth > 0 AND u.depth = v.depth - 1 AND u.path = v.path[1:v.depth - 1]
+"""
+
+
+def _license_sql(templates: tuple[license_scan.Template, ...]) -> str:
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    keys = ",\n".join(
+        f"('{t.label}', {quoted(p.split())}, {next(i for i in range(99) if t.notice.split()[i:][: len(p.split())] == p.split())}, {len(t.keys)})"
+        for t in templates
+        for p in t.keys
+    )
+    notices = ",\n".join(f"('{t.label}', {quoted(t.notice.split())}, {str(t.base).lower()})" for t in templates)
+    return f"""
+WITH w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+u AS (SELECT doc_id, unnest(words) AS word, unnest(range(0, len(words))) AS i FROM w),
+k(label, phrase, place, n_keys) AS (VALUES {keys}),
+t(label, notice, base) AS (VALUES {notices}),
+s AS (SELECT doc_id, label, phrase, n_keys, i - place AS spot FROM u JOIN k ON u.word = k.phrase[1] JOIN w USING (doc_id)
+      WHERE words[i + 1:i + len(phrase)] = phrase),
+a AS (SELECT doc_id, label, spot FROM s GROUP BY doc_id, label, spot, n_keys HAVING count(DISTINCT phrase) = n_keys),
+f AS (SELECT doc_id, label, base, spot, len(list_filter(range(0, len(notice)), lambda j: spot + j >= 0 AND words[spot + j + 1] = notice[j + 1])) / len(notice) AS share
+      FROM a JOIN t USING (label) JOIN w USING (doc_id)),
+g AS (SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(spot) FILTER (WHERE base) AS first_word, max(spot) FILTER (WHERE base) AS last_word,
+             string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels,
+             string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+      FROM f GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+FROM w LEFT JOIN g USING (doc_id)
+"""
+
+
+_TERMS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+_OP13 = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS terms FROM documents),
+g AS (SELECT count(*) FILTER (WHERE len(terms) > 0)::BIGINT AS docs, sum(len(terms))::BIGINT AS total FROM d),
+f AS (SELECT doc_id, len(terms)::BIGINT AS n, term, count(*) AS tf FROM (SELECT *, unnest(terms) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM f, g GROUP BY term, docs),
+i AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))))::BIGINT AS score
+      FROM i JOIN f USING (term) JOIN w USING (term), g GROUP BY ALL)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0)
+WHERE rank <= 10
+"""
+
 ORACLES = {
     "op1_exact_dedup": _OP1,
     "op2_mix": _mix_sql(TARGET_MIX),
     "op5_line_dedup": _OP5,
     "op6_warc": _OP6,
     "op10_quality": _OP10,
+    "op11_prefix_trie": _OP11,
+    "op12_license_scan": _license_sql(license_scan.BASE + license_scan.NOTICES),
+    "op13_ranked_search": _OP13,
 }
