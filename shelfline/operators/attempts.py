@@ -58,6 +58,28 @@ def resolve_attempts(
     )
 
 
+def crawl_key(observations: DataFrame) -> Column:
+    """What tells the crawls of a URL apart: the run, or the instant of a row that names none."""
+    instant = F.concat(F.lit("at "), F.col("observed_at").cast("string"))
+    return F.coalesce("run_id", instant) if "run_id" in observations.columns else instant
+
+
+def split_unusable(
+    observations: DataFrame, attempt: str = "attempt", max_retries: int = MAX_RETRIES
+) -> tuple[DataFrame, DataFrame]:
+    """(usable rows, rejected rows with ``reason``): no URL, no time, or an attempt beyond the allowed retries.
+
+    A missing attempt number is the first attempt.
+    """
+    reason = (
+        F.when(F.coalesce("url", F.lit("")) == "", "no_url")
+        .when(F.col("observed_at").isNull(), "no_time")
+        .when(F.col(attempt) > max_retries, "retry_limit")
+    )
+    usable = observations.filter(reason.isNull()).withColumn(attempt, F.coalesce(attempt, F.lit(0)))
+    return usable, observations.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+
+
 def classify(observations: DataFrame) -> DataFrame:
     """Adds ``outcome``: inactive, challenge, not_product, null_price or priced."""
     return observations.withColumn(

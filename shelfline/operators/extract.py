@@ -199,6 +199,7 @@ def extract_products(pages: DataFrame) -> DataFrame:
         "status_code",
         F.col("fetched_at").alias("observed_at"),
         "attempt",
+        (F.col("run_id") if "run_id" in pages.columns else F.lit(None).cast("string")).alias("run_id"),
         F.coalesce(challenge, F.lit(False)).alias("is_challenge"),
         F.when(fetched & ~challenge & plausible, F.col("html")).alias("html"),
     )
@@ -257,7 +258,7 @@ def extract_products(pages: DataFrame) -> DataFrame:
     found = {
         f.name
         for f in OBSERVATIONS.fields
-        if f.name not in ("url", "observed_at", "attempt", "status_code", "is_product", "is_challenge")
+        if f.name not in ("url", "observed_at", "attempt", "run_id", "status_code", "is_product", "is_challenge")
     }
     empty = {"is_available": F.lit(False), "stock_locations": F.array()}
     record = observed.select(

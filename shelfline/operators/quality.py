@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.operators.intervals import open_rows
@@ -11,6 +11,8 @@ from shelfline.operators.intervals import open_rows
 ALERT_RATIO = 0.8
 NULL_PRICE_LIMIT = 50
 
+OUTCOMES = ("priced", "null_price", "inactive", "challenge", "not_product")
+
 
 def unpriced_products(products: DataFrame, history: DataFrame) -> DataFrame:
     """Active products without an open price interval."""
@@ -84,8 +86,22 @@ def run_counters(classified: DataFrame) -> DataFrame:
     return classified.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+def outcome_metrics() -> list[Column]:
+    """Counters of settled observations, to be taken in flight by ``DataFrame.observe``."""
+    counted = [F.count_if((F.col("outcome") == o) & ~F.col("is_late")).alias(o) for o in OUTCOMES]
+    return [*counted, F.count_if("is_late").alias("late")]
+
+
+class TooManyNullPrices(RuntimeError):
+    """More products of a run came without a price than are tolerated."""
+
+
+def require_prices(null_prices: int, limit: int = NULL_PRICE_LIMIT) -> None:
+    if null_prices > limit:
+        raise TooManyNullPrices(f"{null_prices} products without a price, {limit} are tolerated")
+
+
 def null_price_gate(counters: DataFrame, limit: int = NULL_PRICE_LIMIT) -> None:
     """Raise when a run produced more null prices than tolerated (reads one counter)."""
     row = counters.filter(F.col("outcome") == "null_price").agg(F.sum("n").alias("n")).first()
-    if (row["n"] or 0) > limit:
-        raise RuntimeError(f"{row['n']} products without a price, {limit} are tolerated")
+    require_prices(row["n"] or 0, limit)

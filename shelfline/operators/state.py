@@ -70,19 +70,21 @@ def _with_date(events: DataFrame) -> DataFrame:
     return events.withColumn("published_date", F.lit(None).cast("date"))
 
 
-def reject_stale(events: DataFrame, products: DataFrame, ts: str = "observed_at") -> DataFrame:
-    """Drop events that are not newer than the newest stored observation of their product.
+def mark_late(events: DataFrame, products: DataFrame, ts: str = "observed_at") -> DataFrame:
+    """Adds ``is_late``: not newer than the newest stored observation of the product.
 
     That is its check time, or its first sight where it was observed once. Products are reduced to the
     URLs of the batch first, so a small batch doesn't shuffle the stored table.
     """
     touched = products.join(events.select("url").distinct(), "url", "left_semi")
     known = touched.select("url", F.greatest("last_checked_at", "first_seen_at").alias("_checked"))
-    return (
-        events.join(known, "url", "left")
-        .filter(F.col("_checked").isNull() | (F.col(ts) > F.col("_checked")))
-        .drop("_checked")
-    )
+    late = F.coalesce(F.col(ts) <= F.col("_checked"), F.lit(False))
+    return events.join(known, "url", "left").withColumn("is_late", late).drop("_checked")
+
+
+def reject_stale(events: DataFrame, products: DataFrame, ts: str = "observed_at") -> DataFrame:
+    """The events that are not late, see ``mark_late``."""
+    return mark_late(events, products, ts).filter(~F.col("is_late")).drop("is_late")
 
 
 def fold_into(products: DataFrame, events: DataFrame, ts: str = "observed_at") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfline.operators.intervals import strict_intervals
-from shelfline.schemas import HISTORY, PRODUCTS, align_schema, epoch, history_id
+from shelfline.schemas import HISTORY, OBSERVATIONS, PRODUCTS, align_schema, epoch, history_id
 
 SHOP = "https://shop.example/producto/"
 # Fixed points in time of the registered queries.
@@ -335,3 +335,21 @@ def page_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
             price.alias("price"),
         )
     )
+
+
+def crawl_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fetch attempts as ten runs of a URL: orders share a URL by tens, each order is a run."""
+    order = F.regexp_extract("url", "([0-9]+)/$", 1).cast("long")
+    since = F.make_dt_interval(F.lit(0), F.col("_order") % 10, F.col("attempt"))
+    rows = page_observations(spark, sf_dir).withColumn("_order", order)
+    return align_schema(
+        rows.withColumns(
+            {
+                "url": F.concat(F.lit(f"{SHOP}crawl-"), F.floor(F.col("_order") / 10), F.lit("/")),
+                "run_id": F.concat(F.lit("run-"), F.col("_order") % 10),
+                "observed_at": instant("1999-01-01 00:00:00") + since,
+                "currency": F.when(F.col("price").isNotNull(), F.lit("CRC")),
+            }
+        ),
+        OBSERVATIONS,
+    )

@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from shelfline.operators import alerts, attempts, catalog, chunks, discover, merge, quality, search, series, state
 from shelfline.operators.intervals import closed_rows, coalesced_intervals, open_rows, strict_intervals
 from shelfline.schemas import HISTORY, PRODUCTS, align_schema, history_id, product_id
+from shelfline.session import pinned
 from shelfline.sources.sitemaps import resolve_sitemap
 from shelfline.sources.worklists import choose_urls
 
@@ -24,10 +25,27 @@ class Discovery(NamedTuple):
     counts: DataFrame
 
 
+class Settled(NamedTuple):
+    """Observations after retries: one per crawl, with outcome and lateness, and the rows left out with a reason."""
+
+    rows: DataFrame
+    unusable: DataFrame
+
+    def rejected(self) -> DataFrame:
+        late = self.rows.filter("is_late").withColumn("reason", F.lit("late"))
+        return self.unusable.unionByName(late.select(*self.unusable.columns))
+
+
 class Update(NamedTuple):
     products: DataFrame
     history: DataFrame
     counters: DataFrame
+    rejected: DataFrame
+    counts: dict[str, int]
+
+    def require_prices(self, limit: int = quality.NULL_PRICE_LIMIT) -> None:
+        """The gate of a run, to be passed once its results are stored."""
+        quality.require_prices(self.counts["null_price"], limit)
 
 
 class Merge(NamedTuple):
@@ -82,18 +100,52 @@ def update_history(
 ) -> DataFrame:
     """Stored history continued with newer observations (product_id, observed_at, price, ...).
 
-    Closed intervals are never read by a shuffle: only the open interval of each product takes
-    part, as the first observation of the batch. ``sizing`` as for ``strict_intervals``.
+    Closed intervals, and open ones of products that the batch doesn't touch, pass through unsorted: only
+    the open interval of each product of the batch takes part, as its first observation. ``sizing`` as for
+    ``strict_intervals``.
     """
     build = strict_intervals if mode == "strict" else coalesced_intervals
     columns = ["product_id", "price", "currency", "original_price"]
-    carried = open_rows(history).select(
+    touched = observations.select("product_id").distinct()
+    stored_open = align_schema(open_rows(history), HISTORY)
+    carried = stored_open.join(touched, "product_id", "left_semi").select(
         *columns, F.col("start_ts").alias("observed_at"), F.lit(True).alias("_stored")
     )
     fresh = observations.select(*columns, "observed_at", F.lit(False).alias("_stored"))
     intervals = build(carried.unionByName(fresh), carried="_stored", sizing=sizing, **hot)
     continued = intervals.withColumn("id", history_id(F.col("product_id"), F.col("start_ts")))
-    return align_schema(closed_rows(history), HISTORY).unionByName(align_schema(continued, HISTORY))
+    untouched = stored_open.join(touched, "product_id", "left_anti").select(*HISTORY.names)
+    past = align_schema(closed_rows(history), HISTORY).unionByName(untouched)
+    return past.unionByName(align_schema(continued, HISTORY))
+
+
+def settle(
+    observations: DataFrame, products: DataFrame, attempt_keys: list[str] | None = None
+) -> Settled:
+    """Attempts settled within each crawl, classified, and marked late against the stored products.
+
+    A crawl is a URL and a ``run_id``; rows without one are crawls of their own time. Rows that can't be used
+    are kept aside with a reason, see ``attempts.split_unusable``.
+    """
+    usable, unusable = attempts.split_unusable(observations)
+    keys = ["url", "_crawl"] if attempt_keys is None else attempt_keys
+    crawls = usable.withColumn("_crawl", attempts.crawl_key(usable))
+    settled = attempts.classify(attempts.resolve_attempts(crawls, keys)).drop("_crawl")
+    return Settled(state.mark_late(settled, products), unusable)
+
+
+def fold_settled(products: DataFrame, history: DataFrame, settled: DataFrame, mode: str = "strict") -> tuple[DataFrame, DataFrame]:
+    """(products, history) brought up to date with settled observations; late ones change nothing.
+
+    A 404 makes a known product inactive, challenge pages and other pages change nothing.
+    """
+    kind = (
+        F.when(F.col("outcome") == "inactive", state.GONE)
+        .when(F.col("outcome").isin("priced", "null_price"), state.UPSERT)
+    )
+    events = settled.filter(~F.col("is_late")).withColumn("kind", kind).filter(F.col("kind").isNotNull())
+    priced = events.filter(F.col("kind") == state.UPSERT).withColumn("product_id", product_id(F.col("url")))
+    return state.fold_into(products, events), update_history(history, priced, mode)
 
 
 def apply_observations(
@@ -105,28 +157,19 @@ def apply_observations(
 ) -> Update:
     """Fold a batch of page observations into product state and price history.
 
-    Attempts are settled first, within a crawl: by URL and ``run_id`` where the batch has that column, else
-    by URL and time, so no crawl of a batch is lost. Rows that are not newer than the stored check are dropped, a 404
-    makes a known product inactive, challenge pages and other pages change nothing.
+    The batch is settled once and pinned in the shared folder; its counters are taken in flight by that pass, so
+    ``counts`` is known when this returns. ``rejected`` has every row that was left out, with the reason.
     """
-    if attempt_keys is None:
-        attempt_keys = ["url", "run_id" if "run_id" in observations.columns else "observed_at"]
-    settled = attempts.classify(attempts.resolve_attempts(observations, attempt_keys))
-    fresh = state.reject_stale(settled, products)
-    kind = (
-        F.when(F.col("outcome") == "inactive", state.GONE)
-        .when(F.col("outcome").isin("priced", "null_price"), state.UPSERT)
-    )
-    events = fresh.withColumn("kind", kind).filter(F.col("kind").isNotNull())
-    priced = events.filter(F.col("kind") == state.UPSERT).withColumn(
-        "product_id", product_id(F.col("url"))
-    )
-    # very frequent products show in the raw batch already, before anything is settled
-    sizing = observations.select(product_id(F.col("url")).alias("product_id"), "observed_at")
+    settled = settle(observations, products, attempt_keys)
+    counted = Observation("settled")
+    rows = pinned(settled.rows.observe(counted, *quality.outcome_metrics()))
+    new_products, new_history = fold_settled(products, history, rows, mode)
     return Update(
-        state.fold_into(products, events),
-        update_history(history, priced, mode, sizing),
-        quality.run_counters(settled),
+        new_products,
+        new_history,
+        quality.run_counters(rows.filter(~F.col("is_late"))),
+        Settled(rows, settled.unusable).rejected(),
+        counted.get,
     )
 
 

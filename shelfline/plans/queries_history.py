@@ -426,7 +426,7 @@ def streaming_intervals(spark: SparkSession, d: str) -> DataFrame:
         align_schema(observed, OBSERVATIONS), base, ["url", "observed_at"], available_now=True
     )
     run.awaitTermination()
-    last = ingest.last_batch(run)
+    last = ingest.last_batch(spark, base)
     urls = ingest.products_after(spark, base, last).select(F.col("id").alias("product_id"), "url")
     return ingest.history_after(spark, base, last).join(urls, "product_id").select(
         "url", "price", "start_ts", "end_ts"

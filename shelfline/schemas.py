@@ -69,6 +69,7 @@ OBSERVATIONS = T.StructType(
         T.StructField("published_date", T.DateType()),
         T.StructField("price_debug", T.StringType()),
         T.StructField("html_debug", T.StringType()),
+        T.StructField("run_id", T.StringType()),
     ]
 )
 
@@ -79,6 +80,8 @@ PAGES = T.StructType(
         T.StructField("status_code", T.IntegerType()),
         T.StructField("fetched_at", T.TimestampType()),
         T.StructField("attempt", T.IntegerType()),
+        # the crawl a fetch belongs to; retries of one crawl share it
+        T.StructField("run_id", T.StringType()),
     ]
 )
 

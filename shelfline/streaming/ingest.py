@@ -1,27 +1,39 @@
 """Folding observations into the stored tables as they arrive.
 
-Layout below a base folder: ``products/batch=N`` holds one row per product after micro-batch N,
-``history/batch=N/state=open`` the intervals open after it and ``history/batch=N/state=closed``
-those it closed. A batch reads the state of the batch before it and overwrites its own folders, so
-repeating it after a failure gives the same tables, and closed history is never rewritten.
+Layout below a base folder (see ``sources.buckets``): ``products`` and ``open`` (open price intervals) are bucketed by
+product and rewritten where a batch touches them; ``closed/batch=N`` has the intervals that batch N closed,
+``rejected/batch=N`` the rows it left out with a reason and ``settled/batch=N`` the observations it folded. Closed
+history is never rewritten, and neither are buckets that a batch does not touch. A batch starts from the manifest
+before its own number and is done when its manifest is written, so repeating it after a failure gives the same tables.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from shelfline.plans.jobs import apply_observations
-from shelfline.schemas import HISTORY, OBSERVATIONS, PRODUCTS
+from shelfline.operators import quality
+from shelfline.operators.intervals import closed_rows, open_rows
+from shelfline.plans.jobs import fold_settled, settle
+from shelfline.schemas import HISTORY, OBSERVATIONS, PRODUCTS, product_id
+from shelfline.sources import buckets as store
 
 # Files taken into one micro-batch; each batch commits, so this is also the progress interval.
 FILES_PER_BATCH = 50
 
-_STORED_HISTORY = T.StructType(
-    [*HISTORY.fields, T.StructField("batch", T.LongType()), T.StructField("state", T.StringType())]
-)
+REJECTED = T.StructType([*OBSERVATIONS.fields, T.StructField("reason", T.StringType())])
+REASONS = ("no_url", "no_time", "retry_limit", "late")
+
+
+class Run(NamedTuple):
+    """What a run that took the arrived files has done: its last batch and the counters of its batches."""
+
+    last_batch: int
+    counters: dict[str, int]
 
 
 def observation_stream(
@@ -34,29 +46,50 @@ def observation_stream(
     )
 
 
-def products_after(spark: SparkSession, base: str, batch: int) -> DataFrame:
-    if batch < 0:
-        return spark.createDataFrame([], PRODUCTS)
-    return spark.read.schema(PRODUCTS).parquet(f"{base}/products/batch={batch}")
+def last_batch(spark: SparkSession, base: str) -> int:
+    """Number of the newest committed batch, read from storage; -1 before the first."""
+    return max(store.committed_batches(spark, base), default=-1)
+
 
+def _state_before(spark: SparkSession, base: str, batch: int) -> store.Manifest:
+    earlier = [b for b in store.committed_batches(spark, base) if b < batch]
+    return store.read_manifest(spark, base, max(earlier, default=-1))
 
-def _stored_history(spark: SparkSession, base: str) -> DataFrame:
-    return spark.read.schema(_STORED_HISTORY).parquet(f"{base}/history")
+
+def products_after(spark: SparkSession, base: str, batch: int) -> DataFrame:
+    """Products after one of the newest batches (``buckets.KEPT_BATCHES``)."""
+    return store.read_buckets(spark, base, "products", PRODUCTS, store.read_manifest(spark, base, batch))
 
 
 def open_after(spark: SparkSession, base: str, batch: int) -> DataFrame:
-    """Open intervals after a batch; the filter prunes folders."""
-    if batch < 0:
-        return spark.createDataFrame([], HISTORY)
-    rows = _stored_history(spark, base).filter((F.col("batch") == batch) & (F.col("state") == "open"))
-    return rows.drop("batch", "state")
+    return store.read_buckets(spark, base, "open", HISTORY, store.read_manifest(spark, base, batch))
+
+
+def _appended(spark: SparkSession, base: str, table: str, schema: T.StructType, batch: int) -> DataFrame:
+    """Rows that committed batches up to ``batch`` appended; the filter prunes folders."""
+    done = [b for b in store.committed_batches(spark, base) if b <= batch]
+    if not done:
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("batch", T.LongType())]))
+    numbered = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(numbered).parquet(f"{base}/{table}").filter(F.col("batch") <= done[-1])
 
 
 def history_after(spark: SparkSession, base: str, batch: int) -> DataFrame:
     """All intervals after a batch."""
-    closed = (F.col("state") == "closed") & (F.col("batch") <= batch)
-    still_open = (F.col("state") == "open") & (F.col("batch") == batch)
-    return _stored_history(spark, base).filter(closed | still_open).drop("batch", "state")
+    closed = _appended(spark, base, "closed", HISTORY, batch).drop("batch")
+    return closed.unionByName(open_after(spark, base, batch))
+
+
+def rejected_after(spark: SparkSession, base: str, batch: int) -> DataFrame:
+    """All rows left out up to a batch, with ``reason`` and ``batch``."""
+    return _appended(spark, base, "rejected", REJECTED, batch)
+
+
+def counters_of(spark: SparkSession, base: str, after: int = -1) -> DataFrame:
+    """(batch, outcome, n) of the committed batches after a number: outcomes of settled rows and rejects by reason."""
+    done = [b for b in store.committed_batches(spark, base) if b > after]
+    rows = [(b, c, n) for b in done for c, n in store.read_manifest(spark, base, b).counters.items()]
+    return spark.createDataFrame(rows, "batch long, outcome string, n long")
 
 
 def fold_batch(
@@ -66,25 +99,42 @@ def fold_batch(
     batch: int,
     attempt_keys: list[str] | None = None,
     mode: str = "strict",
-) -> None:
-    """Apply one micro-batch and write its folders."""
-    observations = observations.persist()
+    n_buckets: int = store.BUCKETS,
+) -> dict[str, int]:
+    """Apply one micro-batch, write what it changes and commit; returns its counters.
+
+    The settled rows are written first and read back: one pass over the input gives them, and the counters are taken
+    in flight by that pass.
+    """
+    before = _state_before(spark, base, batch)
+    whose = F.coalesce(product_id(F.col("url")), F.lit(0))
+    arrived = observations.withColumn("_bucket", store.bucket_of(whose, n_buckets))
+    touched = {r["_bucket"] for r in arrived.select("_bucket").distinct().collect()}
+    products = store.read_buckets(spark, base, "products", PRODUCTS, before, touched)
+
+    settled = settle(observations, products, attempt_keys)
+    counted = Observation("settled")
+    settled.rows.observe(counted, *quality.outcome_metrics()).write.mode("overwrite").parquet(f"{base}/settled/batch={batch}")
+    rows = spark.read.schema(settled.rows.schema).parquet(f"{base}/settled/batch={batch}")
+
+    left_out = settled._replace(rows=rows).rejected().select(*REJECTED.names)
+    dropped = Observation("rejected")
+    by_reason = [F.count_if(F.col("reason") == r).alias(r) for r in REASONS]
+    left_out.observe(dropped, *by_reason).write.mode("overwrite").parquet(f"{base}/rejected/batch={batch}")
+
+    opened = store.read_buckets(spark, base, "open", HISTORY, before, touched)
+    new_products, new_history = fold_settled(products, opened, rows, mode)
+    new_history = new_history.persist()
     try:
-        update = apply_observations(
-            products_after(spark, base, batch - 1),
-            open_after(spark, base, batch - 1),
-            observations,
-            attempt_keys,
-            mode,
-        )
-        update.products.write.mode("overwrite").parquet(f"{base}/products/batch={batch}")
-        state = F.when(F.col("end_ts").isNull(), "open").otherwise("closed")
-        update.history.withColumn("state", state).write.mode("overwrite").partitionBy("state").parquet(
-            f"{base}/history/batch={batch}"
-        )
-        update.counters.write.mode("overwrite").parquet(f"{base}/counters/batch={batch}")
+        closed_rows(new_history).write.mode("overwrite").parquet(f"{base}/closed/batch={batch}")
+        versions = store.rewrite_buckets(new_products, base, "products", F.col("id"), n_buckets, batch, touched, before)
+        versions |= store.rewrite_buckets(open_rows(new_history), base, "open", F.col("product_id"), n_buckets, batch, touched, before)
     finally:
-        observations.unpersist()
+        new_history.unpersist()
+    counters = {k: int(n) for k, n in (counted.get | dropped.get).items()}
+    store.commit(spark, base, store.Manifest(batch, versions, counters))
+    store.remove_superseded(spark, base)
+    return counters
 
 
 def start_ingest(
@@ -93,16 +143,16 @@ def start_ingest(
     attempt_keys: list[str] | None = None,
     mode: str = "strict",
     available_now: bool = False,
+    n_buckets: int = store.BUCKETS,
 ) -> StreamingQuery:
     """Start folding a stream of observations into the tables under ``base``.
 
     Offsets are kept in ``base/offsets``; with ``available_now`` the query takes what has arrived
     and stops.
     """
-    spark = observations.sparkSession
 
     def fold(frame: DataFrame, batch: int) -> None:
-        fold_batch(frame.sparkSession, base, frame, batch, attempt_keys, mode)
+        fold_batch(frame.sparkSession, base, frame, batch, attempt_keys, mode, n_buckets)
 
     writer = observations.writeStream.foreachBatch(fold).option(
         "checkpointLocation", f"{base}/offsets"
@@ -110,7 +160,25 @@ def start_ingest(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def last_batch(query: StreamingQuery) -> int:
-    """Number of the newest committed micro-batch of a finished query."""
-    progress = query.lastProgress
-    return progress["batchId"] if progress else -1
+def run_ingest(
+    observations: DataFrame,
+    base: str,
+    attempt_keys: list[str] | None = None,
+    mode: str = "strict",
+    null_price_limit: int | None = None,
+    n_buckets: int = store.BUCKETS,
+) -> Run:
+    """Take what has arrived and stop; with a limit, fail afterwards if the run met too many null prices.
+
+    As in a crawl that ends with an alarm, the tables are stored before the gate is asked, so a rerun goes on
+    from there.
+    """
+    spark = observations.sparkSession
+    before = last_batch(spark, base)
+    start_ingest(observations, base, attempt_keys, mode, True, n_buckets).awaitTermination()
+    counters: dict[str, int] = {}
+    for row in counters_of(spark, base, before).collect():
+        counters[row["outcome"]] = counters.get(row["outcome"], 0) + row["n"]
+    if null_price_limit is not None:
+        quality.require_prices(counters.get("null_price", 0), null_price_limit)
+    return Run(last_batch(spark, base), counters)

@@ -28,7 +28,7 @@ SALE = (
 @pytest.fixture(scope="module")
 def read(spark):
     def go(html, status=200):
-        rows = [("u", html, status, NOW, 0)]
+        rows = [("u", html, status, NOW, 0, "run-1")]
         return extract_products(spark.createDataFrame(rows, PAGES)).first()
 
     return go
