@@ -15,8 +15,9 @@ Stars of all groups are joined to components by label propagation with pointer j
 ``drop_near_copies`` looks for a similarity of shingle sets. Wide fingerprints of the sets, within a large radius and
 keyed by random bit subsets, only propose pairs (with the chance ``wide_recall``): a link is a pair whose sets have that Jaccard
 similarity exactly. A pair is proposed in the first band it shares. A group with over ``PAIRS_A_ROW`` pairs a member
-proposes neighbours in Gray order and the pairs of its most central member first; after those are compared, all its
-other pairs that aren't yet in one component.
+proposes neighbours in Gray order and the pairs of its most central member first. After those are compared, the groups
+that still hold several components are dealt out with one shingle set per member: a task compares its pairs of
+different components, unites them as soon as a pair is similar and leaves at most one edge per component.
 
 Fingerprint of a text: A-Z lower-cased, words between ASCII white space, shingles of ``words`` words joined by a
 space and counted as often as they occur (fewer words: the whole sequence), XXH64 with seed 42; a bit is 1 if it
@@ -45,6 +46,8 @@ SEED = 42
 FANOUT = 16
 #: Groups above this many fingerprints are divided.
 GROUP_ROWS = 20_000
+#: Shingle sets of a group that a task holds; groups above are compared in pairs of blocks.
+GROUP_BYTES = 64_000_000
 #: Groups up to this many rows are compared by shifts over a whole batch, without a tree.
 SMALL_GROUP = 24
 PAIRS_AT_ONCE = 2_000_000
@@ -421,27 +424,12 @@ def _proposed(groups: np.ndarray, rows: np.ndarray, radius: int, most: int) -> I
             yield np.arange(a, b), np.arange(a, b), part
 
 
-def _unsettled(groups: np.ndarray, rows: np.ndarray, labels: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """Pairs within the radius of different labels by sorted group."""
-    size = np.bincount(groups) if len(groups) else np.empty(0, int)
-    first = np.concatenate([[0], np.cumsum(size)]).astype(int)
-    for a, b in zip(first[:-1], first[1:], strict=True):
-        label = labels[a:b]
-        values, counts = np.unique(label, return_counts=True)
-        if len(values) < 2:
-            continue
-        few = label != values[counts.argmax()]
-        for i, j in GrayIndex(rows[a:b]).pairs(radius, np.flatnonzero(few)):
-            new = (label[i] != label[j]) & (~few[j] | (i < j))
-            yield i[new] + a, j[new] + a, False
-
-
-def _candidates(radius: int, masks: list[bytes], labelled: bool):
+def _candidates(radius: int, masks: list[bytes]):
     """Pairs (a, b) of a partition sorted by key, or (a, null, mask, key) for members of groups that left pairs out."""
     words, most = _words_of(masks), PAIRS_A_ROW
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("mask", pa.int32()), ("key", pa.int64())])
 
-    def candidates(band, keys, nodes, labels):
+    def candidates(band, keys, nodes):
         if not nodes:
             return
         groups = _group_numbers(keys)
@@ -449,8 +437,7 @@ def _candidates(radius: int, masks: list[bytes], labelled: bool):
         order = np.lexsort((*gray_rank(rows).T[::-1], groups))
         groups, rows, band, key = groups[order], rows[order], np.array(band, np.int32)[order], np.array(keys, np.int64)[order]
         named = np.array(nodes, object)[order]
-        found = _unsettled(groups, rows, np.array(labels, np.int64)[order], radius) if labelled else _proposed(groups, rows, radius, most)
-        for i, j, _ in found:
+        for i, j, _ in _proposed(groups, rows, radius, most):
             left = i == j
             at = i[left]
             met = _first_met(rows, i, j, band[i], words) & ~left
@@ -464,7 +451,7 @@ def _candidates(radius: int, masks: list[bytes], labelled: bool):
                 yield pa.record_batch([pa.array(named[at], pa.binary()), pa.nulls(len(at), pa.binary()), pa.array(band[at]), pa.array(key[at])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], []]
+        held: list[list] = [[], [], []]
         for batch in batches:
             for k, column in enumerate(batch.columns):
                 held[k] += column.to_pylist()
@@ -480,6 +467,14 @@ def _candidates(radius: int, masks: list[bytes], labelled: bool):
     return run
 
 
+def _alike(x: np.ndarray, y: np.ndarray, least: Fraction) -> bool:
+    """Whether two sets have at least the similarity; sets of too different sizes are not compared."""
+    if min(len(x), len(y)) * least.denominator < least.numerator * max(len(x), len(y)):
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common * least.denominator >= least.numerator * (len(x) + len(y) - common)
+
+
 def _similar(similarity: float):
     """Pairs whose sets have the similarity."""
     least = Fraction(str(similarity))
@@ -488,14 +483,65 @@ def _similar(similarity: float):
         for batch in batches:
             alike = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                alike.append(common * least.denominator >= least.numerator * (len(x) + len(y) - common))
+                alike.append(_alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), least))
             yield batch.select([0, 1]).filter(pa.array(alike, pa.bool_()))
 
     return run
 
 
+def _links_between(radius: int, masks: list[bytes], similarity: float):
+    """Edges between labels of each group, from rows (key, mask, node, label, shingles) sorted by group.
+
+    Pairs of different labels are compared inside the task and labels that turn out linked are united at once, so a
+    group leaves fewer edges than it has labels, however many of its pairs are near.
+    """
+    words, least = _words_of(masks), Fraction(str(similarity))
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def links(band: int, nodes: list[bytes], labels: list[int], sets: list[bytes]) -> pa.RecordBatch:
+        out: list[tuple[bytes, bytes]] = []
+        rows = _words_of([x[: len(masks[0])] for x in nodes])
+        order = np.lexsort(gray_rank(rows).T[::-1])
+        rows, named = rows[order], [nodes[k] for k in order]
+        held = [np.frombuffer(sets[k], np.uint64) for k in order]
+        counts = np.unique(np.array(labels)[order], return_inverse=True, return_counts=True)
+        label, parent = counts[1], list(range(len(counts[0])))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        few = label != counts[2].argmax()
+        size = np.array([len(x) for x in held], np.int64)
+        for i, j in GrayIndex(rows).pairs(radius, np.flatnonzero(few)):
+            new = (label[i] != label[j]) & (~few[j] | (i < j))
+            new &= np.minimum(size[i], size[j]) * least.denominator >= least.numerator * np.maximum(size[i], size[j])
+            i, j = i[new], j[new]
+            met = _first_met(rows, i, j, np.full(len(i), band), words)
+            for x, y in zip(i[met].tolist(), j[met].tolist(), strict=True):
+                p, q = root(int(label[x])), root(int(label[y]))
+                if p != q and _alike(held[x], held[y], least):
+                    parent[p] = q
+                    out.append((min(named[x], named[y]), max(named[x], named[y])))
+        return pa.record_batch([pa.array([e[k] for e in out], pa.binary()) for k in range(2)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, band, held = None, 0, ([], [], [])
+        for batch in batches:
+            for key, mask, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != group:
+                    if len(set(held[1])) > 1:
+                        yield links(band, *held)
+                    group, band, held = key, mask, ([], [], [])
+                for part, value in zip(held, row, strict=True):
+                    part.append(value)
+        if len(set(held[1])) > 1:
+            yield links(band, *held)
+
+    return run
+
+
 def _shingle_sets(words: int):
     """(node, set) of (node, text); a text with the row key of another is left out."""
 
@@ -528,19 +574,42 @@ def _keyed_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("row_key"), whole_text().cast("binary").alias("text"))
 
 
-def similar_pairs(pairs: DataFrame, docs: DataFrame, rows: DataFrame, similarity: float, words: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have the similarity."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def shingle_sets(used: DataFrame, docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of some nodes, one set each, stored."""
     held = rows.join(used, "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key"))
     texts = _keyed_rows(docs).join(held, "row_key").select("node", "text")
     sets = texts.mapInArrow(_shingle_sets(words), "node binary, shingles binary").groupBy("node").agg(F.min("shingles").alias("shingles"))
-    sets = stored(sets, "shingle-sets")
+    return stored(sets, "shingle-sets")
+
+
+def similar_pairs(pairs: DataFrame, docs: DataFrame, rows: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have the similarity."""
+    sets = shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, rows, words)
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
     return both.mapInArrow(_similar(similarity), "a binary, b binary")
 
 
+def links_between(members: DataFrame, sets: DataFrame, radius: int, masks: list[bytes], similarity: float) -> DataFrame:
+    """Edges that connect the labels of each group (mask, key, node, label) wherever two members have the similarity.
+
+    Only groups with two labels or more go on. A group whose sets take over ``GROUP_BYTES`` is compared in pairs of
+    blocks, so a task holds the sets of one block pair.
+    """
+    open_ = members.groupBy("mask", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    sized = members.join(open_.select("mask", "key"), ["mask", "key"], "left_semi").join(sets, "node")
+    sized = stored(sized.select("mask", "key", "node", "label", "shingles"), "simhash-open")
+    parts = F.ceil(F.sum(F.length("shingles") + 100) / GROUP_BYTES).cast("int")
+    total = sized.groupBy("mask", "key").agg(parts.alias("parts")).filter("parts > 1")
+    own = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).otherwise(0)
+    other = F.when(F.col("parts").isNotNull(), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.lit(0)))
+    split = sized.join(total, ["mask", "key"], "left").withColumn("own", own).withColumn("other", F.explode(other))
+    block = F.xxhash64("mask", "key", F.least("own", "other"), F.greatest("own", "other"))
+    dealt = split.select(block.alias("block"), "mask", "node", "label", "shingles").repartition("block").sortWithinPartitions("block")
+    return dealt.mapInArrow(_links_between(radius, masks, similarity), "a binary, b binary")
+
+
 def band_edges(nodes: DataFrame, radius: int, width: int, bands: int, band_bits: int, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Candidates (a, b, mask, key) of nodes that share a band: pairs, and open members as in ``_candidates``.
 
@@ -560,9 +629,9 @@ def band_edges(nodes: DataFrame, radius: int, width: int, bands: int, band_bits:
 
 
 def _grouped_candidates(rows: DataFrame, radius: int, masks: list[bytes]) -> DataFrame:
-    """Candidates of groups (mask, key, node) or, once some pairs are compared, (mask, key, node, label)."""
+    """Candidates of groups (mask, key, node)."""
     held = rows.repartition("key").sortWithinPartitions("key")
-    return held.mapInArrow(_candidates(radius, masks, "label" in rows.columns), "a binary, b binary, mask int, key long")
+    return held.mapInArrow(_candidates(radius, masks), "a binary, b binary, mask int, key long")
 
 
 def similar_edges(
@@ -573,14 +642,14 @@ def similar_edges(
     found = stored(band_edges(nodes, radius, width, bands, band_bits), "simhash-candidates")
     pairs = found.filter("b IS NOT NULL").select("a", "b").distinct()
     edges = stored(similar_pairs(pairs, docs, rows, similarity, words), "similar")
-    unsettled = found.filter("b IS NULL").select("mask", "key", F.col("a").alias("node"))
+    unsettled = found.filter("b IS NULL").select("mask", "key", F.col("a").alias("node")).distinct()
     if unsettled.isEmpty():
         return edges
     labels = components(edges).select(F.col("fp").alias("node"), F.xxhash64("label").alias("label"))
     labelled = unsettled.join(labels, "node", "left").select("mask", "key", "node", F.coalesce("label", F.xxhash64("node")).alias("label"))
     masks = [_mask(b, width) for b in wide_bands(width, bands, band_bits)]
-    others = stored(_grouped_candidates(labelled, radius, masks), "simhash-others").select("a", "b").distinct()
-    return edges.unionByName(similar_pairs(others, docs, rows, similarity, words))
+    sets = shingle_sets(unsettled.select("node").distinct(), docs, rows, words)
+    return edges.unionByName(stored(links_between(labelled, sets, radius, masks, similarity), "simhash-others").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -326,3 +326,27 @@ def test_near_edges(make, awkward):
     assert kept.columns[:3] == ["doc_id", "text", "key"]
     assert simhash.near_components(make([])).count() == 0
     assert simhash.drop_near_copies(make([])).count() == 0
+
+
+@pytest.mark.parametrize("group_bytes", [64_000_000, 40_000])
+def test_second_pass_leaves_few_edges_of_a_hot_template(make, monkeypatch, group_bytes):
+    """Copies of one template that differ too much to be similar: rows of the second pass grow with the copies, links stay exact."""
+    monkeypatch.setattr(simhash, "GROUP_BYTES", group_bytes)
+    rng = random.Random(11)
+    template = words(rng, 200, 5000).split()
+    sizes = {}
+    for copies in (60, 120):
+        docs = []
+        for k in range(copies):
+            w = list(template)
+            for at in rng.sample(range(200), rng.randrange(12)):
+                w[at] = f"own{k}x{at}"
+            docs.append((k, " ".join(w)))
+        df = make(docs)
+        rows = simhash.stored(simhash._keyed_rows(df).mapInArrow(simhash._set_nodes(5, 256), "doc_id long, row_key long, node binary"), "t")
+        nodes = simhash.stored(rows.groupBy("node").agg(simhash.F.min("doc_id").alias("least_id")), "t")
+        edges = simhash.similar_edges(nodes, df, rows, 0.8, 5, 256, 72, 14)
+        sizes[copies] = edges.count()
+        kept = sorted(r.doc_id for r in simhash.drop_near_copies(df).collect())
+        assert kept == sorted(exact_near(docs))
+    assert sizes[120] <= 3 * sizes[60] + 60
