@@ -15,7 +15,7 @@ Stars of all groups are joined to components by label propagation with pointer j
 ``drop_near_copies`` looks for a similarity of shingle sets. Wide fingerprints of the sets, within a large radius and
 keyed by random bit subsets, only propose pairs (with the chance ``wide_recall``): a link is a pair whose sets have that Jaccard
 similarity exactly. A pair is proposed in the first band it shares. A group with over ``PAIRS_A_ROW`` pairs a member
-proposes neighbours in Gray order and the pairs of its most central member first. After those are compared, the groups
+first proposes neighbours in Gray order and pairs of its most central member within half the radius, mostly sure links. After those are compared, the groups
 that still hold several components are dealt out with one shingle set per member: a task compares its pairs of
 different components, unites them as soon as a pair is similar and leaves at most one edge per component.
 
@@ -384,7 +384,7 @@ def _first_met(rows: np.ndarray, i: np.ndarray, j: np.ndarray, band: np.ndarray,
 
 
 def _bounded(rows: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Neighbours in Gray order and pairs of the most central member, within the radius."""
+    """Neighbours in Gray order and pairs of the most central member, within the radius (a part of the search radius: sure pairs)."""
     n = len(rows)
     i = [np.arange(n - shift) for shift in range(1, NEIGHBOURS + 1)]
     j = [x + shift for shift, x in enumerate(i, 1)]
@@ -416,7 +416,7 @@ def _proposed(groups: np.ndarray, rows: np.ndarray, radius: int, most: int) -> I
             found.append((i, j))
             count += len(i)
             if part := count > most * size[g]:
-                found = [_bounded(rows[a:b], radius)]
+                found = [_bounded(rows[a:b], radius // 2)]
                 break
         for i, j in found:
             yield i + a, j + a, part
