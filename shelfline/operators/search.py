@@ -42,8 +42,8 @@ SYNONYMS = {
     "notebook": ["laptop", "portatil"],
 }
 
-# Length of the substrings that make two tokens candidates for containment.
-_GRAM = 3
+# Lengths of the substrings the search index is keyed by.
+_GRAMS = (1, 2, 3, 6)
 
 
 def expand(token: str, synonyms: dict[str, list[str]] | None = None) -> list[str]:
@@ -138,20 +138,17 @@ def _postings(products: DataFrame, key: str, fields: dict[str, str], weights: di
     )
 
 
-def _grams(token: Column) -> Column:
-    """Substrings of up to three characters, each once."""
-    positions = F.sequence(F.lit(1), F.length(token))
-    return F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.lit(_GRAM)),
-                lambda n: F.transform(
-                    F.filter(positions, lambda p: p + n - 1 <= F.length(token)),
-                    lambda p: F.substring(token, p, n),
-                ),
-            )
-        )
-    )
+def _grams_of(token: Column, n: Column | int) -> Column:
+    """Substrings of n characters, each once."""
+    n = F.lit(n) if isinstance(n, int) else n
+    starts = F.filter(F.sequence(F.lit(1), F.length(token)), lambda p: p + n - 1 <= F.length(token))
+    return F.array_distinct(F.transform(starts, lambda p: F.substring(token, p, n)))
+
+
+def _gram_size(token: Column) -> Column:
+    """Characters of the substrings a search word is looked up by: the longest listed size it has."""
+    sizes = F.array(*map(F.lit, sorted(_GRAMS)))
+    return F.array_max(F.filter(sizes, lambda n: n <= F.length(token)))
 
 
 def _one_deletion(token: Column) -> Column:
@@ -163,20 +160,41 @@ def _one_deletion(token: Column) -> Column:
     return F.array_distinct(F.concat(F.array(token), drop))
 
 
+def _asked_grams(candidates: DataFrame) -> DataFrame:
+    word = F.col("candidate")
+    return candidates.filter("candidate <> ''").select("candidate", F.explode(_grams_of(word, _gram_size(word))).alias("gram"))
+
+
+def gram_index(vocabulary: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(token, gram): inverted index of the substrings that some candidate asks for; the others are not shuffled."""
+    held = F.array_distinct(F.flatten(F.array(*[_grams_of(F.col("token"), n) for n in _GRAMS])))
+    asked = _asked_grams(candidates).select("gram").distinct()
+    return vocabulary.select("token", F.explode(held).alias("gram")).join(asked, "gram", "left_semi")
+
+
+def rarest_grams(vocabulary: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(candidate, gram): of the substrings of a candidate the one that the fewest tokens hold."""
+    frequency = gram_index(vocabulary, candidates).groupBy("gram").agg(F.count("*").alias("tokens"))
+    least = F.min_by("gram", F.struct(F.coalesce("tokens", F.lit(0)), "gram")).alias("gram")
+    return _asked_grams(candidates).join(frequency, "gram", "left").groupBy("candidate").agg(least)
+
+
 def match_vocabulary(vocabulary: DataFrame, candidates: DataFrame) -> DataFrame:
     """(candidate, token, score) for every candidate and vocabulary token that match.
 
-    Containment: both sides meet on the candidate's first substring of up to three characters.
+    Containment: an inverted index from substrings to the tokens that hold them. A candidate asks for all its
+    substrings of one size (longer words by longer ones), their document frequency is counted over the vocabulary,
+    and the two sides meet on the candidate's rarest one only; a candidate with a substring that no token holds has no
+    match and meets nothing. So a head, or an ending, that many tokens share costs no pairs unless it is all there is.
     One edit: two words are at most one edit apart only if they share a form with at most one
     character dropped. Both are equi-joins whose pairs are then verified, so no pair is missed and
     no full product of the two sides is formed.
     """
-    heads = candidates.select("candidate", F.left("candidate", F.lit(_GRAM)).alias("gram"))
-    # only the substrings some candidate asks for are worth shuffling
+    index = gram_index(vocabulary, candidates)
+    rarest = rarest_grams(vocabulary, candidates)
     contained = (
-        vocabulary.select("token", F.explode(_grams(F.col("token"))).alias("gram"))
-        .join(heads, "gram")
-        .filter(F.contains("token", "candidate"))
+        index.join(rarest, "gram")
+        .filter((F.length("token") >= F.length("candidate")) & F.contains("token", "candidate"))
         .select("candidate", "token", F.lit(EXACT_SCORE).alias("score"))
     )
     long_enough = F.length("candidate") >= FUZZY_MIN_LENGTH

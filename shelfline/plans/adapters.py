@@ -243,15 +243,16 @@ def rendered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(size % 3 == 0, "status-out").when(size % 3 == 1, "status-limited").otherwise("status-available"),
         F.lit('"><span class="status-text">Quedan '),
         size,
-        F.lit("</span></span></div>"),
+        F.lit('</span></span></div><div class="store-item"><span class="store-name">Cartago</span><span class="status status-out">'),
+        F.lit('<span class="status-text">Agotado</span></span></div>'),
     )
     rows = F.concat(
         F.lit('<table class="wc-stock-locations"><tr><td>Heredia<td>'),
         size,
-        F.lit(" en stock<tr><td>Central<td>ninguno</table>"),
+        F.lit(" en stock<tr><td>Central<td>ninguno<tr><td>Liberia<td>3 en stock</table>"),
     )
     items = F.concat(
-        F.lit('<ul class="stock-locations"><li>Bodega: '), size % 2, F.lit(" unidades<li>sin datos</ul>")
+        F.lit('<ul class="stock-locations"><li>Bodega: '), size % 2, F.lit(" unidades<li>sin datos<li>Tienda: 0 unidades</ul>")
     )
     stock = (
         F.when(key % 4 == 0, boxes)

@@ -68,27 +68,45 @@ def discover_urls(entry: DataFrame, stored: DataFrame, products: DataFrame, now:
 
 def plan_crawl(
     products: DataFrame,
-    limit: int = chunks.MAX_URLS,
+    limit: int | None = chunks.MAX_URLS,
     workers: int = chunks.WORKERS,
     include_inactive: bool = False,
     override: str | None = None,
+    chunk_path: str | None = None,
 ) -> DataFrame:
-    """(url, chunk): the stalest URLs, or an explicit list, in balanced consecutive chunks."""
+    """(url, chunk): an explicit list, else a chunk file, else the stalest URLs, in balanced consecutive chunks.
+
+    A chunk file may be long and has no order of its own: it is numbered by URL. The limit is for the stalest URLs
+    only, None takes all; any limit is planned by the same steps, none of them in one task, and what it leaves out is
+    counted by ``crawl_backlog``.
+    """
     spark = products.sparkSession
+    if chunk_path and not override:
+        listed = choose_urls(spark, products, chunk_path=chunk_path)
+        return chunks.balanced_chunks(listed, [F.col("url").asc()], workers).select("url", "chunk")
     if override:
         # a literal list keeps its own order
         listed = choose_urls(spark, products, override).withColumn(
             "_place", F.monotonically_increasing_id()
         )
         return chunks.limited_chunks(listed, [F.col("_place")], workers).select("url", "chunk")
+    pool = _crawlable(products, include_inactive).select("url", "last_checked_at")
+    if limit is not None:
+        pool = chunks.oldest_rows(pool, "last_checked_at", limit)
     order = [F.col("last_checked_at").asc(), F.col("url").asc()]
-    if limit > chunks.WINDOW_ROWS:
-        # too many rows for a top-k that ends in one task
-        pool = products if include_inactive else products.filter("is_active")
-        pool = pool.select("url", "last_checked_at")
-        return chunks.balanced_chunks(pool, order, workers, limit).select("url", "chunk")
-    stale = catalog.stale_first(products, limit, include_inactive).select("url", "last_checked_at")
-    return chunks.limited_chunks(stale, order, workers).select("url", "chunk")
+    return chunks.balanced_chunks(pool, order, workers, limit).select("url", "chunk")
+
+
+def _crawlable(products: DataFrame, include_inactive: bool) -> DataFrame:
+    chosen = products if include_inactive else products.filter("is_active")
+    return chosen.filter(F.col("last_checked_at").isNotNull())
+
+
+def crawl_backlog(products: DataFrame, limit: int | None = chunks.MAX_URLS, include_inactive: bool = False) -> DataFrame:
+    """One row: URLs that could be crawled, those a plan with this limit takes, and those it leaves for later runs."""
+    total = F.count("*")
+    taken = total if limit is None else F.least(total, F.lit(limit).cast("long"))
+    return _crawlable(products, include_inactive).agg(total.alias("waiting"), taken.alias("planned"), (total - taken).alias("left_out"))
 
 
 def update_history(

@@ -260,17 +260,17 @@ def integrity_report(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "document_integrity",
     _integrity_sql(
-        "docs AS (SELECT doc_id AS id, CASE WHEN lang = 'en' THEN lang END AS name, true AS is_active FROM documents), "
+        "docs AS (SELECT doc_id AS id, lang AS name, true AS is_active FROM documents), "
         "lab AS (SELECT doc_id AS product_id FROM labels)",
         "docs",
         "lab",
     ),
 )
 def document_integrity(spark: SparkSession, d: str) -> DataFrame:
-    """The same checks on documents: a label is the price, English the only name."""
+    """The same checks on documents: a label is the price, the language the name."""
     docs = a.table(spark, d, "documents").select(
         F.col("doc_id").alias("id"),
-        F.when(F.col("lang") == "en", F.col("lang")).alias("name"),
+        F.col("lang").alias("name"),
         F.lit(True).alias("is_active"),
     )
     labels = a.table(spark, d, "labels").select(
@@ -360,19 +360,16 @@ def search_many(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "search_customers",
-    """WITH q AS (SELECT s_suppkey, 's' || right(s_name, 5) AS cand FROM supplier),
-    v AS (SELECT c_custkey, 's' || right(c_name, 5) AS token FROM customer)
+    """WITH q AS (SELECT s_suppkey, 's' || regexp_replace(s_name, '^.*#', '') AS cand FROM supplier),
+    v AS (SELECT c_custkey, 's' || regexp_replace(c_name, '^.*#', '') AS token FROM customer)
     SELECT s_suppkey AS query_id, c_custkey, CAST(10 * max(CASE WHEN contains(token, cand) THEN 2 ELSE 1 END) AS INTEGER) AS score
     FROM q JOIN v ON contains(token, cand) OR levenshtein(cand, token) <= 1 GROUP BY ALL""",
 )
 def search_customers(spark: SparkSession, d: str) -> DataFrame:
-    """Supplier numbers looked up among customer numbers: a large vocabulary of near misses."""
-    names = a.table(spark, d, "customer").select(
-        "c_custkey", F.concat(F.lit("s"), F.right("c_name", F.lit(5))).alias("name")
-    )
-    queries = a.table(spark, d, "supplier").select(
-        F.col("s_suppkey").alias("query_id"), F.concat(F.lit("s"), F.right("s_name", F.lit(5))).alias("query")
-    )
+    """Whole supplier numbers looked up among whole customer numbers: near misses with a common head."""
+    number = lambda name: F.concat(F.lit("s"), F.regexp_replace(name, "^.*#", ""))
+    names = a.table(spark, d, "customer").select("c_custkey", number("c_name").alias("name"))
+    queries = a.table(spark, d, "supplier").select(F.col("s_suppkey").alias("query_id"), number("s_name").alias("query"))
     return search.search_many(names, queries, "c_custkey", {"name": "name"})
 
 

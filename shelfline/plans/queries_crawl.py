@@ -11,12 +11,14 @@ from shelfline.functions.urls import (
     is_disambiguated,
     is_product_url,
 )
-from shelfline.operators import chunks, discover, extract
+from shelfline.operators import catalog, chunks, discover, extract
 from shelfline.plans import adapters as a
 from shelfline.plans import jobs
 from shelfline.plans.oracle_parts import CHECKED, EPOCH, NOW_SQL, PARTS, URL
 from shelfline.plans.queries_history import query_table
+from shelfline.schemas import PAGES, align_schema
 from shelfline.session import scratch_dir
+from shelfline.sources import tables
 from shelfline.sources.sitemaps import resolve_sitemap, sitemap_urls
 from shelfline.sources.worklists import override_urls, read_chunk, write_chunks
 
@@ -326,3 +328,96 @@ def extract_observations(spark: SparkSession, d: str) -> DataFrame:
             & F.get_json_object("html_debug", "$.body_excerpt").startswith("Inicio")
         ).alias("diagnosed"),
     )
+
+
+@query(
+    "stock_places",
+    f"""SELECT {URL} AS url, place.pos AS pos, place.location AS location, place.quantity AS quantity
+FROM part, LATERAL (SELECT unnest([
+    {{'k': 0, 'pos': 0, 'location': 'Alajuela', 'quantity': CASE p_size % 3 WHEN 0 THEN 0 WHEN 1 THEN p_size ELSE 1 END}},
+    {{'k': 0, 'pos': 1, 'location': 'Cartago', 'quantity': 0}},
+    {{'k': 1, 'pos': 0, 'location': 'Heredia', 'quantity': p_size}}, {{'k': 1, 'pos': 1, 'location': 'Liberia', 'quantity': 3}},
+    {{'k': 2, 'pos': 0, 'location': 'Bodega', 'quantity': p_size % 2}}, {{'k': 2, 'pos': 1, 'location': 'Tienda', 'quantity': 0}}]) AS place) AS places
+WHERE place.k = p_partkey % 4 AND p_partkey % 20 < 17""",
+)
+def stock_places(spark: SparkSession, d: str) -> DataFrame:
+    """Every stock place of every page, in page order; rows without a number are no places."""
+    rows = extract.extract_products(a.rendered_pages(spark, d))
+    return rows.select("url", F.posexplode("stock_locations").alias("pos", "place")).select("url", "pos", "place.location", "place.quantity")
+
+
+@query(
+    "page_diagnoses",
+    f"""SELECT {URL} AS url, p_name AS title, true AS has_summary, 'Consultar' AS price_markup,
+    'no price element on the page' AS price_debug FROM part WHERE p_partkey % 20 < 17 AND p_size % 9 = 0""",
+)
+def page_diagnoses(spark: SparkSession, d: str) -> DataFrame:
+    """What is kept of product pages without a price, field by field."""
+    rows = extract.extract_products(a.rendered_pages(spark, d)).filter(F.col("is_product") & F.col("price").isNull())
+    read = lambda name: F.get_json_object("html_debug", f"$.{name}")
+    return rows.select(
+        "url", read("title").alias("title"), (read("has_summary") == "true").alias("has_summary"), read("price_markup").alias("price_markup"), "price_debug"
+    )
+
+
+@query("stored_pages", "SELECT url, strlen(html) AS html_bytes, 200 AS status_code FROM pages")
+def stored_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Crawled pages written in the page schema and read back whole."""
+    home = scratch_dir(spark, "pages")
+    fetched = a.table(spark, d, "pages").select("url", "html", F.lit(200).alias("status_code"), a.instant(a.NOW).alias("fetched_at"))
+    align_schema(fetched, PAGES).write.parquet(home)
+    return tables.read_pages(spark, home).select("url", F.octet_length("html").cast("long").alias("html_bytes"), "status_code")
+
+
+@query("tracked_urls", f"SELECT {URL} AS url FROM part")
+def tracked_urls(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.product_urls(a.parts(spark, d))
+
+
+@query(
+    "work_list_precedence",
+    f"""WITH {CHECKED}, c AS (SELECT url FROM parts WHERE id % 7 = 0),
+    s AS (SELECT url FROM checked WHERE is_active ORDER BY last_checked_at, url LIMIT 100)
+    SELECT 'override' AS source, unnest(['{a.SHOP}b/', '{a.SHOP}a/']) AS url, unnest([0, 1]) AS chunk
+    UNION ALL SELECT 'chunk', url, CAST(ntile(4) OVER (ORDER BY url) - 1 AS INTEGER) FROM c
+    UNION ALL SELECT 'stale', url, CAST(ntile(4) OVER (ORDER BY last_checked_at, url) - 1 AS INTEGER) FROM (SELECT * FROM s JOIN checked USING (url))""",
+)
+def work_list_precedence(spark: SparkSession, d: str) -> DataFrame:
+    """An override wins over a chunk file, a chunk file over the stalest products."""
+    products = a.checked_parts(spark, d)
+    home = scratch_dir(spark, "work-list")
+    products.filter(F.col("id") % 7 == 0).select("url").write.json(home)
+    listed = f" {a.SHOP}b/, , {a.SHOP}a/ "
+    plans = {
+        "override": jobs.plan_crawl(products, 100, a.WORKERS, override=listed, chunk_path=home),
+        "chunk": jobs.plan_crawl(products, 100, a.WORKERS, chunk_path=home),
+        "stale": jobs.plan_crawl(products, 100, a.WORKERS),
+    }
+    found = [plan.select(F.lit(source).alias("source"), "url", "chunk") for source, plan in plans.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+PLAN_LIMIT = 300
+
+
+@query(
+    "crawl_plan_full",
+    f"""WITH {CHECKED}, l AS (SELECT * FROM checked WHERE is_active ORDER BY last_checked_at, url LIMIT {PLAN_LIMIT})
+    SELECT 'limited' AS plan, url, CAST(ntile({a.WORKERS}) OVER (ORDER BY last_checked_at, url) - 1 AS INTEGER) AS chunk FROM l
+    UNION ALL SELECT 'all', url, CAST(ntile({a.WORKERS}) OVER (ORDER BY last_checked_at, url) - 1 AS INTEGER) FROM checked""",
+)
+def crawl_plan_full(spark: SparkSession, d: str) -> DataFrame:
+    """The stalest products up to a limit, and all products, planned by the same steps."""
+    products = a.checked_parts(spark, d)
+    limited = jobs.plan_crawl(products, PLAN_LIMIT, a.WORKERS)
+    everything = jobs.plan_crawl(products, None, a.WORKERS, include_inactive=True)
+    return limited.select(F.lit("limited").alias("plan"), "url", "chunk").unionByName(everything.select(F.lit("all").alias("plan"), "url", "chunk"))
+
+
+@query(
+    "crawl_backlog",
+    f"""SELECT count(*) AS waiting, least(count(*), {PLAN_LIMIT}) AS planned, greatest(count(*) - {PLAN_LIMIT}, 0) AS left_out
+    FROM part WHERE p_size > 5""",
+)
+def crawl_backlog(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.crawl_backlog(a.checked_parts(spark, d), PLAN_LIMIT)

@@ -400,6 +400,37 @@ def snapshot_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return read_snapshot(spark, home)[1].select(*OFFER_COLUMNS)
 
 
+@query(
+    "snapshot_products",
+    f"""WITH {CHECKED} SELECT id, url, name, sku, category, is_active, last_checked_at, published_first, published_latest FROM checked""",
+)
+def snapshot_products(spark: SparkSession, d: str) -> DataFrame:
+    """Products of the newest of two snapshots; the older one has other categories."""
+    home = scratch_dir(spark, "snapshot")
+    products, none = a.checked_parts(spark, d), spark.createDataFrame([], HISTORY_SCHEMA)
+    write_snapshot(products.withColumn("category", F.lit("old")), none, home, "run-1")
+    write_snapshot(products, none, home, "run-2")
+    return read_snapshot(spark, home)[0].select(
+        "id", "url", "name", "sku", "category", "is_active", "last_checked_at", "published_first", "published_latest"
+    )
+
+
+@query(
+    "overlapping_shards",
+    f"""WITH {CHECKED}
+    SELECT url, CASE WHEN id % 4 = 0 THEN 'worker-3' ELSE 'worker-10' END AS shard,
+           last_checked_at + CASE WHEN id % 4 = 0 THEN INTERVAL 2 DAY ELSE INTERVAL 1 DAY END AS last_checked_at FROM checked WHERE id % 2 = 0""",
+)
+def overlapping_shards(spark: SparkSession, d: str) -> DataFrame:
+    """Two shards saw every second product at one time, a third saw some of them later: newest, then first by name."""
+    stored = a.checked_parts(spark, d)
+    later = lambda name, days: stored.withColumns({"shard": F.lit(name), "last_checked_at": F.col("last_checked_at") + F.make_dt_interval(F.lit(days))})
+    even = (later("worker-2", 1).unionByName(later("worker-10", 1))).filter(F.col("id") % 2 == 0)
+    third = later("worker-3", 2).filter(F.col("id") % 4 == 0)
+    same = later("worker-0", 0)
+    return merge.touched_products(stored, even.unionByName(third).unionByName(same)).select("url", "shard", "last_checked_at")
+
+
 @query(
     "streaming_intervals",
     f"""WITH {ACTIVITY}, {strict('activity', 'price', 'h')}

@@ -250,15 +250,15 @@ def normalize_tokens(spark: SparkSession, d: str) -> DataFrame:
     "token_scores",
     """WITH t AS (SELECT DISTINCT s_name AS q, c_name AS t FROM supplier JOIN customer ON s_suppkey = c_custkey // 10)
     SELECT q, t, CASE WHEN contains(t, q) THEN 2 WHEN length(q) >= 5 AND abs(length(q) - length(t)) <= 1 AND levenshtein(q, t) <= 1
-    THEN 1 ELSE 0 END AS score FROM (SELECT 'id' || right(q, 5) AS q, 'id' || right(t, 6) AS t FROM t)""",
+    THEN 1 ELSE 0 END AS score FROM (SELECT 'id' || regexp_replace(q, '^.*#', '') AS q, 'id' || regexp_replace(t, '^.*#', '') AS t FROM t)""",
 )
 def token_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Supplier numbers scored against customer numbers of the same tens."""
+    """Whole supplier numbers scored against whole customer numbers of the same tens."""
     supplier, customer = a.table(spark, d, "supplier"), a.table(spark, d, "customer")
     pairs = supplier.join(customer, F.col("s_suppkey") == F.floor(F.col("c_custkey") / 10))
     rows = pairs.select(
-        F.concat(F.lit("id"), F.right("s_name", F.lit(5))).alias("q"),
-        F.concat(F.lit("id"), F.right("c_name", F.lit(6))).alias("t"),
+        F.concat(F.lit("id"), F.regexp_replace("s_name", "^.*#", "")).alias("q"),
+        F.concat(F.lit("id"), F.regexp_replace("c_name", "^.*#", "")).alias("t"),
     )
     return rows.withColumn("score", token_score(F.col("q"), F.col("t")))
 

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from shelfline.functions.text import literal_tokens
+from shelfline.operators import search as index
 from shelfline.operators.search import FIELD_WEIGHTS, SYNONYMS, expand, search, search_many
 
 FIELDS = "id bigint, name string, sku string, category string, description string, url string"
@@ -100,3 +101,17 @@ def test_plan_has_no_cross_join(spark, catalogue):
     rows = spark.createDataFrame([("q", "cpu ryzen")], "query_id string, query string")
     plan = search_many(catalogue, rows)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_words_meet_on_their_rarest_substring(spark):
+    """Codes that share head and ending: verified pairs stay within a small factor of the matches."""
+    tokens = [f"code{k:05}end" for k in range(400)] + ["cod", "x"]
+    asked = [f"code{k:05}end" for k in range(0, 400, 4)] + [f"{k:05}" for k in range(50)] + ["zzz", "e", "nd", "code"]
+    vocabulary = spark.createDataFrame([(t,) for t in tokens], "token string")
+    candidates = spark.createDataFrame([(t,) for t in asked], "candidate string")
+    rows = index.match_vocabulary(vocabulary, candidates).filter("score = 2").collect()
+    want = sorted((c, t) for c in asked for t in tokens if c in t)
+    assert sorted((r.candidate, r.token) for r in rows) == want
+    lookups = index.rarest_grams(vocabulary, candidates)
+    pairs = lookups.join(index.gram_index(vocabulary, candidates), "gram").count()
+    assert pairs <= 4 * len(want)

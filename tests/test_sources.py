@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import datetime
 
 import pytest
@@ -173,3 +174,31 @@ def test_older_files_read_with_missing_columns(spark, tmp_path):
     product_rows(spark, 2).select("id", "url", "is_active").write.parquet(path)
     row = tables.read_products(spark, path).orderBy("id").first()
     assert row["url"] == "u00" and row["stock_locations"] is None and len(row) == len(PRODUCTS)
+
+
+@pytest.mark.parametrize("spare", [0, 7, 10_000])
+@pytest.mark.parametrize("limit", [0, 1, 40, 333, 5_000])
+def test_oldest_rows_hold_the_limit_and_little_else(spark, monkeypatch, limit, spare):
+    """Most rows share one instant, as products that were never checked do; it is never split."""
+    monkeypatch.setattr(chunks, "SPARE_ROWS", spare)
+    rng = random.Random(limit)
+    times = [rng.choice([0, 0, 0, 10**9 + rng.randrange(40), rng.randrange(10**15), -5 * 10**14]) for _ in range(400)]
+    rows = spark.createDataFrame([(f"u{k:03}", t) for k, t in enumerate(times)], "url string, micros long")
+    rows = rows.select("url", F.timestamp_micros("micros").alias("ts"))
+    got = {r.url for r in chunks.oldest_rows(rows, "ts", limit).collect()}
+    order = sorted(range(400), key=lambda k: (times[k], k))
+    wanted = {f"u{k:03}" for k in order[:limit]}
+    assert wanted <= got
+    if wanted and limit < 400:
+        last = times[order[limit - 1]]
+        assert len(got) <= max(limit + spare, sum(t <= last for t in times))
+
+
+def test_chunk_file_wins_over_the_stalest_and_loses_to_an_override(spark, tmp_path):
+    products = product_rows(spark, 8)
+    spark.createDataFrame([("x",), ("y",), ("z",)], "url string").write.json(str(tmp_path / "chunk"))
+    where = str(tmp_path / "chunk")
+    assert sorted(map(tuple, jobs.plan_crawl(products, workers=2, chunk_path=where).collect())) == [("x", 0), ("y", 0), ("z", 1)]
+    assert jobs.plan_crawl(products, workers=2, override="o", chunk_path=where).collect()[0]["url"] == "o"
+    assert tuple(jobs.crawl_backlog(products, 5).first()) == (8, 5, 3)
+    assert tuple(jobs.crawl_backlog(products, None).first()) == (8, 8, 0)
