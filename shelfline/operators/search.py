@@ -179,6 +179,16 @@ def rarest_grams(vocabulary: DataFrame, candidates: DataFrame) -> DataFrame:
     return _asked_grams(candidates).join(frequency, "gram", "left").groupBy("candidate").agg(least)
 
 
+def containing(vocabulary: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(candidate, token) wherever a token contains a candidate that isn't empty."""
+    return (
+        gram_index(vocabulary, candidates)
+        .join(rarest_grams(vocabulary, candidates), "gram")
+        .filter((F.length("token") >= F.length("candidate")) & F.contains("token", "candidate"))
+        .select("candidate", "token")
+    )
+
+
 def match_vocabulary(vocabulary: DataFrame, candidates: DataFrame) -> DataFrame:
     """(candidate, token, score) for every candidate and vocabulary token that match.
 
@@ -190,13 +200,7 @@ def match_vocabulary(vocabulary: DataFrame, candidates: DataFrame) -> DataFrame:
     character dropped. Both are equi-joins whose pairs are then verified, so no pair is missed and
     no full product of the two sides is formed.
     """
-    index = gram_index(vocabulary, candidates)
-    rarest = rarest_grams(vocabulary, candidates)
-    contained = (
-        index.join(rarest, "gram")
-        .filter((F.length("token") >= F.length("candidate")) & F.contains("token", "candidate"))
-        .select("candidate", "token", F.lit(EXACT_SCORE).alias("score"))
-    )
+    contained = containing(vocabulary, candidates).withColumn("score", F.lit(EXACT_SCORE))
     long_enough = F.length("candidate") >= FUZZY_MIN_LENGTH
     forms = candidates.filter(long_enough).select(
         "candidate", F.explode(_one_deletion(F.col("candidate"))).alias("form")

@@ -233,12 +233,16 @@ def price_chart(products: DataFrame, history: DataFrame, url: str, days: int, no
 
 
 def sitemap_audit(
-    entry: DataFrame, stored: DataFrame, targets: list[str]
+    entry: DataFrame, stored: DataFrame, targets: list[str] | DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """(counts per sitemap document, best matches of each target among the product URLs)."""
+    """(counts per sitemap document, best matches of each target among the product URLs).
+
+    A few targets may be a list, any number a table with a column ``target``.
+    """
     listed = resolve_sitemap(entry, stored)
     found = discover.product_urls_of(listed)
-    return discover.audit_counts(listed), discover.url_variants(found, targets)
+    match = discover.match_targets if isinstance(targets, DataFrame) else discover.url_variants
+    return discover.audit_counts(listed), match(found, targets)
 
 
 def watch_report(watchlist: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -421,3 +421,26 @@ def crawl_plan_full(spark: SparkSession, d: str) -> DataFrame:
 )
 def crawl_backlog(spark: SparkSession, d: str) -> DataFrame:
     return jobs.crawl_backlog(a.checked_parts(spark, d), PLAN_LIMIT)
+
+
+@query(
+    "url_targets_table",
+    f"""WITH u AS (SELECT lower({URL}) AS l, {URL} AS url FROM part),
+    k AS (SELECT p_partkey % 4 AS kind, p_partkey AS key, regexp_extract({URL}, '([^/]+)/$', 1) AS slug, {URL} AS url FROM part),
+    t AS (SELECT DISTINCT CASE kind WHEN 0 THEN upper(url) WHEN 1 THEN slug WHEN 2 THEN 'none-of-these-' || key ELSE slug || '-7' END AS target FROM k),
+    s AS (SELECT target, regexp_replace(lower(target), '/$', '') AS slug FROM t),
+    b AS (SELECT *, CASE WHEN regexp_matches(slug, '^.+-[0-9]+$') THEN regexp_replace(slug, '-[0-9]+$', '') END AS base FROM s),
+    m AS (SELECT target, url, CASE WHEN regexp_replace(l, '/$', '') = slug THEN 1 WHEN contains(l, slug) THEN 2 WHEN contains(l, base) THEN 3 END AS stage FROM u, b)
+    SELECT target, stage, url FROM m WHERE stage IS NOT NULL QUALIFY stage = min(stage) OVER (PARTITION BY target)""",
+)
+def url_targets_table(spark: SparkSession, d: str) -> DataFrame:
+    """A target for every part, told by whole URL, by slug, or by a slug with a number behind it; a fourth has no match."""
+    urls = a.table(spark, d, "part").select("p_partkey", a.product_url().alias("url"))
+    slug, kind = F.regexp_extract("url", "([^/]+)/$", 1), F.col("p_partkey") % 4
+    target = (
+        F.when(kind == 0, F.upper("url"))
+        .when(kind == 1, slug)
+        .when(kind == 2, F.concat(F.lit("none-of-these-"), "p_partkey"))
+        .otherwise(F.concat(slug, F.lit("-7")))
+    )
+    return discover.match_targets(urls.select("url"), urls.select(target.alias("target")))

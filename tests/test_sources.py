@@ -202,3 +202,14 @@ def test_chunk_file_wins_over_the_stalest_and_loses_to_an_override(spark, tmp_pa
     assert jobs.plan_crawl(products, workers=2, override="o", chunk_path=where).collect()[0]["url"] == "o"
     assert tuple(jobs.crawl_backlog(products, 5).first()) == (8, 5, 3)
     assert tuple(jobs.crawl_backlog(products, None).first()) == (8, 8, 0)
+
+
+def test_a_table_of_targets_gives_what_a_list_gives(spark):
+    rng = random.Random(8)
+    urls = [f"https://shop.example/producto/{rng.choice(['red', 'Blue'])}-{rng.choice(['ring', 'pin'])}-{k}/" for k in range(60)]
+    targets = [urls[3].upper(), urls[5], "red-ring", "blue-pin-999", "nothing-here-1", "https://other.example/producto/red-pin/", urls[9][:-1], "ring-7"]
+    found = spark.createDataFrame([(u,) for u in urls + urls[:5]], "url string")
+    asked = spark.createDataFrame([(t,) for t in [*targets, targets[0], None, "/"]], "target string")
+    got = sorted(tuple(r) for r in discover.match_targets(found, asked).collect())
+    assert got == sorted({tuple(r) for r in discover.url_variants(found, targets).collect()})
+    assert {r[1] for r in got} == {1, 2, 3}
