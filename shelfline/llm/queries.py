@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shelfline.llm import (
@@ -71,7 +72,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.repeat_digest(documents(spark, sf_dir), length=400)
+    digest = repeats.repeat_digest(documents(spark, sf_dir), length=400)
+    return digest.withColumn("n_kept", F.col("n_bytes") - F.col("n_removed"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,22 +152,35 @@ def _segments(length: int, segment_starts: int):
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffixes in order, by prefix doubling until all ranks differ; values of ``text`` are not negative."""
+    """Suffixes in order, by prefix doubling; values of ``text`` are not negative.
+
+    A rank is the first place of a group of equal prefixes. Only suffixes whose rank is still shared are sorted again.
+    """
     n = len(text)
     base, width, key = int(text.max()) + 2, 1, text + 1
     while base ** (width + 1) < 1 << 62:
         following = np.zeros(n, np.int64)
         following[: max(0, n - width)] = text[width:] + 1
         key, width = key * base + following, width + 1
+    order = np.argsort(key)
+    ordered = key[order]
+    opens = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(opens, np.arange(n), 0))
     while True:
-        order = np.argsort(key)
-        ordered = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        if rank[order[-1]] == n - 1:
+        places = np.flatnonzero(~(opens & np.append(opens[1:], True)))
+        if not len(places):
             return order
-        key = rank * (n + 1)
-        key[: max(0, n - width)] += rank[width:] + 1
+        tied = order[places]
+        inside = tied + width < n
+        following = np.zeros(len(tied), np.int64)
+        following[inside] = rank[tied[inside] + width] + 1
+        key = rank[tied] * (n + 1) + following
+        by_key = np.argsort(key)
+        tied, key = tied[by_key], key[by_key]
+        order[places] = tied
+        opens[places] = parts = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[tied] = places[np.maximum.accumulate(np.where(parts, np.arange(len(places)), 0))]
         width *= 2
 
 

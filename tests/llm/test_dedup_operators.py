@@ -350,3 +350,12 @@ def test_second_pass_leaves_few_edges_of_a_hot_template(make, monkeypatch, group
         kept = sorted(r.doc_id for r in simhash.drop_near_copies(df).collect())
         assert kept == sorted(exact_near(docs))
     assert sizes[120] <= 3 * sizes[60] + 60
+
+
+def test_suffix_array_of_repetitive_texts():
+    rng = np.random.default_rng(5)
+    passage = rng.integers(0, 4, 90)
+    texts = [rng.integers(0, 300, 500), np.zeros(70, np.int64), np.tile(passage, 6), np.concatenate([passage, rng.integers(0, 4, 50), passage]), np.array([3])]
+    for text in texts:
+        want = sorted(range(len(text)), key=lambda k, text=text: text[k:].tolist())
+        assert repeats.suffix_array(text.astype(np.int64)).tolist() == want
