@@ -4,16 +4,18 @@ The index maps the 64-bit hash of a text to the chain of different texts with th
 ``2 ** depth`` slots, addressed by the leading bits of the hash, points to buckets. A bucket that holds more
 keys than its capacity is split by one more bit; if its slots don't tell the halves apart, the directory
 doubles first. The directory is grown from a histogram of distinct keys, so a text repeated by a third of all
-rows is one key. Beyond ``MAX_DEPTH`` bits a bucket is left overfull and its chains grow longer, nothing is lost.
+rows is one key. Beyond ``MAX_DEPTH`` bits a bucket is left overfull, nothing is lost: its owner streams the keys.
 
-The bucket is a label of the index rows in the shared folder: rows are dealt by bucket and key, so the keys of a bucket
-are spread over tasks and files. Spark's grouping by bucket, key and text decides which texts are equal, so a task gets
-each different text once, however many rows repeat it; along the chain of a key it then meets different texts only.
-Input rows find their entry by key and SHA-256, not through the directory.
+Each owner task has a range of consecutive buckets, that is a range of keys, with about ``OWNER_BYTES`` of text
+(more where 65,536 slots are not enough), and writes the index file of that range. Scanning tasks combine equal
+texts of an Arrow batch first, so a text met by a third of all rows comes to its owner once a batch. The owner meets
+its entries in key order and compares bytes along the chain of a key; it holds one chain at a time. Input rows find
+their entry by bucket, key and digest within the chain. Groups of more than 1/1,024 of all rows, fewer than 1,024 by
+that bound, are looked up by a broadcast, so no task gathers their rows.
 
 Defined results: a null text is the empty text. Of equal texts the row with the largest doc_id stays; a null
-doc_id is smaller than any other. Rows that repeat both id and text stay or go together. An empty table gives
-no rows.
+doc_id is smaller than any other. Rows that repeat both id and text stay or go together. Texts are compared whole,
+however long; a batch of texts has to fit in a task. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +34,11 @@ from shelfline.llm.common import ROW, carried, stored, whole_text
 
 #: Most bits of a directory: at most 65,536 slots are kept by the driver and sent to tasks.
 MAX_DEPTH = 16
-BUCKET_KEYS = 100_000
+BUCKET_KEYS = 512
+#: Text of the keys an owner task gets, as far as the directory can tell them apart.
+OWNER_BYTES = 32 << 20
+#: Groups of more than one of this many parts of all rows are looked up by a broadcast; fewer than this many exist.
+HOT_PARTS = 1024
 
 CHAIN_SCHEMA = "bucket int, key long, chain int, text_sha256 string, group_size long, keep_id long"
 
@@ -80,18 +87,51 @@ def _slot(key: str, depth: int):
     return F.shiftrightunsigned(F.col(key), 64 - depth).cast("int") if depth else F.lit(0)
 
 
-def grow_directory(keys: DataFrame, capacity: int = BUCKET_KEYS) -> Directory:
-    """The directory for the distinct ``key`` values; at most 65,536 counts reach the driver."""
-    counts = keys.groupBy(_slot("key", MAX_DEPTH).alias("prefix")).count().collect()
-    return Directory({r["prefix"]: r["count"] for r in counts}, capacity)
+class Placement(NamedTuple):
+    """The directory, the owner of each of its buckets, and the number of rows it was made for."""
 
+    directory: Directory
+    owners: list[int]
+    rows: int
 
-def with_bucket(df: DataFrame, directory: Directory) -> DataFrame:
-    """``bucket`` of each key; the broadcast directory has at most 65,536 slots."""
-    slots = df.sparkSession.createDataFrame(list(enumerate(directory.slots)), "slot int, bucket int")
+
+def grow_directory(keys: DataFrame, capacity: int = BUCKET_KEYS, owner_bytes: int = OWNER_BYTES) -> Placement:
+    """Directory and owners for distinct keys (key, n rows, bytes); at most 65,536 counts reach the driver."""
+    parts = (
+        keys.groupBy(_slot("key", MAX_DEPTH).alias("prefix"))
+        .agg(F.count("*").alias("keys"), F.sum("n").alias("rows"), F.sum("bytes").alias("bytes"))
+        .collect()
+    )
+    directory = Directory({r["prefix"]: r["keys"] for r in parts}, capacity)
+    size = [0] * len(directory.local)
+    for r in parts:
+        size[directory.slots[r["prefix"] >> (MAX_DEPTH - directory.depth)]] += r["bytes"]
+    owners, owner, held = [0] * len(size), 0, 0
+    for bucket in dict.fromkeys(directory.slots):  # buckets in the order of their keys
+        if held and held + size[bucket] > owner_bytes:
+            owner, held = owner + 1, 0
+        owners[bucket] = owner
+        held += size[bucket]
+    return Placement(directory, owners, sum(r["rows"] for r in parts))
+
+
+def with_bucket(df: DataFrame, placement: Placement) -> DataFrame:
+    """``bucket`` and ``owner`` of each key; the broadcast directory has at most 65,536 slots."""
+    directory, owners, _ = placement
+    slots = df.sparkSession.createDataFrame(
+        [(slot, bucket, owners[bucket]) for slot, bucket in enumerate(directory.slots)], "slot int, bucket int, owner int"
+    )
     return df.withColumn("slot", _slot("key", directory.depth)).join(F.broadcast(slots), "slot").drop("slot")
 
 
+def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal texts of a batch as one entry; columns key, text, doc_id."""
+    for batch in batches:
+        groups = pa.Table.from_batches([batch]).group_by(["key", "text"], use_threads=False)
+        made = groups.aggregate([([], "count_all"), ("doc_id", "max")])
+        yield from made.select(["key", "text", "count_all", "doc_id_max"]).rename_columns(["key", "text", "size", "keep"]).to_batches()
+
+
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chains of the keys of an owner's buckets; rows come in key order, one chain is held at a time."""
     current, chain = None, []
@@ -132,40 +172,46 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, _CHAIN_ARROW.types, strict=True)], schema=_CHAIN_ARROW)
 
 
-def build_index(keyed: DataFrame, capacity: int = BUCKET_KEYS) -> DataFrame:
-    """The index over rows (doc_id, text, key): one row per different text.
-
-    A key met once needs no comparison and keeps no digest. Texts travel only for keys met more often.
-    """
-    keys = stored(keyed.groupBy("key").agg(F.count("*").alias("n")), "hash-keys")
-    directory = grow_directory(keys, capacity)
-    placed = with_bucket(keys, directory)
-    repeated = placed.filter("n > 1").select("bucket", "key")
-    entries = (
-        keyed.join(repeated, "key")
-        .groupBy("bucket", "key", "text")
-        .agg(F.count("*").alias("size"), F.max("doc_id").alias("keep"))
-        .select("bucket", "key", F.col("text").cast("binary"), "size", "keep")
+def build_index(keyed: DataFrame, capacity: int = BUCKET_KEYS) -> tuple[DataFrame, Placement]:
+    """The index over rows (doc_id, text, key), one row per different text, and its placement."""
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).cast("long").alias("bytes"))
+    placement = grow_directory(sizes, capacity)
+    entries = keyed.select("key", F.col("text").cast("binary").alias("text"), F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(
+        _combine, "key long, text binary, size long, keep long"
     )
-    chains = entries.repartition("bucket", "key").sortWithinPartitions("bucket", "key").mapInArrow(_chain, CHAIN_SCHEMA)
-    single = placed.filter("n = 1").selectExpr(
-        "bucket", "key", "0 AS chain", "CAST(NULL AS string) AS text_sha256", "1L AS group_size", "CAST(NULL AS long) AS keep_id"
+    owned = (
+        with_bucket(entries, placement)
+        .repartitionById(max(placement.owners) + 1, F.col("owner"))
+        .select("bucket", "key", "text", "size", "keep")
+        .sortWithinPartitions("bucket", "key")
     )
-    return stored(single.unionByName(chains).repartition("bucket", "key").sortWithinPartitions("bucket", "key", "chain"), "hash-index")
+    return stored(owned.mapInArrow(_chain, CHAIN_SCHEMA), "hash-index"), placement
 
 
 def mark_copies(docs: DataFrame, capacity: int = BUCKET_KEYS) -> DataFrame:
     """Input rows as ``_row`` with text_sha256, keep_id, group_size and kept."""
     rows = carried(docs, doc_id=F.col("doc_id"), text=whole_text(), key=F.xxhash64(whole_text()))
-    index = build_index(rows.select("doc_id", "text", "key"), capacity)
-    chains = index.filter("group_size > 1").select("key", "text_sha256", "group_size", "keep_id")
-    found = rows.withColumn("text_sha256", F.sha2(F.col("text"), 256)).join(chains, ["key", "text_sha256"], "left")
-    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    index, placement = build_index(rows.select("doc_id", "text", "key"), capacity)
+    entry = ["bucket", "key", "text_sha256"]
+    large = F.col("group_size") > placement.rows // HOT_PARTS
+    chains = index.filter("group_size > 1")
+    hot = chains.filter(large).select(*entry, F.col("group_size").alias("_size"), F.col("keep_id").alias("_keep"))
+    cold = chains.filter(~large).select("bucket", F.col("key").alias("_find"), "text_sha256", "group_size", "keep_id")
+    found = (
+        with_bucket(rows.withColumn("text_sha256", F.sha2(F.col("text"), 256)), placement)
+        .join(F.broadcast(hot), entry, "left")
+        # rows that are answered already are spread; their entry is not among the others
+        .withColumn("_find", F.when(F.col("_size").isNull(), F.col("key")).otherwise(F.xxhash64("doc_id")))
+        .join(cold, ["bucket", "_find", "text_sha256"], "left")
+        .withColumn("size", F.coalesce("_size", "group_size", F.lit(1)).cast("long"))
+    )
+    single = F.col("size") == 1
+    keep = F.when(single, F.col("doc_id")).when(F.col("_size").isNotNull(), F.col("_keep")).otherwise(F.col("keep_id"))
     return found.select(
         ROW,
         "doc_id",
         keep.alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        F.col("size").alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"),
         "text_sha256",
     )

@@ -4,6 +4,7 @@ import random
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shelfline.llm import exact_dedup, line_dedup, repeats, simhash
 
@@ -74,6 +75,36 @@ def test_chain_separates_texts_with_one_hash():
     assert [(r["key"], r["chain"], r["group_size"], r["keep_id"]) for r in out] == [(9, 0, 3, 6), (9, 1, 1, 8), (11, 0, 1, None)]
 
 
+def test_owners_take_consecutive_key_ranges(make):
+    docs = [(k, f"text number {k % 300} " * 20) for k in range(400)]
+    rows = make(docs).selectExpr("doc_id", "text", "xxhash64(text) AS key")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).cast("long").alias("bytes"))
+    directory, owners, total = exact_dedup.grow_directory(sizes, capacity=8, owner_bytes=20_000)
+    in_order = [owners[b] for b in directory.slots]
+    assert total == 400 and directory.depth >= 5
+    assert in_order == sorted(in_order) and set(in_order) == set(range(max(owners) + 1)) and max(owners) >= 3
+
+
+def test_index_files_hold_key_ranges(make, monkeypatch):
+    monkeypatch.setattr(exact_dedup.grow_directory, "__defaults__", (8, 20_000))
+    docs = [(k, f"text number {k % 300} " * 20) for k in range(400)]
+    rows = make(docs).selectExpr("doc_id", "text", "xxhash64(text) AS key")
+    index, _ = exact_dedup.build_index(rows, 8)
+    files: dict[str, list[int]] = {}
+    for name, key in index.select(F.input_file_name(), "key").collect():
+        files.setdefault(name, []).append(key % 2**64)
+    spans = sorted((min(keys), max(keys)) for keys in files.values())
+    assert len(spans) >= 4 and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert index.count() == 300
+
+
+@pytest.mark.parametrize("parts", [1, 8, 10_000])
+def test_frequent_texts_are_looked_up_apart(make, monkeypatch, parts):
+    monkeypatch.setattr(exact_dedup, "HOT_PARTS", parts)
+    docs = [(k, "the text of a third" if k % 3 == 0 else f"text {k % 40}") for k in range(300)] + [(None, "text 1")] * 2
+    assert sorted(exact_rows(exact_dedup.mark_copies(make(docs), 4)), key=str) == expected_exact(docs)
+
+
 # ---- line dedup
 
 
