@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfline.operators import alerts, catalog, quality, search, series
+from shelfline.operators import alerts, catalog, pages, quality, search, series
 from shelfline.operators.intervals import closed_rows, open_rows
 from shelfline.plans import adapters as a
 from shelfline.plans import jobs
@@ -157,6 +157,23 @@ def catalog_second_page(spark: SparkSession, d: str) -> DataFrame:
     return page.withColumn("position", position).select("position", "id", "name")
 
 
+@query(
+    "catalog_deep_page",
+    f"""WITH {CATALOG}, ranks AS (SELECT row_number() OVER (ORDER BY {BASE_ORDER}) AS position, count(*) OVER () AS n, id, name FROM catalog)
+    SELECT position, id, name FROM ranks WHERE position - 1 >= 60 * (n // 120) AND position - 1 < 60 * (n // 120) + 120""",
+)
+def catalog_deep_page(spark: SparkSession, d: str) -> DataFrame:
+    """The page in the middle of the catalogue, found by its position, and the one after it, by its last row."""
+    rows, keys = _catalog(spark, d), pages.base_keys()
+    index = pages.position_index(rows, keys)
+    count = catalog.total(rows).first()[0]
+    middle = pages.page_at(rows, keys, index, count // 120 + 1)
+    shown = middle.collect()  # a page, as a reader of it has
+    both = middle.unionByName(pages.page_after(rows, keys, shown[-1])) if shown else middle
+    position = F.row_number().over(Window.orderBy(*pages.orders(keys))) + count // 120 * 60
+    return both.withColumn("position", position).select("position", "id", "name")
+
+
 @query("catalog_total", f"WITH {CATALOG} SELECT count(*) AS total FROM catalog WHERE {SHOWN}")
 def catalog_total(spark: SparkSession, d: str) -> DataFrame:
     return catalog.total(jobs.catalog_view(a.parts(spark, d), a.history(spark, d))[0])

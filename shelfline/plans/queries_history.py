@@ -17,7 +17,7 @@ from shelfline.operators.intervals import (
     strict_intervals,
 )
 from shelfline.plans import adapters as a
-from shelfline.plans import jobs
+from shelfline.plans import jobs, stored_merge
 from shelfline.plans.oracle_parts import (
     ACTIVITY,
     CHECKED,
@@ -34,6 +34,7 @@ from shelfline.plans.oracle_parts import (
 from shelfline.schemas import HISTORY as HISTORY_SCHEMA
 from shelfline.schemas import OBSERVATIONS, PRODUCTS, align_schema
 from shelfline.session import scratch_dir
+from shelfline.sources import buckets as store
 from shelfline.sources.shards import read_shards
 from shelfline.sources.tables import read_snapshot, write_snapshot
 from shelfline.streaming import ingest
@@ -368,6 +369,57 @@ def merge_actions(spark: SparkSession, d: str) -> DataFrame:
     return actions.groupBy("shard", "action").agg(F.count("*").alias("n"))
 
 
+#: Buckets of the stored tables that the registered queries merge into.
+MERGE_BUCKETS = 48
+
+
+def _merged_store(spark: SparkSession, d: str) -> tuple[str, store.Manifest]:
+    """Stored tables into which the shards were merged twice, the second time without effect."""
+    base = scratch_dir(spark, "merge-store")
+    products, history = a.checked_parts(spark, d, a.MERGE_POINT), a.history(spark, d, a.MERGE_POINT)
+    stored_merge.create(products, history, base, MERGE_BUCKETS)
+    deltas = a.shards(spark, d)
+    first = stored_merge.merge_stored(spark, base, *deltas)
+    again = stored_merge.merge_stored(spark, base, *deltas)
+    if again != first:
+        raise RuntimeError("a repeated merge changed the stored tables")
+    return base, first
+
+
+@query(
+    "merge_stored_history",
+    f"""{MERGE_HISTORY}
+    SELECT mine.product_id, price, original_price, start_ts,
+           CASE WHEN action = 'extend' AND start_ts = latest_start THEN s_end
+                WHEN action = 'close' AND start_ts = open_start THEN last_ts
+                WHEN action = 'insert' AND start_ts = open_start THEN s_start ELSE end_ts END AS end_ts
+    FROM mine LEFT JOIN act ON act.product_id = mine.product_id
+    UNION ALL
+    SELECT product_id, s_price, s_original, s_start, s_end FROM act WHERE action = 'insert'""",
+)
+def merge_stored_history(spark: SparkSession, d: str) -> DataFrame:
+    base, manifest = _merged_store(spark, d)
+    return stored_merge.read_table(spark, base, "history", manifest).select(*OFFER_COLUMNS)
+
+
+@query(
+    "merge_stored_buckets",
+    f"""{MERGE_HISTORY},
+    h AS (SELECT product_id, false AS hit FROM mine UNION ALL SELECT product_id, action <> 'none' FROM act)
+    SELECT 'products' AS table_name, (m.id % {MERGE_BUCKETS})::INT AS bucket,
+           max(CASE WHEN t.id IS NULL THEN 0 ELSE 1 END)::BIGINT AS version
+    FROM m LEFT JOIN t ON t.id = m.id GROUP BY 1, 2
+    UNION ALL
+    SELECT 'history', (product_id % {MERGE_BUCKETS})::INT, max(CASE WHEN hit THEN 1 ELSE 0 END)::BIGINT FROM h
+    WHERE product_id IN (SELECT product_id FROM mine) OR hit GROUP BY 1, 2""",
+)
+def merge_stored_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """Which merge wrote each bucket of the stored tables last."""
+    _, manifest = _merged_store(spark, d)
+    rows = [(table, bucket, version) for (table, bucket), version in manifest.versions.items()]
+    return spark.createDataFrame(rows, "table_name string, bucket int, version long")
+
+
 @query("merge_counts", f"WITH {MERGE_BASE} SELECT shard, count(*) AS merged FROM t GROUP BY ROLLUP (shard)")
 def merge_counts(spark: SparkSession, d: str) -> DataFrame:
     return _merged(spark, d).counts
