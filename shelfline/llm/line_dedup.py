@@ -13,7 +13,7 @@ to find the lines; applying the bitmaps takes one join by document.
 
 Defined results: a null or empty text is one empty line. The key has ``min_chars`` code points at least. A row
 that repeats a doc_id is another document; if it is the largest holding a line, all rows of that id keep it. A null
-doc_id is smaller than any other. An empty table gives no rows.
+doc_id is smaller than any other. A very long text is split whole, inside the task that reads it. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ Weights are whole numbers per path (``"domain"``, ``"domain/lang"``, ``"domain/l
 
 Defined results: a null name of a level is the empty name; a null text has no tokens. Rows without tokens come with
 full epochs, and with the prefix if they stand before its end. Rows that repeat id and tokens stand together, so the
-last of a prefix may be taken more than once. An empty table gives no rows.
+last of a prefix may be taken more than once. Texts are counted whole, however long. An empty table gives no rows.
 """
 
 from __future__ import annotations

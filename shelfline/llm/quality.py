@@ -12,7 +12,7 @@ line; n_repeat_words, words inside three-word windows that are found twice or mo
 64-bit hash: hashes are sorted, neighbours tell the repeated ones, and their places are summed up to covered words.
 
 Defined results: a null or empty text has no words and fails the base rules. Rows are judged on their own, so repeated
-rows and ids have equal results. An empty table gives no rows.
+rows and ids have equal results. Statistics cover whole texts, however long. An empty table gives no rows.
 """
 
 from __future__ import annotations

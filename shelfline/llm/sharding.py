@@ -16,7 +16,8 @@ takes a shard for itself, and the others share what remains.
 Slots are numbered by counts per (shard, cell) and a row number inside a cell, so no task sorts a whole shard.
 
 Defined results: a null text has no bytes; size is UTF-8 bytes plus ``ROW_BYTES``. Rows that repeat an id get
-slots of their own. An empty table gives no rows.
+slots of their own. Equal sizes enter bins in the order of their item numbers; slots follow doc_id, null first, then CRC and size.
+Texts are measured whole, however long. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -25,7 +25,7 @@ is set in over half of the hashes. Further 64-bit parts of wide fingerprints mix
 
 Defined results: a null text, or one without a word, has fingerprint zero and is linked like any other. A null
 doc_id takes part, but only ids become component ids (a component without any id has none). Rows that repeat id
-and text get the same row. An empty table gives no rows.
+and text get the same row. All shingles of a text count, however long it is. An empty table gives no rows.
 """
 
 from __future__ import annotations
