@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfline.operators.hotkeys import HOT, HOT_ROWS, MAX_SLICES, SLICE, slice_hot_keys
+from shelfline.operators.segments import CUT, SLICE, segmented
 
 PRICE_KEY = ("price", "currency", "original_price")
 
@@ -45,14 +45,13 @@ def _run_columns(df: DataFrame, key: str, ts: str, value: Column, order: list) -
 
 
 def _carry(rows: DataFrame, key: str, ts: str) -> DataFrame:
-    """What each slice of a frequent key inherits from its neighbours.
+    """What each slice of a cut key inherits from its neighbours: a scan over the summaries of the slices.
 
-    One row per (key, slice): at most 4 * MAX_SLICES rows in all (see ``hotkeys``).
+    One row per (key, slice): fewer than two rows a segment in all (see ``segments``).
     """
     start = F.struct(F.col(ts).alias("ts"), F.col("_carried").alias("carried"))
     per_slice = (
-        rows.filter(HOT)
-        .groupBy(key, SLICE)
+        rows.groupBy(key, SLICE)
         .agg(
             F.min_by("_value", "_pos").alias("first_value"),
             F.max_by("_value", "_pos").alias("last_value"),
@@ -95,27 +94,45 @@ def _carry(rows: DataFrame, key: str, ts: str) -> DataFrame:
     )
 
 
-def _intervals(
+def _ordered_runs(
     observations: DataFrame,
-    mode: str,
     key: str,
     ts: str,
     value_cols: tuple[str, ...],
     tie_cols: tuple[str, ...],
     carried: str | None,
-    hot_rows: int,
-    max_slices: int,
+    segments: int | None,
     sizing: DataFrame | None,
-) -> DataFrame:
-    value = F.struct(*value_cols)
-    order = [F.col(ts), *[F.col(c) for c in tie_cols]]
+) -> tuple[DataFrame, list[str], bool]:
+    """Rows with their runs inside each slice and, if any key is cut, what their slice inherits; their ordering; whether any is cut."""
     flagged = observations.withColumn(
         "_carried", F.coalesce(F.col(carried), F.lit(False)) if carried else F.lit(False)
-    )
-    sliced, any_hot = slice_hot_keys(flagged, key, ts, hot_rows, max_slices, sizing)
+    ).withColumn("_fresh", ~F.col("_carried"))
+    order = list(dict.fromkeys([ts, "_fresh", *tie_cols, *value_cols]))
+    sliced, any_cut = segmented(flagged, key, order, segments, sizing)
+    value = F.struct(*value_cols)
     rows = _run_columns(sliced, key, ts, value, order)
-    if any_hot:
-        rows = rows.join(F.broadcast(_carry(rows, key, ts)), [key, SLICE], "left")
+    if any_cut:
+        inherited = _carry(_run_columns(sliced.filter(CUT), key, ts, value, order), key, ts)
+        inherited = inherited.withColumnsRenamed({key: "_slice_key", SLICE: "_slice_at"})
+        same = F.col(key).eqNullSafe(F.col("_slice_key")) & (F.col(SLICE) == F.col("_slice_at")) & F.col(CUT)
+        rows = rows.join(F.broadcast(inherited), same, "left").drop("_slice_key", "_slice_at")
+    return rows, order, any_cut
+
+
+def _intervals(
+    observations: DataFrame,
+    mode: str,
+    key: str,
+    ts: str,
+    value_cols: tuple[str, ...],
+    tie_cols: tuple[str, ...],
+    carried: str | None,
+    segments: int | None,
+    sizing: DataFrame | None,
+) -> DataFrame:
+    rows, order, any_cut = _ordered_runs(observations, key, ts, value_cols, tie_cols, carried, segments, sizing)
+    if any_cut:
         inherited = F.when(F.col("_run") == 1, F.coalesce("_before", F.lit(0))).otherwise(0)
         rows = rows.withColumns(
             {
@@ -134,7 +151,7 @@ def _intervals(
         kept = rows.filter(F.col("_in_run") == 1)
         w = Window.partitionBy(key, SLICE).orderBy(*order)
         next_start, next_carried = F.lead(ts).over(w), F.lead("_carried").over(w)
-        if any_hot:
+        if any_cut:
             next_start = F.coalesce(next_start, F.col("_slice_next_start.ts"))
             next_carried = F.coalesce(next_carried, F.col("_slice_next_start.carried"))
         end = F.when(~F.coalesce(next_carried, F.lit(False)), next_start)
@@ -150,8 +167,7 @@ def strict_intervals(
     value_cols: tuple[str, ...] = PRICE_KEY,
     tie_cols: tuple[str, ...] = (),
     carried: str | None = None,
-    hot_rows: int = HOT_ROWS,
-    max_slices: int = MAX_SLICES,
+    segments: int | None = None,
     sizing: DataFrame | None = None,
 ) -> DataFrame:
     """Validity intervals as they are recorded observation by observation.
@@ -161,11 +177,12 @@ def strict_intervals(
     run of equal values the odd observations open and every following observation closes.
 
     ``carried`` names a boolean column that marks rows which are stored open intervals rather
-    than observations; they keep their start and simply come first. ``sizing`` is a cheaper table
-    to look for very frequent products in (see ``hotkeys``).
+    than observations; they keep their start and simply come first. Observations of one time follow
+    ``tie_cols``, then their values. ``segments`` and ``sizing`` say into how many fair shares the ordered
+    table is cut and which cheaper table tells where (see ``segments``).
     """
     return _intervals(
-        observations, "strict", key, ts, value_cols, tie_cols, carried, hot_rows, max_slices, sizing
+        observations, "strict", key, ts, value_cols, tie_cols, carried, segments, sizing
     )
 
 
@@ -176,13 +193,12 @@ def coalesced_intervals(
     value_cols: tuple[str, ...] = PRICE_KEY,
     tie_cols: tuple[str, ...] = (),
     carried: str | None = None,
-    hot_rows: int = HOT_ROWS,
-    max_slices: int = MAX_SLICES,
+    segments: int | None = None,
     sizing: DataFrame | None = None,
 ) -> DataFrame:
     """One interval per run of equal values; the last one stays open."""
     return _intervals(
-        observations, "coalesced", key, ts, value_cols, tie_cols, carried, hot_rows, max_slices, sizing
+        observations, "coalesced", key, ts, value_cols, tie_cols, carried, segments, sizing
     )
 
 
@@ -192,19 +208,13 @@ def mark_changes(
     ts: str = "observed_at",
     value_cols: tuple[str, ...] = PRICE_KEY,
     tie_cols: tuple[str, ...] = (),
-    hot_rows: int = HOT_ROWS,
-    max_slices: int = MAX_SLICES,
+    segments: int | None = None,
     sizing: DataFrame | None = None,
 ) -> DataFrame:
     """Observations with ``changed``: the value differs from the one before (NULLs are equal)."""
-    value = F.struct(*value_cols)
-    order = [F.col(ts), *[F.col(c) for c in tie_cols]]
-    flagged = observations.withColumn("_carried", F.lit(False))
-    sliced, any_hot = slice_hot_keys(flagged, key, ts, hot_rows, max_slices, sizing)
-    rows = _run_columns(sliced, key, ts, value, order)
+    rows, _, any_cut = _ordered_runs(observations, key, ts, value_cols, tie_cols, None, segments, sizing)
     changed = F.col("_changed")
-    if any_hot:
-        rows = rows.join(F.broadcast(_carry(rows, key, ts)), [key, SLICE], "left")
+    if any_cut:
         continues = F.coalesce("_slice_joins", F.lit(False)) & (F.col("_pos") == 1)
         changed = changed & ~continues
     return rows.select(*observations.columns, changed.alias("changed"))

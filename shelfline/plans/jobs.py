@@ -114,7 +114,7 @@ def update_history(
     observations: DataFrame,
     mode: str = "strict",
     sizing: DataFrame | None = None,
-    **hot: int,
+    segments: int | None = None,
 ) -> DataFrame:
     """Stored history continued with newer observations (product_id, observed_at, price, ...).
 
@@ -130,7 +130,7 @@ def update_history(
         *columns, F.col("start_ts").alias("observed_at"), F.lit(True).alias("_stored")
     )
     fresh = observations.select(*columns, "observed_at", F.lit(False).alias("_stored"))
-    intervals = build(carried.unionByName(fresh), carried="_stored", sizing=sizing, **hot)
+    intervals = build(carried.unionByName(fresh), carried="_stored", segments=segments, sizing=sizing)
     continued = intervals.withColumn("id", history_id(F.col("product_id"), F.col("start_ts")))
     untouched = stored_open.join(touched, "product_id", "left_anti").select(*HISTORY.names)
     past = align_schema(closed_rows(history), HISTORY).unionByName(untouched)

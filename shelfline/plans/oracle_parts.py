@@ -22,26 +22,33 @@ OFFERS = """offers AS (
   FROM lineitem GROUP BY 1, 2)"""
 
 
-def runs(source: str, value: str, name: str, key: str = "product_id", ts: str = "observed_at") -> str:
-    """CTEs that number the runs of equal values and the rows inside each run."""
+def runs(
+    source: str, value: str, name: str, key: str = "product_id", ts: str = "observed_at", at: str | None = None
+) -> str:
+    """CTEs that number the runs of equal values and the rows inside each run; ``ts`` orders, ``at`` is the time if ties follow it."""
+    at = at or ts
     same = " AND ".join(f"lag({v}) OVER w IS NOT DISTINCT FROM {v}" for v in value.split(", "))
     return f"""{name}_c AS (
-  SELECT *, CASE WHEN lag({ts}) OVER w IS NOT NULL AND {same} THEN 0 ELSE 1 END AS chg,
-         lead({ts}) OVER w AS next_ts
+  SELECT *, CASE WHEN lag({at}) OVER w IS NOT NULL AND {same} THEN 0 ELSE 1 END AS chg,
+         lead({at}) OVER w AS next_ts
   FROM {source} WINDOW w AS (PARTITION BY {key} ORDER BY {ts})),
 {name}_r AS (SELECT *, sum(chg) OVER (PARTITION BY {key} ORDER BY {ts}) AS run FROM {name}_c),
 {name}_n AS (SELECT *, row_number() OVER (PARTITION BY {key}, run ORDER BY {ts}) AS rn FROM {name}_r)"""
 
 
-def strict(source: str, value: str, name: str, key: str = "product_id", ts: str = "observed_at") -> str:
-    return f"""{runs(source, value, name, key, ts)},
-{name} AS (SELECT {key}, {value}, {ts} AS start_ts, next_ts AS end_ts FROM {name}_n WHERE rn % 2 = 1)"""
+def strict(
+    source: str, value: str, name: str, key: str = "product_id", ts: str = "observed_at", at: str | None = None
+) -> str:
+    return f"""{runs(source, value, name, key, ts, at)},
+{name} AS (SELECT {key}, {value}, {at or ts} AS start_ts, next_ts AS end_ts FROM {name}_n WHERE rn % 2 = 1)"""
 
 
-def coalesced(source: str, value: str, name: str, key: str = "product_id", ts: str = "observed_at") -> str:
-    return f"""{runs(source, value, name, key, ts)},
-{name} AS (SELECT {key}, {value}, {ts} AS start_ts,
-           lead({ts}) OVER (PARTITION BY {key} ORDER BY {ts}) AS end_ts
+def coalesced(
+    source: str, value: str, name: str, key: str = "product_id", ts: str = "observed_at", at: str | None = None
+) -> str:
+    return f"""{runs(source, value, name, key, ts, at)},
+{name} AS (SELECT {key}, {value}, {at or ts} AS start_ts,
+           lead({at or ts}) OVER (PARTITION BY {key} ORDER BY {ts}) AS end_ts
     FROM {name}_n WHERE rn = 1)"""
 
 

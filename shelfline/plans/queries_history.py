@@ -104,12 +104,63 @@ def coalesced_price_history(spark: SparkSession, d: str) -> DataFrame:
     SELECT product_id, price, start_ts, end_ts FROM h""",
 )
 def sliced_on_activity(spark: SparkSession, d: str) -> DataFrame:
-    """Intervals with the cutting of frequent products provoked by a low threshold."""
-    return strict_intervals(
-        a.activity(spark, d), value_cols=("price",), hot_rows=20, max_slices=512
+    """Intervals with products cut into many slices by a large number of segments."""
+    return strict_intervals(a.activity(spark, d), value_cols=("price",), segments=4096)
+
+
+# Every part of an odd number is one product here, and all of its observations bear one time.
+CROWDED = """crowded AS (
+  SELECT CASE WHEN l_partkey % 2 = 1 THEN 0 ELSE l_partkey END AS product_id,
+         CASE WHEN l_partkey % 2 = 1 THEN TIMESTAMP '1998-01-01' ELSE l_shipdate END AS observed_at,
+         l_orderkey, l_linenumber, CAST(floor(l_quantity / 10) * 10 + 10 AS DOUBLE) AS price
+  FROM lineitem)"""
+CROWDED_ORDER = "observed_at, l_orderkey, l_linenumber, price"  # lines of an order are not unique in the tables
+
+
+def crowded(spark: SparkSession, d: str) -> DataFrame:
+    odd = F.col("l_partkey") % 2 == 1
+    return a.table(spark, d, "lineitem").select(
+        F.when(odd, 0).otherwise(F.col("l_partkey")).alias("product_id"),
+        F.when(odd, F.lit("1998-01-01").cast("timestamp")).otherwise(F.col("l_shipdate")).alias("observed_at"),
+        "l_orderkey",
+        "l_linenumber",
+        (F.floor(F.col("l_quantity") / 10) * 10 + 10).cast("double").alias("price"),
     )
 
 
+CROWDED_ARGS = {"value_cols": ("price",), "tie_cols": ("l_orderkey", "l_linenumber")}
+
+
+@query(
+    "one_time_intervals",
+    f"""WITH {CROWDED}, {strict('crowded', 'price', 'h', ts=CROWDED_ORDER, at='observed_at')}
+    SELECT product_id, price, start_ts, end_ts FROM h""",
+)
+def one_time_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Strict intervals where half of all observations are of one product and one time."""
+    return strict_intervals(crowded(spark, d), **CROWDED_ARGS)
+
+
+@query(
+    "one_time_runs",
+    f"""WITH {CROWDED}, {coalesced('crowded', 'price', 'h', ts=CROWDED_ORDER, at='observed_at')}
+    SELECT product_id, price, start_ts, end_ts FROM h""",
+)
+def one_time_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Coalesced intervals where half of all observations are of one product and one time."""
+    return coalesced_intervals(crowded(spark, d), **CROWDED_ARGS)
+
+
+@query(
+    "one_time_changes",
+    f"""WITH {CROWDED}, {runs('crowded', 'price', 'h', ts=CROWDED_ORDER, at='observed_at')}
+    SELECT product_id, observed_at, l_orderkey, l_linenumber, price, chg = 1 AS changed FROM h_c""",
+)
+def one_time_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Price changes where half of all observations are of one product and one time."""
+    return mark_changes(crowded(spark, d), **CROWDED_ARGS)
+
+
 @query(
     "price_changes",
     f"""WITH {OFFERS}, {runs('offers', 'price, original_price', 'h')}

@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 from simulators import coalesce_prices, record_prices
 
 from shelfline.operators.intervals import (
@@ -13,6 +14,7 @@ from shelfline.operators.intervals import (
     previous_price,
     strict_intervals,
 )
+from shelfline.operators.segments import segmented
 from shelfline.plans.jobs import update_history
 from shelfline.schemas import HISTORY
 
@@ -103,14 +105,14 @@ def test_coalesced_equals_the_model(spark, seed):
 
 
 @pytest.mark.parametrize("seed", [6, 7])
-@pytest.mark.parametrize("max_slices", [8, 64])
-def test_sliced_hot_product_equals_the_model(spark, seed, max_slices):
+@pytest.mark.parametrize("segments", [8, 64, 4096])
+def test_sliced_hot_product_equals_the_model(spark, seed, segments):
     log = random_log(seed, products=6, longest=10, hot=400)
     rows = frame(spark, log).cache()
-    hot = {"hot_rows": 5, "max_slices": max_slices}
+    hot = {"segments": segments}
     assert found(strict_intervals(rows, **hot)) == expected(log, record_prices)
     assert found(coalesced_intervals(rows, **hot)) == expected(log, coalesce_prices)
-    whole = mark_changes(rows).collect()
+    whole = mark_changes(rows, segments=2).collect()
     assert sorted(map(str, mark_changes(rows, **hot).collect())) == sorted(map(str, whole))
 
 
@@ -118,7 +120,7 @@ def test_long_equal_run_crosses_many_slices(spark):
     for n in (300, 301):
         log = {1: [(i, (10.0, "CRC", None)) for i in range(n)], 2: [(0, (1.0, "CRC", None))]}
         rows = frame(spark, log)
-        hot = {"hot_rows": 5, "max_slices": 32}
+        hot = {"segments": 32}
         assert found(strict_intervals(rows, **hot)) == expected(log, record_prices)
         assert found(coalesced_intervals(rows, **hot)) == expected(log, coalesce_prices)
 
@@ -130,7 +132,7 @@ def test_history_continued_in_two_batches_equals_one(spark, mode, cut):
     early = {p: [r for r in rows if r[0] < cut] for p, rows in log.items()}
     late = {p: [r for r in rows if r[0] >= cut] for p, rows in log.items()}
     empty = spark.createDataFrame([], HISTORY)
-    for hot in ({}, {"hot_rows": 3, "max_slices": 16}):
+    for hot in ({}, {"segments": 16}):
         first = update_history(empty, frame(spark, early), mode, **hot)
         both = update_history(first, frame(spark, late), mode, **hot)
         model = record_prices if mode == "strict" else coalesce_prices
@@ -167,3 +169,54 @@ def test_one_shuffle_without_hot_products(spark):
     plan = strict_intervals(frame(spark, log))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "SinglePartition" not in plan
+
+
+def orderings(spark, n, distinct_ties):
+    """One product at one time, beside a NULL product and single rows; ties tell the order, or values alone do."""
+    rng = random.Random(n)
+    rows = [(1, at(0), i if distinct_ties else 0, float(rng.choice([1, 1, 2]))) for i in range(n)]
+    rows += [(None, at(i % 3), i if distinct_ties else 0, float(rng.choice([5, 6]))) for i in range(n // 2)]
+    rows += [(p, at(p), 0, 3.0) for p in range(2, 20)]
+    rng.shuffle(rows)
+    return rows, spark.createDataFrame(rows, "product_id int, observed_at timestamp, tie int, price double")
+
+
+@pytest.mark.parametrize("distinct_ties", [True, False])
+def test_one_time_is_cut_by_ties_and_values(spark, distinct_ties):
+    rows, df = orderings(spark, 600, distinct_ties)
+    sliced, any_cut = segmented(df, "product_id", ["observed_at", "tie", "price"], 64)
+    assert any_cut
+    slices = {r["product_id"]: r["n"] for r in sliced.groupBy("product_id").agg(F.countDistinct("_slice").alias("n")).collect()}
+    assert slices[1] >= (20 if distinct_ties else 2)
+    assert slices[None] >= 2
+    assert all(n == 1 for p, n in slices.items() if p not in (1, None))
+    log = {}
+    for product, when, tie, price in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1:])):
+        log.setdefault(product, []).append((when, price))
+    for build, model in ((strict_intervals, record_prices), (coalesced_intervals, coalesce_prices)):
+        out = build(df, value_cols=("price",), tie_cols=("tie",), segments=64)
+        wanted = [(p, v, s, e) for p, seen in log.items() for v, s, e in model(seen)]
+        got = [(r["product_id"], r["price"], r["start_ts"], r["end_ts"]) for r in out.collect()]
+        assert sorted(map(str, got)) == sorted(map(str, wanted))
+
+
+def test_segments_of_empty_and_single_tables(spark):
+    empty = spark.createDataFrame([], OBS)
+    one = spark.createDataFrame([(1, at(0), 1.0, "CRC", None)], OBS)
+    for build in (strict_intervals, coalesced_intervals, mark_changes):
+        assert build(empty, segments=8).count() == 0
+        assert build(one, segments=8).count() == 1
+
+
+def test_even_keys_are_never_cut(spark):
+    df = spark.range(4000).select((F.col("id") % 400).alias("product_id"), F.col("id").alias("observed_at"))
+    sliced, any_cut = segmented(df, "product_id", ["observed_at"], 8)
+    assert not any_cut
+    assert sliced.filter("_slice <> 0 OR _cut").count() == 0
+
+
+def test_sizing_gives_borders_by_its_leading_columns(spark):
+    log = random_log(3, products=4, longest=10, hot=500)
+    rows = frame(spark, log)
+    sizing = rows.select("product_id", F.col("observed_at").cast("timestamp"))
+    assert found(strict_intervals(rows, segments=32, sizing=sizing)) == expected(log, record_prices)
