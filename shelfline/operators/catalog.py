@@ -25,9 +25,13 @@ def active_with_price(products: DataFrame, history: DataFrame) -> DataFrame:
     return products.filter("is_active").join(_current(history), "id", "left")
 
 
-def current_and_previous(products: DataFrame, history: DataFrame) -> DataFrame:
-    """Products that have an open price, with the most recently closed one as ``prev_price``."""
-    previous = previous_price(history).withColumnRenamed("product_id", "id")
+def current_and_previous(products: DataFrame, history: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+    """Products that have an open price, with the most recently closed one as ``prev_price``.
+
+    ``previous`` is the view of closed prices that ingest and merges keep; with it only open rows of ``history`` are read.
+    """
+    known = previous_price(history) if previous is None else previous.select("product_id", "prev_price")
+    previous = known.withColumnRenamed("product_id", "id")
     return products.join(_current(history), "id").join(previous, "id", "left")
 
 

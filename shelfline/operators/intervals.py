@@ -251,7 +251,25 @@ def latest_open(
     return _latest(open_rows(history), key, tie_cols)
 
 
+def latest_closed(history: DataFrame, key: str = "product_id", price: str = "price") -> DataFrame:
+    """Price, end and start of the most recently closed interval of each product: the rows of a kept view.
+
+    Of intervals that share start and end the dearest counts.
+    """
+    newest = F.max(F.struct(F.col("end_ts").alias("closed_at"), F.col("start_ts").alias("opened_at"), F.col(price).alias("prev_price")))
+    return closed_rows(history).groupBy(key).agg(newest.alias("_newest")).select(key, "_newest.prev_price", "_newest.closed_at", "_newest.opened_at")
+
+
+def newer_closed(kept: DataFrame, closed: DataFrame, key: str = "product_id") -> DataFrame:
+    """The view ``latest_closed`` continued with newly closed intervals; closed history isn't read again.
+
+    The newest of two is associative and idempotent, so batches may come in any order and may be repeated.
+    """
+    newest = F.max(F.struct("closed_at", "opened_at", "prev_price")).alias("_newest")
+    both = kept.unionByName(latest_closed(closed, key).select(*kept.columns))
+    return both.groupBy(key).agg(newest).select(key, "_newest.prev_price", "_newest.closed_at", "_newest.opened_at")
+
+
 def previous_price(history: DataFrame, key: str = "product_id", price: str = "price") -> DataFrame:
     """Price of the most recently closed interval of each product; may be NULL."""
-    newest = F.max_by(price, F.struct("end_ts", "start_ts")).alias("prev_price")
-    return closed_rows(history).groupBy(key).agg(newest)
+    return latest_closed(history, key, price).select(key, "prev_price")

@@ -212,13 +212,14 @@ def catalog_view(
     include_inactive: bool = False,
     only_in_stock: bool = True,
     favorites: DataFrame | None = None,
+    previous: DataFrame | None = None,
 ) -> tuple[DataFrame, list[Column]]:
     """The filtered catalogue and the order it is shown in; see ``catalog.page`` and ``total``.
 
     A search text orders by relevance whatever sort is chosen, and does so even when it has no
-    tokens to filter by.
+    tokens to filter by. ``previous``: see ``catalog.current_and_previous``.
     """
-    rows = catalog.with_derived(catalog.current_and_previous(products, history))
+    rows = catalog.with_derived(catalog.current_and_previous(products, history, previous))
     rows = catalog.filter_catalog(rows, include_inactive, only_in_stock, favorites)
     if not query.strip():
         return rows, catalog.sort_order(sort)

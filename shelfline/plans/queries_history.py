@@ -453,6 +453,25 @@ def merge_stored_history(spark: SparkSession, d: str) -> DataFrame:
     return stored_merge.read_table(spark, base, "history", manifest).select(*OFFER_COLUMNS)
 
 
+@query(
+    "merge_stored_previous",
+    f"""{MERGE_HISTORY},
+    h AS (SELECT mine.product_id, price, start_ts,
+           CASE WHEN action = 'extend' AND start_ts = latest_start THEN s_end
+                WHEN action = 'close' AND start_ts = open_start THEN last_ts
+                WHEN action = 'insert' AND start_ts = open_start THEN s_start ELSE end_ts END AS end_ts
+      FROM mine LEFT JOIN act ON act.product_id = mine.product_id
+      UNION ALL
+      SELECT product_id, s_price, s_start, s_end FROM act WHERE action = 'insert')
+    SELECT product_id, price AS prev_price, end_ts AS closed_at, start_ts AS opened_at FROM h WHERE end_ts IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY end_ts DESC, start_ts DESC, price DESC NULLS LAST) = 1""",
+)
+def merge_stored_previous(spark: SparkSession, d: str) -> DataFrame:
+    """The view of previous prices as a merge leaves it."""
+    base, manifest = _merged_store(spark, d)
+    return stored_merge.read_table(spark, base, "previous", manifest)
+
+
 @query(
     "merge_stored_buckets",
     f"""{MERGE_HISTORY},
@@ -467,7 +486,7 @@ def merge_stored_history(spark: SparkSession, d: str) -> DataFrame:
 def merge_stored_buckets(spark: SparkSession, d: str) -> DataFrame:
     """Which merge wrote each bucket of the stored tables last."""
     _, manifest = _merged_store(spark, d)
-    rows = [(table, bucket, version) for (table, bucket), version in manifest.versions.items()]
+    rows = [(table, bucket, version) for (table, bucket), version in manifest.versions.items() if table != "previous"]
     return spark.createDataFrame(rows, "table_name string, bucket int, version long")
 
 

@@ -166,6 +166,30 @@ def streaming_batches(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "catalog_of_batches",
+    f"""WITH {BATCHES_SQL}, {strict('good', 'price', 'h')},
+    prev AS (SELECT product_id, price AS prev_price FROM h WHERE end_ts IS NOT NULL
+             QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY end_ts DESC, start_ts DESC, price DESC NULLS LAST) = 1),
+    c AS (SELECT product_id, is_active, price, prev_price,
+                 CASE WHEN prev_price IS NOT NULL AND prev_price <> 0 THEN (coalesce(price, 0) - prev_price) / prev_price * 100 ELSE 0 END AS change_pct
+          FROM h JOIN s USING (product_id) LEFT JOIN prev USING (product_id) WHERE end_ts IS NULL)
+    SELECT '{a.SHOP}' || product_id || '/' AS url, is_active, price, prev_price, change_pct FROM c""",
+)
+def catalog_of_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The catalogue after three batches, from open intervals and the kept view of previous prices: no closed history is read."""
+    base = _run_in_three(spark, d)
+    last = ingest.last_batch(spark, base)
+    rows, _ = jobs.catalog_view(
+        ingest.products_after(spark, base, last),
+        ingest.open_after(spark, base, last),
+        include_inactive=True,
+        only_in_stock=False,
+        previous=ingest.previous_after(spark, base, last),
+    )
+    return rows.select("url", "is_active", "price", "prev_price", "change_pct")
+
+
 @query(
     "streaming_counters",
     f"""SELECT CASE WHEN ts < TIMESTAMP '{FIRST_CUT}' THEN 0 WHEN ts < TIMESTAMP '{SECOND_CUT}' THEN 1 ELSE 2 END AS batch,

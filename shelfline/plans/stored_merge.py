@@ -1,6 +1,7 @@
 """Merging shards into stored tables, rewriting only the files that hold touched products.
 
-``products`` and ``history`` lie in buckets of products under a manifest per merge (``sources.buckets``). A merge reads
+``products``, ``history`` and ``previous`` (the newest closed price of each product) lie in buckets of products under a
+manifest per merge (``sources.buckets``). A merge reads
 three columns of all products to find the touched ones, then only the buckets of those. Buckets without a touched
 product keep their files; a merge that touches nothing writes nothing.
 """
@@ -11,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfline.operators import merge
-from shelfline.schemas import HISTORY, PRODUCTS, align_schema
+from shelfline.operators.intervals import latest_closed
+from shelfline.schemas import HISTORY, PREVIOUS, PRODUCTS, align_schema
 from shelfline.session import pinned
 from shelfline.sources import buckets as store
 
-TABLES = {"products": ("id", PRODUCTS), "history": ("product_id", HISTORY)}
+TABLES = {"products": ("id", PRODUCTS), "history": ("product_id", HISTORY), "previous": ("product_id", PREVIOUS)}
 
 
 def newest(spark: SparkSession, base: str) -> store.Manifest:
@@ -31,7 +33,7 @@ def create(products: DataFrame, history: DataFrame, base: str, buckets: int = st
     spark = products.sparkSession
     empty = store.read_manifest(spark, base, -1)
     versions: dict[tuple[str, int], int] = {}
-    for table, rows in (("products", products), ("history", history)):
+    for table, rows in (("products", products), ("history", history), ("previous", latest_closed(history))):
         key, schema = TABLES[table]
         versions |= store.rewrite_buckets(align_schema(rows, schema), base, table, F.col(key), buckets, 0, set(), empty)
     made = store.Manifest(0, versions, {"buckets": buckets})
@@ -59,9 +61,12 @@ def merge_stored(spark: SparkSession, base: str, delta_products: DataFrame, delt
     actions = pinned(merge.history_actions(history, delta_history, touched))
     acted = actions.filter(F.col("action") != "none")
     rewritten = _buckets_of(acted, buckets)
+    new_history = merge.merged_history(read_table(spark, base, "history", before, rewritten), acted)
+    # an extension may move or reopen the newest closed interval, so the view follows from the rewritten buckets whole
     merged = {
         "products": (merge.merged_products(products, touched), changed),
-        "history": (merge.merged_history(read_table(spark, base, "history", before, rewritten), acted), rewritten),
+        "history": (new_history, rewritten),
+        "previous": (latest_closed(new_history), rewritten),
     }
     versions: dict[tuple[str, int], int] = {}
     for table, (rows, where) in merged.items():

@@ -47,6 +47,16 @@ HISTORY = T.StructType(
     ]
 )
 
+#: The view of the most recently closed interval of each product (``intervals.latest_closed``).
+PREVIOUS = T.StructType(
+    [
+        T.StructField("product_id", T.LongType()),
+        T.StructField("prev_price", T.DoubleType()),
+        T.StructField("closed_at", T.TimestampType()),
+        T.StructField("opened_at", T.TimestampType()),
+    ]
+)
+
 OBSERVATIONS = T.StructType(
     [
         T.StructField("url", T.StringType()),

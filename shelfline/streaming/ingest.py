@@ -1,7 +1,7 @@
 """Folding observations into the stored tables as they arrive.
 
-Layout below a base folder (see ``sources.buckets``): ``products`` and ``open`` (open price intervals) are bucketed by
-product and rewritten where a batch touches them; ``closed/batch=N`` has the intervals that batch N closed,
+Layout below a base folder (see ``sources.buckets``): ``products``, ``open`` (open price intervals) and ``previous``
+(the newest closed price of each product) are bucketed by product and rewritten where a batch touches them; ``closed/batch=N`` has the intervals that batch N closed,
 ``rejected/batch=N`` the rows it left out with a reason and ``settled/batch=N`` the observations it folded. Closed
 history is never rewritten, and neither are buckets that a batch does not touch. A batch starts from the manifest
 before its own number and is done when its manifest is written, so repeating it after a failure gives the same tables.
@@ -17,9 +17,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfline.operators import quality
-from shelfline.operators.intervals import closed_rows, open_rows
+from shelfline.operators.intervals import closed_rows, newer_closed, open_rows
 from shelfline.plans.jobs import fold_settled, settle
-from shelfline.schemas import HISTORY, OBSERVATIONS, PRODUCTS, product_id
+from shelfline.schemas import HISTORY, OBSERVATIONS, PREVIOUS, PRODUCTS, product_id
 from shelfline.sources import buckets as store
 
 # Files taken into one micro-batch; each batch commits, so this is also the progress interval.
@@ -65,6 +65,11 @@ def open_after(spark: SparkSession, base: str, batch: int) -> DataFrame:
     return store.read_buckets(spark, base, "open", HISTORY, store.read_manifest(spark, base, batch))
 
 
+def previous_after(spark: SparkSession, base: str, batch: int) -> DataFrame:
+    """The newest closed price of each product after a batch; with ``open_after`` all that a catalogue page reads of history."""
+    return store.read_buckets(spark, base, "previous", PREVIOUS, store.read_manifest(spark, base, batch))
+
+
 def _appended(spark: SparkSession, base: str, table: str, schema: T.StructType, batch: int) -> DataFrame:
     """Rows that committed batches up to ``batch`` appended; the filter prunes folders."""
     done = [b for b in store.committed_batches(spark, base) if b <= batch]
@@ -126,9 +131,12 @@ def fold_batch(
     new_products, new_history = fold_settled(products, opened, rows, mode)
     new_history = new_history.persist()
     try:
-        closed_rows(new_history).write.mode("overwrite").parquet(f"{base}/closed/batch={batch}")
+        closed = closed_rows(new_history)
+        closed.write.mode("overwrite").parquet(f"{base}/closed/batch={batch}")
         versions = store.rewrite_buckets(new_products, base, "products", F.col("id"), n_buckets, batch, touched, before)
         versions |= store.rewrite_buckets(open_rows(new_history), base, "open", F.col("product_id"), n_buckets, batch, touched, before)
+        previous = newer_closed(store.read_buckets(spark, base, "previous", PREVIOUS, before, touched), closed)
+        versions |= store.rewrite_buckets(previous, base, "previous", F.col("product_id"), n_buckets, batch, touched, before)
     finally:
         new_history.unpersist()
     counters = {k: int(n) for k, n in (counted.get | dropped.get).items()}

@@ -8,9 +8,11 @@ from simulators import coalesce_prices, record_prices
 from shelfline.operators.intervals import (
     closed_rows,
     coalesced_intervals,
+    latest_closed,
     latest_open,
     latest_record,
     mark_changes,
+    newer_closed,
     previous_price,
     strict_intervals,
 )
@@ -164,6 +166,21 @@ def test_reductions(spark):
     assert closed_rows(history).count() == 3
 
 
+def test_view_of_closed_prices_continues(spark):
+    def closed(*rows):
+        return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], HISTORY)
+
+    first = closed((1, 5.0, None, "CRC", at(0), at(2)), (2, 1.0, None, "CRC", at(0), at(9)), (None, 1.0, None, "CRC", at(0), at(1)))
+    second = closed((1, None, None, "CRC", at(2), at(4)), (2, 7.0, None, "CRC", at(1), at(3)), (3, 2.0, None, "CRC", at(0), at(0)), (3, 4.0, None, "CRC", at(0), at(0)))
+    want = {1: None, 2: 1.0, 3: 4.0, None: 1.0}
+    for one, two in ((first, second), (second, first)):
+        view = newer_closed(latest_closed(one), two)
+        assert {r["product_id"]: r["prev_price"] for r in view.collect()} == want
+        assert sorted(map(str, newer_closed(view, two).collect())) == sorted(map(str, view.collect()))
+    assert {r["product_id"]: r["prev_price"] for r in previous_price(first.unionByName(second)).collect()} == want
+    assert newer_closed(latest_closed(first.limit(0)), first.limit(0)).count() == 0
+
+
 def test_one_shuffle_without_hot_products(spark):
     log = random_log(1)
     plan = strict_intervals(frame(spark, log))._jdf.queryExecution().executedPlan().toString()

@@ -104,6 +104,8 @@ def test_merge_keeps_files_of_untouched_buckets(spark, tmp_path):
     assert len(rows) == 65
     assert sorted((r.price, r.start_ts, r.end_ts) for r in rows if r.product_id == 3)[0] == (10.0, OLD, NEW)
     assert [(r.price, r.end_ts) for r in rows if r.product_id == 5] == [(10.0, NEW)]
+    previous = stored_merge.read_table(spark, base, "previous", done).collect()
+    assert sorted((r.product_id, r.prev_price, r.closed_at) for r in previous) == [(3, 10.0, NEW), (5, 10.0, NEW)]
     names = {r.id: r.name for r in stored_merge.read_table(spark, base, "products", done).collect()}
     assert len(names) == 64 and names[3] == "new" and names[8] == "p8"
     assert done.counters == {"buckets": 16, "merged": 3, "acted": 2}

@@ -4,6 +4,8 @@ from datetime import datetime, timedelta
 import pytest
 from simulators import coalesce_prices, record_prices
 
+from shelfline.operators import catalog
+from shelfline.operators.intervals import previous_price
 from shelfline.operators.quality import TooManyNullPrices
 from shelfline.schemas import OBSERVATIONS
 from shelfline.sources import buckets
@@ -52,10 +54,22 @@ def test_batches_as_they_arrive_equal_the_whole_log(spark, tmp_path, mode, model
 
     want = sorted((u, hour(s), v, str(hour(e))) for u, seen in log.items() for v, s, e in model(seen))
     assert stored() == want
+
+    def previous(rows):
+        return sorted((r["product_id"], r["prev_price"]) for r in rows.collect())
+
+    # the kept view is what the whole closed history gives, and a page built on it reads no closed interval
+    whole = previous_price(ingest.history_after(spark, base, last))
+    assert previous(ingest.previous_after(spark, base, last)) == previous(whole)
+    shown = catalog.current_and_previous(products, ingest.open_after(spark, base, last), ingest.previous_after(spark, base, last))
+    assert all("/closed/" not in f for f in shown.inputFiles())
+    everything = catalog.current_and_previous(products, ingest.history_after(spark, base, last))
+    assert sorted(map(str, shown.collect())) == sorted(map(str, everything.collect()))
     # repeating the last batch, as after a failure, gives the same tables
     again = spark.read.schema(OBSERVATIONS).parquet(source).filter("hour(observed_at) >= 6")
     ingest.fold_batch(spark, base, again, last, ["url", "observed_at"], mode)
     assert stored() == want
+    assert previous(ingest.previous_after(spark, base, last)) == previous(whole)
 
 
 def observations_at(spark, rows):
