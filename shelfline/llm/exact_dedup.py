@@ -36,7 +36,9 @@ from shelfline.llm.common import ROW, carried, stored, whole_text
 MAX_DEPTH = 16
 BUCKET_KEYS = 512
 #: Text of the keys an owner task gets, as far as the directory can tell them apart.
-OWNER_BYTES = 32 << 20
+OWNER_BYTES = 8 << 20
+#: Rows of an Arrow batch that an owner turns into Python values at a time.
+STEP = 64
 #: Groups of more than one of this many parts of all rows are looked up by a broadcast; fewer than this many exist.
 HOT_PARTS = 1024
 
@@ -143,8 +145,8 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         rows: list[tuple] = []
-        for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            bucket, key, text, size, keep = r
+        parts = (batch.slice(start, STEP) for start in range(0, batch.num_rows, STEP))
+        for bucket, key, text, size, keep in (r for part in parts for r in zip(*(c.to_pylist() for c in part.columns), strict=True)):
             if (bucket, key) != current:
                 closed(rows)
                 current, chain = (bucket, key), []
