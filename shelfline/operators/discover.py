@@ -13,6 +13,7 @@ from shelfline.functions.urls import (
 )
 from shelfline.operators.search import containing
 from shelfline.schemas import PRODUCTS, align_schema, epoch, product_id
+from shelfline.session import pinned
 
 # Targets compared in one pass over the URLs; longer lists take several passes.
 _TARGETS_PER_PASS = 128
@@ -134,9 +135,11 @@ def url_variants(urls: DataFrame, targets: list[str]) -> DataFrame:
 def match_targets(urls: DataFrame, targets: DataFrame) -> DataFrame:
     """``url_variants`` for a table of targets (column ``target``), however many.
 
-    Equality is a join by the comparable form. Slugs, and slugs without their number, meet the URLs through an index of
-    substrings on the rarest one each of them has (see ``search.containing``), so all targets take one pass over the
-    URLs and the plan holds none of them. Repeated targets and URLs count once; an empty slug contains nothing.
+    Equality is a join by the comparable form. Slugs, and then slugs without their number, meet the URLs through an index
+    of substrings on the rarest one each of them has (see ``search.containing``). Stages follow each other: only targets
+    without a match go on to the next, so a common head is not paired with the URLs of targets that are known already.
+    What a stage found is pinned, and the plan holds none of the targets. Repeated targets and URLs count once; an empty
+    slug contains nothing.
     """
     slug = F.lower(F.regexp_replace("target", f"^https?://[^/]*{PRODUCT_PARTS[0]}", ""))
     parts = targets.filter(F.col("target").isNotNull()).select("target").distinct().select(
@@ -144,23 +147,19 @@ def match_targets(urls: DataFrame, targets: DataFrame) -> DataFrame:
         comparable_url(F.col("target")).alias("whole"),
         F.regexp_replace(slug, "/$", "").alias("slug"),
     )
-    parts = parts.withColumn("base", F.when(F.col("slug").rlike("^.+-[0-9]+$"), F.regexp_replace("slug", "-[0-9]+$", "")))
-    known = urls.select("url").distinct()
-    forms = known.select("url", comparable_url(F.col("url")).alias("whole"))
-    equal = parts.join(forms, "whole").select("target", F.lit(1).alias("stage"), "url")
-
-    looked_up = parts.select("target", F.explode(F.array(_staged(2, "slug"), _staged(3, "base"))).alias("s")).select("target", "s.*")
-    looked_up = looked_up.filter("candidate <> ''")
-    lowered = known.select("url", F.lower("url").alias("token"))
-    pairs = containing(lowered.select("token").distinct(), looked_up.select("candidate").distinct())
-    held = pairs.join(looked_up, "candidate").join(lowered, "token").select("target", "stage", "url")
-    found = equal.unionByName(held).groupBy("target", "url").agg(F.min("stage").alias("stage"))
-    best = found.groupBy("target").agg(F.min("stage").alias("stage"))
-    return found.join(best, ["target", "stage"], "left_semi").select("target", "stage", "url")
-
-
-def _staged(stage: int, column: str) -> Column:
-    return F.struct(F.lit(stage).alias("stage"), F.col(column).alias("candidate"))
+    base = F.when(F.col("slug").rlike("^.+-[0-9]+$"), F.regexp_replace("slug", "-[0-9]+$", ""))
+    open_targets = pinned(parts.withColumn("base", base))
+    forms = urls.select("url").distinct().select("url", comparable_url(F.col("url")).alias("whole"), F.lower("url").alias("token"))
+    known = pinned(forms)
+    found = pinned(open_targets.join(known, "whole").select("target", F.lit(1).alias("stage"), "url"))
+    vocabulary = known.filter("token IS NOT NULL").select("token").distinct()
+    for stage, column in ((2, "slug"), (3, "base")):
+        open_targets = open_targets.join(found.select("target").distinct(), "target", "left_anti")
+        looked_up = open_targets.filter(F.col(column) != "").select("target", F.col(column).alias("candidate"))
+        pairs = containing(vocabulary, looked_up.select("candidate").distinct())
+        held = pairs.join(looked_up, "candidate").join(known, "token").select("target", F.lit(stage).alias("stage"), "url")
+        found = found.unionByName(pinned(held))
+    return found
 
 
 def equal_urls(urls: DataFrame) -> DataFrame:

@@ -45,6 +45,9 @@ SYNONYMS = {
 # Lengths of the substrings the search index is keyed by.
 _GRAMS = (1, 2, 3, 6)
 
+# Words, queries or matches that are sent to all tasks at most; more of them are shuffled.
+SENT_ROWS = 100_000
+
 
 def expand(token: str, synonyms: dict[str, list[str]] | None = None) -> list[str]:
     table = SYNONYMS if synonyms is None else synonyms
@@ -160,30 +163,52 @@ def _one_deletion(token: Column) -> Column:
     return F.array_distinct(F.concat(F.array(token), drop))
 
 
+def _key_of(gram: Column) -> Column:
+    """32 bits stand for a substring; what meets on them is verified, so equal bits of different substrings cost pairs only."""
+    return F.hash(gram).cast("long") + (1 << 31)
+
+
 def _asked_grams(candidates: DataFrame) -> DataFrame:
     word = F.col("candidate")
-    return candidates.filter("candidate <> ''").select("candidate", F.explode(_grams_of(word, _gram_size(word))).alias("gram"))
+    asked = candidates.filter("candidate <> ''").select("candidate", F.explode(_grams_of(word, _gram_size(word))).alias("gram"))
+    return asked.select("candidate", _key_of(F.col("gram")).alias("gram"))
 
 
 def gram_index(vocabulary: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(token, gram): inverted index of the substrings that some candidate asks for; the others are not shuffled."""
-    held = F.array_distinct(F.flatten(F.array(*[_grams_of(F.col("token"), n) for n in _GRAMS])))
+    """(token, gram): inverted index of the substrings of the sizes that the candidates ask for.
+
+    If the candidates are few, only of substrings that one of them asks for: the others are not shuffled.
+    """
+    sizes = candidates.filter("candidate <> ''").select(_gram_size(F.col("candidate")).alias("n")).distinct()
+    sized = vocabulary.select("token", F.explode(F.array(*map(F.lit, _GRAMS))).alias("n")).join(F.broadcast(sizes), "n", "left_semi")
+    held = sized.select("token", F.explode(_grams_of(F.col("token"), F.col("n"))).alias("gram"))
+    index = held.select("token", _key_of(F.col("gram")).alias("gram"))
     asked = _asked_grams(candidates).select("gram").distinct()
-    return vocabulary.select("token", F.explode(held).alias("gram")).join(asked, "gram", "left_semi")
+    return index.join(F.broadcast(asked), "gram", "left_semi") if is_small(asked) else index
+
+
+def is_small(rows: DataFrame) -> bool:
+    """Whether rows are few enough to be sent to all tasks; reads no more of them than that."""
+    return rows.limit(SENT_ROWS + 1).count() <= SENT_ROWS
 
 
 def rarest_grams(vocabulary: DataFrame, candidates: DataFrame) -> DataFrame:
     """(candidate, gram): of the substrings of a candidate the one that the fewest tokens hold."""
     frequency = gram_index(vocabulary, candidates).groupBy("gram").agg(F.count("*").alias("tokens"))
-    least = F.min_by("gram", F.struct(F.coalesce("tokens", F.lit(0)), "gram")).alias("gram")
-    return _asked_grams(candidates).join(frequency, "gram", "left").groupBy("candidate").agg(least)
+    # frequency and key in one number, which unlike a pair is aggregated by hashing
+    tokens = F.least(F.coalesce("tokens", F.lit(0)), F.lit((1 << 31) - 1))
+    least = F.min(tokens * (1 << 32) + F.col("gram")) % (1 << 32)
+    return _asked_grams(candidates).join(frequency.hint("merge"), "gram", "left").groupBy("candidate").agg(least.alias("gram"))
 
 
 def containing(vocabulary: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(candidate, token) wherever a token contains a candidate that isn't empty."""
+    """(candidate, token) wherever a token contains a candidate that isn't empty.
+
+    Sides that hold exploded substrings are far larger than Spark's estimate of them, so they are never broadcast.
+    """
     return (
         gram_index(vocabulary, candidates)
-        .join(rarest_grams(vocabulary, candidates), "gram")
+        .join(rarest_grams(vocabulary, candidates).hint("merge"), "gram")
         .filter((F.length("token") >= F.length("candidate")) & F.contains("token", "candidate"))
         .select("candidate", "token")
     )
@@ -208,7 +233,7 @@ def match_vocabulary(vocabulary: DataFrame, candidates: DataFrame) -> DataFrame:
     near = (
         vocabulary.filter(F.length("token") >= FUZZY_MIN_LENGTH - FUZZY_MAX_DISTANCE)
         .select("token", F.explode(_one_deletion(F.col("token"))).alias("form"))
-        .join(forms, "form")
+        .join(forms.hint("merge"), "form")
         .filter(
             (F.levenshtein("candidate", "token") <= FUZZY_MAX_DISTANCE)
             & ~F.contains("token", "candidate")

@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from shelfline.operators import chunks, discover
+from shelfline.operators import chunks, discover, search
 from shelfline.plans import jobs
 from shelfline.schemas import HISTORY, PRODUCTS, WATCHLIST, align_schema
 from shelfline.sources import shards, sitemaps, tables, watchlists, worklists
@@ -213,3 +213,32 @@ def test_a_table_of_targets_gives_what_a_list_gives(spark):
     got = sorted(tuple(r) for r in discover.match_targets(found, asked).collect())
     assert got == sorted({tuple(r) for r in discover.url_variants(found, targets).collect()})
     assert {r[1] for r in got} == {1, 2, 3}
+
+
+def test_targets_known_by_their_slug_are_not_paired_by_their_base(spark, monkeypatch):
+    """Numbered slugs of one name: each is in its own URL, so the name they share is looked up for none of them."""
+    asked = []
+
+    def recorded(vocabulary, candidates):
+        asked.extend(r["candidate"] for r in candidates.collect())
+        return search.containing(vocabulary, candidates)
+
+    monkeypatch.setattr(discover, "containing", recorded)
+    urls = [f"https://shop.example/producto/red-ring-{k}/" for k in range(100, 160)]
+    targets = [f"red-ring-{k}" for k in range(100, 160)] + [urls[0].upper(), "blue-pin-7", "red-ring-7"]
+    got = discover.match_targets(spark.createDataFrame([(u,) for u in urls], "url string"), spark.createDataFrame([(t,) for t in targets], "target string"))
+    want = [(f"red-ring-{k}", 2, u) for k, u in zip(range(100, 160), urls, strict=True)] + [(urls[0].upper(), 1, urls[0])]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want + [("red-ring-7", 3, u) for u in urls])
+    # the whole URL is settled by equality; only the two targets without a slug are looked up by their base
+    assert sorted(asked) == sorted([f"red-ring-{k}" for k in range(100, 160)] + ["blue-pin-7", "red-ring-7"] + ["blue-pin", "red-ring"])
+
+
+def test_exploded_substrings_are_never_broadcast(spark, monkeypatch):
+    """Spark takes a column of substrings to be as small as the words it comes from."""
+    monkeypatch.setattr(search, "SENT_ROWS", 0)
+    words = spark.createDataFrame([(f"word-{k:05}",) for k in range(50)], "token string")
+    found = search.containing(words, words.withColumnRenamed("token", "candidate"))
+    assert found.count() == 50
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # the one broadcast is that of the sizes of substrings, on both uses of the index
+    assert plan.count("BroadcastHashJoin") == plan.count("LeftSemi") == 2
