@@ -15,6 +15,7 @@ from shelfline.functions.text import (
     token_text,
     tokenize,
 )
+from shelfline.session import pinned
 
 # Field weights.
 FIELD_WEIGHTS = {"name": 10, "sku": 8, "category": 5, "description": 3, "url": 2}
@@ -254,10 +255,10 @@ def search_many(
 ) -> DataFrame:
     """(query_id, key, score) of every product that matches every token of a query.
 
-    ``queries`` has ``query_id`` and ``query``. Tokens of all products are reduced to a
-    vocabulary, the vocabulary is matched against the query tokens, and postings meet the matched
-    tokens before anything is grouped, so postings that match nothing are not shuffled as long as
-    the matched tokens fit a broadcast.
+    ``queries`` has ``query_id`` and ``query``. Tokens of all products are reduced to a vocabulary that is matched
+    against the query words; vocabulary, matches and queries are pinned. Products are dealt out by key, and each gets
+    the best score of every query word it matches. A query meets only the products that match the place with the
+    fewest postings, and these answer for its other places, so products that match one word of many are not spread out.
     """
     weights = FIELD_WEIGHTS if weights is None else weights
     fields = {f: f for f in FIELD_WEIGHTS if f in products.columns} if fields is None else fields
@@ -278,17 +279,38 @@ def search_many(
         )
     )
     postings = _postings(products, key, fields, weights)
-    vocabulary = postings.select("token").distinct()
-    matches = match_vocabulary(vocabulary, wanted.select("candidate").distinct())
-    hits = wanted.join(matches, "candidate").groupBy("query_id", "needed", "pos", "token").agg(
-        F.max("score").alias("score")
+    vocabulary = pinned(postings.groupBy("token").agg(F.count("*").alias("held")))
+    matches = pinned(match_vocabulary(vocabulary.select("token"), wanted.select("candidate").distinct()))
+    reach = matches.join(vocabulary, "token").groupBy("candidate").agg(F.sum("held").alias("reach"))
+    places = wanted.join(reach, "candidate").groupBy("query_id", "needed", "pos").agg(
+        F.array_sort(F.collect_set("candidate")).alias("any_of"), F.sum("reach").alias("reach")
     )
-    return (
-        hits.join(postings, "token")
-        .groupBy("query_id", key, "needed", "pos")
+    asked = places.groupBy("query_id", "needed").agg(F.array_sort(F.collect_list(F.struct("reach", "pos", "any_of"))).alias("places"))
+    asked = pinned(asked.filter(F.size("places") == F.col("needed")))
+
+    # by number and key: every task gets its share of the products however few bytes they have
+    parts = int(products.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = _postings(products.select(*dict.fromkeys([key, *fields.values()])).repartition(parts, key), key, fields, weights)
+    found = (
+        _meeting(spread, matches, "token")
+        .groupBy(key, "candidate")
         .agg(F.max(F.col("score") * F.col("weight")).alias("best"))
-        .groupBy("query_id", key, "needed")
-        .agg(F.count("*").alias("matched"), F.sum("best").alias("score"))
-        .filter(F.col("matched") == F.col("needed"))
-        .select("query_id", key, F.col("score").cast("int").alias("score"))
+        .groupBy(key)
+        .agg(F.map_from_entries(F.collect_list(F.struct("candidate", "best"))).alias("found"))
+    )
+    led = asked.select("query_id", F.col("places")[0]["any_of"].alias("first"), F.col("places")["any_of"].alias("places"))
+    met = _meeting(
+        found.select(key, "found", F.explode(F.map_keys("found")).alias("candidate")),
+        led.withColumn("candidate", F.explode("first")),
+        "candidate",
     )
+    # a product that matches several words of the first place counts once
+    once = F.filter("first", lambda c: F.map_contains_key("found", c))[0] == F.col("candidate")
+    best_of = lambda place: F.array_max(F.transform(place, lambda c: F.try_element_at("found", c)))
+    score = F.aggregate(F.transform("places", best_of), F.lit(0), lambda total, best: total + best)
+    return met.filter(once).select("query_id", key, score.cast("int").alias("score")).filter(F.col("score").isNotNull())
+
+
+def _meeting(rows: DataFrame, others: DataFrame, on: str) -> DataFrame:
+    """Inner join in which ``rows`` are never broadcast; a small other side is, and rows stay where they are."""
+    return rows.join(F.broadcast(others) if is_small(others) else others.hint("merge"), on)

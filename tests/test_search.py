@@ -115,3 +115,25 @@ def test_words_meet_on_their_rarest_substring(spark):
     lookups = index.rarest_grams(vocabulary, candidates)
     pairs = lookups.join(index.gram_index(vocabulary, candidates), "gram").count()
     assert pairs <= 4 * len(want)
+
+
+def test_places_take_the_best_related_word_and_rows_of_a_key_count_together(spark, monkeypatch):
+    """Two rows of one key, repeated queries, a place with two words the product has, and both ways of joining."""
+    schema = "id bigint, name string, sku string"
+    products = spark.createDataFrame([(1, "ram", None), (1, "memoria", "X1"), (2, "disco", None), (None, "ram", "duro"), (4, None, None)], schema)
+    queries = spark.createDataFrame([("a", "ram"), ("a", "ram"), ("b", "ram ram"), ("c", "ram duro"), ("d", None), (None, "x1")], "query_id string, query string")
+    want = {("a", 1, 20), ("a", None, 20), ("b", 1, 40), ("b", None, 40), ("c", None, 36), (None, 1, 16)}
+    for most in (index.SENT_ROWS, 0):
+        monkeypatch.setattr(index, "SENT_ROWS", most)
+        rows = [tuple(r) for r in search_many(products, queries).collect()]
+        assert len(rows) == len(want) and set(rows) == want
+
+
+def test_queries_meet_products_once_on_their_rarest_word(spark):
+    """One word common to all products and queries; products are dealt out once, by key, and not joined by sorting."""
+    products = spark.createDataFrame([(k, f"common w{k:04}{k:04}z", None) for k in range(300)], "id bigint, name string, sku string")
+    queries = spark.createDataFrame([(f"common w{k:04}{k:04}z",) * 2 for k in range(0, 300, 10)], "query_id string, query string")
+    found = search_many(products, queries)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    assert sorted((r.query_id, r.id) for r in found.collect()) == [(f"common w{k:04}{k:04}z", k) for k in range(0, 300, 10)]
