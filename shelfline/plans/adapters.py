@@ -74,9 +74,9 @@ def offer_sizing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def history(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataFrame:
-    """Price history of the parts, optionally of the observations before an instant."""
-    seen = offers(spark, sf_dir)
+def history(spark: SparkSession, sf_dir: str, before: str | None = None, seen: DataFrame | None = None) -> DataFrame:
+    """Price history of the parts, optionally of the observations before an instant; ``seen`` are the offers if stored."""
+    seen = offers(spark, sf_dir) if seen is None else seen
     if before is not None:
         seen = seen.filter(F.col("observed_at") < instant(before))
     rows = strict_intervals(seen, sizing=offer_sizing(spark, sf_dir))
@@ -109,9 +109,9 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def checked_parts(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataFrame:
-    """Parts with the time of their last observation as check time."""
-    seen = offers(spark, sf_dir)
+def checked_parts(spark: SparkSession, sf_dir: str, before: str | None = None, seen: DataFrame | None = None) -> DataFrame:
+    """Parts with the time of their last observation as check time; ``seen`` as for ``history``."""
+    seen = offers(spark, sf_dir) if seen is None else seen
     if before is not None:
         seen = seen.filter(F.col("observed_at") < instant(before))
     checks = seen.groupBy(F.col("product_id").alias("id")).agg(F.max("observed_at").alias("last_checked_at"))
@@ -127,19 +127,21 @@ def checked_parts(spark: SparkSession, sf_dir: str, before: str | None = None) -
     )
 
 
-def shards(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def shards(spark: SparkSession, sf_dir: str, seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """What four workers leave behind: full copies of their products, a third of them touched.
 
-    Every fifth product was gone when its worker looked, so its history is still the stored one.
+    Every fifth product was gone when its worker looked, so its history is still the stored one. ``seen`` as for
+    ``history``.
     """
+    seen = offers(spark, sf_dir) if seen is None else seen
     shard = F.concat(F.lit("worker-"), F.col("id") % WORKERS)
-    before = checked_parts(spark, sf_dir, MERGE_POINT).select(
+    before = checked_parts(spark, sf_dir, MERGE_POINT, seen).select(
         "id", F.col("last_checked_at").alias("_before")
     )
     touched = F.col("id") % 3 == 0
     gone = F.col("id") % 5 == 0
     products = (
-        checked_parts(spark, sf_dir)
+        checked_parts(spark, sf_dir, seen=seen)
         .join(before, "id")
         .withColumns(
             {
@@ -151,11 +153,11 @@ def shards(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         )
         .drop("_before")
     )
-    seen = offers(spark, sf_dir).filter(
+    theirs = seen.filter(
         (F.col("observed_at") < instant(MERGE_POINT))
         | ((F.col("product_id") % 3 == 0) & (F.col("product_id") % 5 != 0))
     )
-    rows = strict_intervals(seen, sizing=offer_sizing(spark, sf_dir))
+    rows = strict_intervals(theirs, sizing=offer_sizing(spark, sf_dir))
     rows = rows.withColumn("id", history_id(F.col("product_id"), F.col("start_ts")))
     delta_history = align_schema(rows, HISTORY).withColumn(
         "shard", F.concat(F.lit("worker-"), F.col("product_id") % WORKERS)

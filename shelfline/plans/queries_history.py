@@ -424,12 +424,20 @@ def merge_actions(spark: SparkSession, d: str) -> DataFrame:
 MERGE_BUCKETS = 48
 
 
+def _stored(rows: DataFrame, path: str) -> DataFrame:
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _merged_store(spark: SparkSession, d: str) -> tuple[str, store.Manifest]:
     """Stored tables into which the shards were merged twice, the second time without effect."""
     base = scratch_dir(spark, "merge-store")
-    products, history = a.checked_parts(spark, d, a.MERGE_POINT), a.history(spark, d, a.MERGE_POINT)
+    seen = _stored(a.offers(spark, d), f"{base}-offers")
+    products, history = a.checked_parts(spark, d, a.MERGE_POINT, seen), a.history(spark, d, a.MERGE_POINT, seen)
     stored_merge.create(products, history, base, MERGE_BUCKETS)
-    deltas = a.shards(spark, d)
+    # what the workers left behind lies in storage, however often it is merged
+    left = dict(zip(("products", "history"), a.shards(spark, d, seen), strict=True))
+    deltas = [_stored(rows, f"{base}-shards/{name}") for name, rows in left.items()]
     first = stored_merge.merge_stored(spark, base, *deltas)
     again = stored_merge.merge_stored(spark, base, *deltas)
     if again != first:

@@ -31,16 +31,26 @@ def read_table(spark: SparkSession, base: str, table: str, manifest: store.Manif
 def create(products: DataFrame, history: DataFrame, base: str, buckets: int = store.BUCKETS) -> store.Manifest:
     """The stored tables as of batch 0."""
     spark = products.sparkSession
-    empty = store.read_manifest(spark, base, -1)
-    versions: dict[tuple[str, int], int] = {}
-    for table, rows in (("products", products), ("history", history), ("previous", latest_closed(history))):
-        key, schema = TABLES[table]
-        versions |= store.rewrite_buckets(align_schema(rows, schema), base, table, F.col(key), buckets, 0, set(), empty)
+    before = store.read_manifest(spark, base, -1)
+    versions = _rewrite(products, base, "products", buckets, 0, set(), before)
+    versions |= _rewrite_history(history, base, buckets, 0, set(range(buckets)), before)
     made = store.Manifest(0, versions, {"buckets": buckets})
     store.commit(spark, base, made)
     return made
 
 
+def _rewrite(rows: DataFrame, base: str, table: str, buckets: int, batch: int, where: set[int], before: store.Manifest) -> dict:
+    key, schema = TABLES[table]
+    return store.rewrite_buckets(align_schema(rows, schema), base, table, F.col(key), buckets, batch, where, before)
+
+
+def _rewrite_history(history: DataFrame, base: str, buckets: int, batch: int, where: set[int], before: store.Manifest) -> dict:
+    """Buckets of the history, then those of the view of previous prices, read from the buckets just written."""
+    versions = _rewrite(history, base, "history", buckets, batch, where, before)
+    written = read_table(history.sparkSession, base, "history", store.Manifest(batch, versions, {}), where)
+    return versions | _rewrite(latest_closed(written), base, "previous", buckets, batch, where, before)
+
+
 def _buckets_of(rows: DataFrame, buckets: int) -> set[int]:
     """At most one number per bucket reaches the driver."""
     return {r[0] for r in rows.select(store.bucket_of(F.col("product_id"), buckets)).distinct().collect()}
@@ -62,16 +72,9 @@ def merge_stored(spark: SparkSession, base: str, delta_products: DataFrame, delt
     acted = actions.filter(F.col("action") != "none")
     rewritten = _buckets_of(acted, buckets)
     new_history = merge.merged_history(read_table(spark, base, "history", before, rewritten), acted)
+    versions = _rewrite(merge.merged_products(products, touched), base, "products", buckets, batch, changed, before)
     # an extension may move or reopen the newest closed interval, so the view follows from the rewritten buckets whole
-    merged = {
-        "products": (merge.merged_products(products, touched), changed),
-        "history": (new_history, rewritten),
-        "previous": (latest_closed(new_history), rewritten),
-    }
-    versions: dict[tuple[str, int], int] = {}
-    for table, (rows, where) in merged.items():
-        key, schema = TABLES[table]
-        versions |= store.rewrite_buckets(align_schema(rows, schema), base, table, F.col(key), buckets, batch, where, before)
+    versions |= _rewrite_history(new_history, base, buckets, batch, rewritten, before)
     done = store.Manifest(batch, versions, {"buckets": buckets, "merged": touched.count(), "acted": acted.count()})
     store.commit(spark, base, done)
     store.remove_superseded(spark, base)
