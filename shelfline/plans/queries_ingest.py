@@ -119,7 +119,11 @@ def _activity_observations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _run_in_three(spark: SparkSession, d: str) -> str:
-    """Events as they arrive: two files, a restart that finds nothing new, a third file; returns the tables' folder."""
+    """Events as they arrive: two lots of files, a restart that finds nothing new, a third lot; returns the tables' folder.
+
+    A lot is one batch. It is written by parallel tasks, and no lot has more files than the first, so that as many files
+    a batch take a lot whole: files come in order of time.
+    """
     home = scratch_dir(spark, "arrivals")
     rows = _activity_observations(spark, d)
     first = F.col("observed_at") < a.instant(FIRST_CUT)
@@ -127,17 +131,19 @@ def _run_in_three(spark: SparkSession, d: str) -> str:
     again = first & F.col("is_product") & (F.col("event_id") % LATE_EVERY == 0)
     late = rows.filter(again).withColumn("price", F.col("price") + 1000)
 
-    def arrive(frame: DataFrame) -> None:
-        align_schema(frame, OBSERVATIONS).coalesce(1).write.mode("append").parquet(f"{home}/in")
+    def arrive(frame: DataFrame, files: int) -> None:
+        align_schema(frame, OBSERVATIONS).repartition(files).write.mode("append").parquet(f"{home}/in")
+
+    arrive(rows.filter(first), spark.sparkContext.defaultParallelism)
+    lot = len(spark.read.schema(OBSERVATIONS).parquet(f"{home}/in").inputFiles())
 
     def run() -> ingest.Run:
-        return ingest.run_ingest(ingest.observation_stream(spark, f"{home}/in", files_per_batch=1), f"{home}/tables", n_buckets=8)
+        return ingest.run_ingest(ingest.observation_stream(spark, f"{home}/in", files_per_batch=lot), f"{home}/tables", n_buckets=8)
 
-    arrive(rows.filter(first))
-    arrive(rows.filter(second).unionByName(late))
+    arrive(rows.filter(second).unionByName(late), lot)
     run()
     run()  # nothing new: no batch, no change
-    arrive(rows.filter(~first & ~second))
+    arrive(rows.filter(~first & ~second), lot)
     run()
     return f"{home}/tables"
 
