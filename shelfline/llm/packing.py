@@ -19,8 +19,10 @@ their own. Sequence ids are unique, not gapless. An empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import math
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import filterfalse
@@ -47,9 +49,23 @@ ENCODE_UNITS = 50_000
 ENCODE_ROWS = 1_000
 
 _STOP = r"([A-Za-z0-9ß-öø-ÿ])([,.])([ \n])"
+_PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+#: Rules under which a plain word reaches the merges whole: composed already, lower-cased, one byte a character.
+_WORD_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 _ENCODED = "doc_id long, lexical long, n_ids long, ids binary"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _LOADED: dict[str, UnitEncoder] = {}
+#: Bytes that are no visible Latin-1 characters have one from U+0100 on, in their order.
+_BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b < 33 or 126 < b < 161 or b == 173)}
 
 
 class UnitEncoder:
@@ -59,6 +75,10 @@ class UnitEncoder:
     encoded independently, each by the library once while it is remembered. A comma or full stop between a plain letter
     or digit and a blank or line feed is always a part of its own, so words are remembered without it. Arrow splits the
     texts and numbers the different parts of a batch, so Python looks each of them up once and not once per word.
+
+    Words of plain letters go straight to the merges of the library's model if the file has the rules ``_WORD_RULES``:
+    these do no more to such a word than lower-casing and spelling its bytes. All other units, and all units of files
+    with other rules, take the library's whole way.
     """
 
     def __init__(self, path: str):
@@ -68,17 +88,37 @@ class UnitEncoder:
         self.encoder = Tokenizer.from_file(path)
         self.encoder.no_truncation()
         self.encoder.no_padding()
+        self.model = self.encoder.model
+        self.direct = plain_words_are_whole(path)
         self.memo: dict[str, bytes] = {}
         rng = np.random.default_rng(7)
         entries = self.encoder.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2") if entries <= 1 << 16 else np.dtype("<u4")
         self.spread = rng.permutation(entries).astype(np.uint32), rng.permutation(entries).astype(np.uint32)
 
-    def _fresh(self, units: list[str]) -> Iterator[bytes]:
+    def _by_library(self, units: list[str]) -> Iterator[bytes]:
         for at in range(0, len(units), ENCODE_UNITS):
             for e in self.encoder.encode_batch_fast(units[at : at + ENCODE_UNITS], add_special_tokens=False):
                 yield np.array(e.ids, self.kind).tobytes()
 
+    def _by_model(self, words: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(words), ENCODE_UNITS):
+            ids, ends = [], [0]
+            for word in words[at : at + ENCODE_UNITS]:
+                ids += [t.id for t in self.model.tokenize(byte_spelling(word))]
+                ends.append(len(ids) * self.kind.itemsize)
+            joined = np.array(ids, self.kind).tobytes()
+            yield from map(joined.__getitem__, map(slice, ends, ends[1:]))
+
+    def _fresh(self, units: list[str]) -> Iterator[bytes]:
+        """Ids of each unit."""
+        if not self.direct or not units:
+            return self._by_library(units)
+        plain = pc.match_substring_regex(pa.array(units, pa.string()), _PLAIN).to_pylist()
+        by_model = self._by_model([u for u, p in zip(units, plain, strict=True) if p])
+        by_library = self._by_library([u for u, p in zip(units, plain, strict=True) if not p])
+        return (next(by_model if p else by_library) for p in plain)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, ``END_ID`` after each, and the place where each text begins."""
         words = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, _STOP, r"\1 \2\3"))
@@ -108,6 +148,20 @@ class UnitEncoder:
         return first << 32 | second
 
 
+def plain_words_are_whole(path: str) -> bool:
+    """Whether the file has the rules ``_WORD_RULES`` and no added token that could stand inside a plain word."""
+    with open(path, encoding="utf-8") as file:
+        rules = json.load(file)
+    added = all(re.search(r"[!-@\[-`{-~]", t["content"]) for t in rules["added_tokens"])
+    return added and rules["model"]["type"] == "BPE" and all(rules[k] == v for k, v in _WORD_RULES.items())
+
+
+def byte_spelling(word: str) -> str:
+    """A plain word in lower case, each UTF-8 byte as the character that byte-level merges have for it."""
+    word = word.lower()
+    return word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS)
+
+
 def unit_encoder(path: str) -> UnitEncoder:
     """The encoder of a file, loaded once per Python worker."""
     if path not in _LOADED:

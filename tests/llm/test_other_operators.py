@@ -1,3 +1,5 @@
+import json
+import pathlib
 import random
 import zlib
 
@@ -181,6 +183,32 @@ def test_remembered_units_encode_like_the_library():
         assert [x.tolist() for x in np.split(ids, begins[1:])] == expected
 
 
+def test_plain_words_go_straight_to_the_merges(monkeypatch):
+    encoder, rng = packing.UnitEncoder(WORD_BPE), random.Random(6)
+    plain = [chr(c) for c in range(0x41, 0x100) if chr(c).isalpha() and c not in (0xAA, 0xB5, 0xBA)]
+    others = [*"ªµº×÷'.1\u0130\u0131\u03a3\u0301\u01c5", "'s", "<|endoftext|>"]
+    units = plain + ["".join(rng.choices(plain, k=rng.randrange(1, 14))) for _ in range(3000)] + ["x" * 3000]
+    mixed = ["".join(rng.choices(plain + others, k=rng.randrange(1, 9))) for _ in range(3000)]
+    every = [*units, *mixed, *others]
+    rng.shuffle(every)
+    expected = [e.ids for e in encoder.encoder.encode_batch(every, add_special_tokens=False)]
+    asked, by_library = [], encoder._by_library
+    monkeypatch.setattr(encoder, "_by_library", lambda rest: asked.extend(rest) or by_library(rest))
+    assert [np.frombuffer(b, encoder.kind).tolist() for b in encoder._fresh(every)] == expected
+    assert asked and not set(asked) & set(units)
+
+
+def test_other_tokenizer_rules_take_the_whole_way(tmp_path):
+    rules = json.loads(pathlib.Path(WORD_BPE).read_text(encoding="utf-8"))
+    rules["normalizer"] = {"type": "Sequence", "normalizers": [{"type": "NFD"}, {"type": "StripAccents"}]}
+    (tmp_path / "rules.json").write_text(json.dumps(rules), encoding="utf-8")
+    assert packing.plain_words_are_whole(WORD_BPE) and not packing.plain_words_are_whole(str(tmp_path / "rules.json"))
+    texts = ["Été ÉTÉ été Crème, crème", ""]
+    encoder = packing.UnitEncoder(str(tmp_path / "rules.json"))
+    ids, begins = encoder.encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, begins[1:])] == [e.ids + [packing.END_ID] for e in encoder.encoder.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_neighbours_fill_the_window():
     rng = np.random.default_rng(3)
     groups = [rng.integers(1000 * g, 1000 * g + 900, 300) for g in range(1, 5)]
