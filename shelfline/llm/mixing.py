@@ -9,7 +9,8 @@ Shares are whole tokens; tokens left by rounding go to the first children that a
 A leaf with budget b and t tokens takes all rows b div t times (epochs 0, 1, ...) and, in one more epoch, the token
 prefix of b mod t in the order of md5(seed, epoch, doc_id). The end of the prefix is found without sorting a leaf: tokens are
 summed per cell of leading digits of the order key, the cell that crosses the budget is summed by further digits, and only
-rows of one cell of that are ordered. Rows are then compared with their leaf's end; texts are not shuffled.
+rows of one cell of that are ordered. Rows are then compared with their leaf's end; texts are not shuffled. What has a row per
+leaf at most (leaves, budgets, cells) is stored, so no plan repeats the steps before it in the driver's memory.
 
 Weights are whole numbers per path (``"domain"``, ``"domain/lang"``, ``"domain/lang/source"``); a path without one has weight
 1, a weight of 0 leaves the node out.
@@ -125,6 +126,7 @@ def prefix_ends(rows: DataFrame, leaves: DataFrame, mix: Mix) -> DataFrame:
             .filter("before < left AND before + n >= left")
             .select(*LEVELS, "cell", (F.col("left") - F.col("before")).alias("still"))
         )
+        crossing = stored(crossing, "mix-cells")
         part = (
             part.withColumn("cell", cell)
             .join(crossing, [*LEVELS, "cell"])
@@ -158,8 +160,8 @@ def mix_rows(docs: DataFrame, mix: Mix, domain: Column | None = None) -> DataFra
     """Input rows as ``_row`` with doc_id, domain, lang, source, epoch, n_tokens and taken_tokens, once per epoch."""
     rows = _named(docs, domain)
     narrow = stored(rows.select(*LEVELS, "doc_id", "n_tokens"), "mix-rows")
-    leaves = narrow.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
-    ends = stored(prefix_ends(narrow, leaf_budgets(leaves, mix), mix), "mix-ends")
+    leaves = stored(narrow.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), "mix-leaves")
+    ends = stored(prefix_ends(narrow, stored(leaf_budgets(leaves, mix), "mix-budgets"), mix), "mix-ends")
     placed = rows.join(ends, list(LEVELS)).withColumn("okey", _order_key(mix))
     here = F.struct("okey", F.coalesce("doc_id", F.lit(-(2**63))).alias("i"), "n_tokens")
     end = F.struct(F.col("end_key").alias("okey"), F.coalesce("end_id", F.lit(-(2**63))).alias("i"), F.col("end_tokens").alias("n_tokens"))

@@ -63,6 +63,21 @@ def test_mix_takes_each_budget_exactly(make):
     assert {r.epoch for r in rows} <= {0, 1, 2}
 
 
+def test_mix_steps_are_planned_one_by_one(make, monkeypatch):
+    rng, windows, stored = random.Random(4), {}, mixing.stored
+    docs = [(k, words(rng, rng.randrange(0, 40)), rng.choice("ab"), f"src{k % 7}") for k in range(60)]
+
+    def noted(df, name):
+        windows[name] = max(windows.get(name, 0), df._jdf.queryExecution().optimizedPlan().toString().count("Window ["))
+        return stored(df, name)
+
+    monkeypatch.setattr(mixing, "stored", noted)
+    assert mixing.mix_rows(make(docs), mixing.Mix()).count()
+    # the budgets of three levels and the end of a prefix each have their windows once
+    assert windows.pop("mix-budgets") <= 20
+    assert windows and max(windows.values()) <= 1
+
+
 def test_mix_edges(make, awkward):
     rows = mixing.mix_rows(clashing(make, awkward).selectExpr("*", "CAST(NULL AS string) AS lang", "CAST(NULL AS string) AS source"), mixing.Mix(share=(1, 1))).collect()
     assert {(r.domain, r.lang, r.source) for r in rows} == {("other", "", "")}
